@@ -13,6 +13,8 @@ for _module in (
     "join_queries",
     "metric_queries",
     "voyage_queries",
+    "report_queries",
+    "change_queries",
 ):
     importlib.import_module(f"freightlens.registry.{_module}")
 

@@ -2,44 +2,32 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
 
-def slope_p_value(r: Column, n: Column) -> Column:
-    """Two-sided p-value of a correlation ``r`` over ``n`` points.
+def slope_p_value(r: str, n: str) -> Column:
+    """Two-sided p-value of a correlation column ``r`` over ``n`` points.
 
     Student's t with n-2 whole degrees of freedom has a finite series in
     cos(theta), theta = atan(t / sqrt(df)); here cos^2(theta) = 1 - r^2 and
-    sin(theta) = |r|.  The number of points is a number of periods, so the
-    series is short.
+    sin(theta) = |r|.  Even df: 1 + (1/2)c + (1*3/2*4)c^2 + ..., odd df:
+    1 + (2/3)c + (2*4/3*5)c^2 + ...  The number of points is a number of periods,
+    so the series is short.
     """
-    df = n.cast("int") - 2
-    rho = F.least(F.abs(r), F.lit(1.0))
-    cos2 = 1 - rho * rho
-    theta = F.asin(rho)
-    even = (df % 2) == 0
-    # even: 1 + (1/2)c + (1*3/2*4)c^2 + ...   odd: cos(theta) (1 + (2/3)c + (2*4/3*5)c^2 + ...)
-    terms = F.when(even, (df / 2).cast("int") - 1).otherwise(((df - 1) / 2).cast("int") - 1)
-
-    def step(acc, j):
-        ratio = F.when(even, (2 * j - 1) / (2 * j)).otherwise((2 * j) / (2 * j + 1))
-        term = acc["term"] * ratio * cos2
-        return F.struct((acc["total"] + term).alias("total"), term.alias("term"))
-
-    series = F.aggregate(
-        F.when(terms >= 1, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")),
-        F.struct(F.lit(1.0).alias("total"), F.lit(1.0).alias("term")),
-        step,
-        lambda acc: acc["total"],
-    )
-    inside_even = rho * series
-    inside_odd = (theta + F.when(df >= 3, rho * F.sqrt(cos2) * series).otherwise(0.0)) * (2 / math.pi)
-    inside = F.when(even, inside_even).otherwise(inside_odd)
-    return (
-        F.when(df < 1, F.when(rho > 0, 0.0).otherwise(1.0))
-        .otherwise(F.greatest(F.lit(0.0), 1 - inside))
+    rho, df = f"least(abs({r}), 1D)", f"(cast({n} as int) - 2)"
+    steps = f"(({df} + {df} % 2) div 2 - 1 - {df} % 2)"
+    series = f"""aggregate(
+        if({steps} >= 1, sequence(1, cast({steps} as int)), array()),
+        named_struct('total', 1D, 'term', 1D),
+        (acc, j) -> named_struct(
+            'total', acc.total + acc.term * (1 - {r} * {r}) * (2 * j - 1 + {df} % 2) / (2 * j + {df} % 2),
+            'term', acc.term * (1 - {r} * {r}) * (2 * j - 1 + {df} % 2) / (2 * j + {df} % 2)),
+        acc -> acc.total)"""
+    return F.expr(
+        f"""CASE WHEN {df} < 1 THEN if({rho} > 0, 0D, 1D)
+             WHEN {df} % 2 = 0 THEN greatest(0D, 1 - {rho} * {series})
+             WHEN {df} = 1 THEN greatest(0D, 1 - 2 / pi() * asin({rho}))
+             ELSE greatest(0D, 1 - 2 / pi() * (asin({rho}) + {rho} * sqrt(1 - {rho} * {rho}) * {series})) END"""
     )
 
 

@@ -87,14 +87,14 @@ def linear_trend(series: DataFrame, order: str, value: str, prefix: str = "", la
     # an inner branch never divides by zero because the flat case is taken first
     r = F.when(flat, 0.0).otherwise(F.try_divide(F.col("cov"), F.sqrt(F.col("vx") * F.col("vy"))))
     out = fit.select("n", F.when(flat, 0.0).otherwise(F.col("fit_slope")).alias("slope"), r.alias("r"))
-    p = slope_p_value(F.col("r"), F.col("n"))
+    out = out.withColumn("p", slope_p_value("r", "n"))
     named = {
         "direction": F.when(enough, trend_direction(F.col("slope"))).otherwise("insufficient_data"),
         "slope": F.when(enough, F.col("slope")).otherwise(0.0),
         "strength": F.when(enough, F.abs("r")).otherwise(0.0),
         "r_squared": F.when(enough, F.col("r") * F.col("r")),
-        "p_value": F.when(enough, p),
-        "significant": F.when(enough, p < 0.05).otherwise(False),
+        "p_value": F.when(enough, F.col("p")),
+        "significant": F.when(enough, F.col("p") < 0.05).otherwise(False),
     }
     return out.select(*[c.alias(prefix + name) for name, c in named.items()])
 
@@ -286,9 +286,8 @@ def kpi_status(value: Column, target: Column, warning: Column, critical: Column,
     )
 
 
-def evaluate_kpis(df: DataFrame) -> DataFrame:
-    """On-time and delay rate against target, warning and critical values."""
-    measured = df.agg(F.count("*").alias("n"), delay_rate().alias("dr")).filter(F.col("n") > 0)
+def kpi_rows(measured: DataFrame) -> DataFrame:
+    """On-time and delay rate of a one-row frame (n, dr) against target, warning and critical values."""
     rows = [
         F.struct(
             F.lit(name).alias("kpi"), F.lit(t).alias("target"), F.lit(w).alias("warning"), F.lit(c).alias("critical"),
@@ -298,7 +297,7 @@ def evaluate_kpis(df: DataFrame) -> DataFrame:
         if name in ("on_time_delivery_rate", "delay_rate")
     ]
     value = F.when(F.col("lower_better"), F.col("dr")).otherwise(100 - F.col("dr"))
-    return literal_rows(measured, rows).select(
+    return literal_rows(measured.filter(F.col("n") > 0), rows).select(
         "kpi",
         value.alias("current_value"),
         "target",
@@ -307,6 +306,10 @@ def evaluate_kpis(df: DataFrame) -> DataFrame:
     )
 
 
+def evaluate_kpis(df: DataFrame) -> DataFrame:
+    return kpi_rows(df.agg(F.count("*").alias("n"), delay_rate().alias("dr")))
+
+
 def benchmark(kpis: DataFrame) -> DataFrame:
     """Industry tier and percentile of every KPI that has a benchmark."""
     bounds = F.create_map(
@@ -325,8 +328,8 @@ def benchmark(kpis: DataFrame) -> DataFrame:
     )
 
 
-def scenarios(df: DataFrame) -> DataFrame:
-    """Delay rate, volume and efficiency under three fixed assumptions."""
+def scenario_rows(now: DataFrame) -> DataFrame:
+    """Delay rate, volume and efficiency of a one-row frame (dr) under three fixed assumptions."""
     rows = [
         F.struct(
             F.lit(name).alias("scenario"), F.lit(float(factor)).alias("factor"), F.lit(volume).alias("volume_change"),
@@ -335,13 +338,16 @@ def scenarios(df: DataFrame) -> DataFrame:
         )
         for name, factor, volume, gain, text, assumptions in SCENARIOS
     ]
-    now = df.agg(delay_rate().alias("dr"))
     return literal_rows(now, rows).select(
         "scenario", clamp(F.col("dr") * F.col("factor"), 0.0, 100.0).alias("delay_rate"),
         "volume_change", "efficiency_gain", "description", "assumptions",
     )
 
 
+def scenarios(df: DataFrame) -> DataFrame:
+    return scenario_rows(df.agg(delay_rate().alias("dr")))
+
+
 # --- overviews ---------------------------------------------------------------------------------
 def overview(df: DataFrame) -> DataFrame:
     return df.agg(
