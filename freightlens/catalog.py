@@ -15,6 +15,7 @@ for _module in (
     "voyage_queries",
     "report_queries",
     "change_queries",
+    "model_queries",
 ):
     importlib.import_module(f"freightlens.registry.{_module}")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed_values import WEATHER_DRAW
 from ..functions.risk import estimated_delay_hours, seasonal_weather_severity
-from ..functions.scalars import stable_bucket, stable_pick, temporal_parts
+from ..functions.scalars import stable_bucket, stable_hash, stable_pick, temporal_parts
 from ..session import shared_dir
 from .joins import with_asset_statistics, with_congestion, with_route_statistics
 
@@ -155,3 +155,57 @@ def fit_labels(df: DataFrame, column: str) -> DataFrame:
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = values.withColumn("pos", F.row_number().over(Window.partitionBy("part").orderBy("value")))
     return inside.join(offsets, "part").select("value", (F.col("offset") + F.col("pos") - 1).cast("int").alias("code"))
+
+
+def fit_scaling(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation per column, nulls as zero; one aggregate, a few numbers on the driver."""
+    value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
+    row = df.agg(*[F.avg(v).alias(f"m_{c}") for c, v in value.items()], *[F.stddev_pop(v).alias(f"s_{c}") for c, v in value.items()]).first()
+    return {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in columns}
+
+
+def apply_scaling(df: DataFrame, scaling: dict[str, tuple[float, float]]) -> DataFrame:
+    return df.withColumns(
+        {c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - m) / s for c, (m, s) in scaling.items()}
+    )
+
+
+def with_split(
+    df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42, buckets: int = 65536
+) -> DataFrame:
+    """Exact per-class split by hash order as a flag ``in_train``; rows are neither sorted nor moved.
+
+    Counting per (class, hash bucket) finds the bucket in which a class reaches
+    its share.  Only rows of that bucket are ranked, to find the last training
+    row.  The result is one cut point per class, compared with every row.
+    """
+    h = stable_hash(F.lit(seed), key)
+    marked = df.withColumns({"_h": h, "_b": F.pmod(h, F.lit(buckets))})
+    sizes = marked.groupBy(label, "_b").agg(F.count("*").alias("n"))
+    run = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    take = Window.partitionBy(label)
+    reached = sizes.select(
+        label, "_b", "n", F.sum("n").over(run).alias("until"), F.floor(F.sum("n").over(take) * share).alias("take")
+    )
+    borders = reached.filter((F.col("until") > F.col("take")) & (F.col("until") - F.col("n") <= F.col("take"))).select(
+        label, F.col("_b").alias("_border"), (F.col("take") - F.col("until") + F.col("n")).alias("_rest")
+    )
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
+    last = (
+        marked.select(label, "_h", "_b", key)
+        .join(borders, label)
+        .filter(F.col("_b") == F.col("_border"))
+        .withColumn("_rank", rank)
+        .filter(F.col("_rank") == F.col("_rest"))
+        .select(label, F.struct("_h", key).alias("_last"))
+    )
+    cuts = borders.select(label, "_border").join(last, label, "left")
+    before = F.col("_b") < F.col("_border")
+    at_border = (F.col("_b") == F.col("_border")) & F.coalesce(F.struct("_h", key) <= F.col("_last"), F.lit(False))
+    flagged = marked.join(F.broadcast(cuts), label, "left")  # one row per class
+    return flagged.withColumn("in_train", F.coalesce(before | at_border, F.lit(True))).drop("_h", "_b", "_border", "_last")
+
+
+def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    flagged = with_split(df, label, key, share, seed)
+    return flagged.filter("in_train").drop("in_train"), flagged.filter(~F.col("in_train")).drop("in_train")
