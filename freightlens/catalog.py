@@ -16,6 +16,7 @@ for _module in (
     "report_queries",
     "change_queries",
     "model_queries",
+    "stream_queries",
 ):
     importlib.import_module(f"freightlens.registry.{_module}")
 

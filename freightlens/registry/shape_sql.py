@@ -121,6 +121,8 @@ def with_shapes(sql: str) -> str:
     if not ctes:
         return body
     prefix = "WITH " + ",\n".join(ctes)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + prefix[5:] + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return prefix + ",\n" + body[5:]
     return prefix + "\n" + body
