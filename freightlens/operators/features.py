@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..fixed_values import WEATHER_DRAW
 from ..functions.risk import estimated_delay_hours, seasonal_weather_severity
 from ..functions.scalars import stable_bucket, stable_hash, stable_pick, temporal_parts
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from .joins import with_asset_statistics, with_congestion, with_route_statistics
 
 
@@ -199,7 +199,7 @@ def with_split(
         .filter(F.col("_rank") == F.col("_rest"))
         .select(label, F.struct("_h", key).alias("_last"))
     )
-    cuts = borders.select(label, "_border").join(last, label, "left")
+    cuts = stored(borders.select(label, "_border").join(last, label, "left"), "cuts")
     before = F.col("_b") < F.col("_border")
     at_border = (F.col("_b") == F.col("_border")) & F.coalesce(F.struct("_h", key) <= F.col("_last"), F.lit(False))
     flagged = marked.join(F.broadcast(cuts), label, "left")  # one row per class

@@ -118,7 +118,7 @@ def classifiers(rows: int, seed: int = 42, boosting_rounds: int = 100) -> dict[s
     return {
         "RandomForest": RandomForestClassifier(numTrees=100, maxDepth=10, minInstancesPerNode=2, seed=seed, **common),
         "LogisticRegression": LogisticRegression(
-            maxIter=1000, regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False, **common
+            maxIter=1000, tol=1e-4, regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False, **common
         ),
         "GradientBoosting": GBTClassifier(**boosted),
         "ColumnSampledBoosting": GBTClassifier(featureSubsetStrategy="0.8", **boosted),

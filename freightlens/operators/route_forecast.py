@@ -6,8 +6,11 @@ route reaches the solver as one row per calendar day.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import hours_between
@@ -16,9 +19,12 @@ YEAR_TERMS = 3
 EPOCH = "2000-01-01"
 MINIMUM = 10
 
+# task functions travel by value: executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
-def calendar_terms(day):
-    """The date part of the model as an array column: constant, trend, weekdays, yearly waves."""
+def calendar_terms(day) -> list:
+    """The date part of the model: constant, trend, weekdays, yearly waves."""
     days = F.date_diff(F.to_date(day), F.lit(EPOCH).cast("date")).cast("double")
     years = days / 365.25
     weekday = F.weekday(day)
@@ -26,7 +32,7 @@ def calendar_terms(day):
     for k in range(1, YEAR_TERMS + 1):
         angle = years * (2 * np.pi * k)
         waves += [F.sin(angle), F.cos(angle)]
-    return F.array(F.lit(1.0), years, *[F.when(weekday == d, 1.0).otherwise(0.0) for d in range(1, 7)], *waves)
+    return [F.lit(1.0), years, *[F.when(weekday == d, 1.0).otherwise(0.0) for d in range(1, 7)], *waves]
 
 
 def daily_sums(voyages: DataFrame) -> DataFrame:
@@ -46,7 +52,7 @@ def daily_sums(voyages: DataFrame) -> DataFrame:
         F.sum("y").alias("y"),
         *[F.sum(F.col(a) * F.col(b)).alias(name) for name, (a, b) in product.items()],
     )
-    return sums.withColumn("terms", calendar_terms("day"))
+    return sums.withColumn("terms", F.array(*calendar_terms("day")))
 
 
 def _solve(days: pd.DataFrame) -> pd.DataFrame:
@@ -74,9 +80,8 @@ def fit(voyages: DataFrame, minimum: int = MINIMUM) -> DataFrame:
 
 def predict(voyages: DataFrame, fitted: DataFrame) -> DataFrame:
     """Hours per voyage, never negative; zero on routes without a fit."""
-    cargo = F.array((F.coalesce("cargo_weight", F.lit(0.0)) / 1000), F.col("is_priority").cast("double"))
-    joined = voyages.join(fitted.select("route", "beta"), "route", "left").withColumn(
-        "_x", F.concat(calendar_terms("scheduled_departure"), cargo)
-    )
-    dot = F.aggregate(F.zip_with("beta", "_x", lambda b, x: b * x), F.lit(0.0), lambda s, v: s + v)
-    return joined.withColumn("predicted_delay_hours", F.coalesce(F.greatest(dot, F.lit(0.0)), F.lit(0.0))).drop("_x", "beta")
+    terms = [*calendar_terms("scheduled_departure"), F.coalesce("cargo_weight", F.lit(0.0)) / 1000, F.col("is_priority").cast("double")]
+    dot = sum((F.get("beta", F.lit(i)) * t for i, t in enumerate(terms)), F.lit(0.0))
+    joined = voyages.join(fitted.select("route", "beta"), "route", "left")
+    hours = F.coalesce(F.greatest(dot, F.lit(0.0)), F.lit(0.0))
+    return joined.withColumn("predicted_delay_hours", F.when(F.col("beta").isNull(), 0.0).otherwise(hours)).drop("beta")

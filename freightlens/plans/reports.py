@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalars import day_label, rate
 from ..operators import metrics, rules
 from ..operators.metrics import one_row
-from ..session import shared_dir
+from ..session import stored
 from .profile import cut, profile
 
 TIERS = ("descriptive", "diagnostic", "predictive")
@@ -25,9 +25,7 @@ class Figures:
     """
 
     def __init__(self, df: DataFrame, hotspots: DataFrame | None = None, forecast_days: int = 7):
-        shared_dir(df.sparkSession)
-        # stored once in the shared folder: the scan is not repeated, and lost executors lose nothing
-        self.base = profile(df).checkpoint()
+        self.base = stored(profile(df), "profile")
         self.hotspots = hotspots
         self.forecast_days = forecast_days
 
@@ -54,9 +52,11 @@ class Figures:
             F.coalesce(day_label(F.max("last_ts")), F.lit("N/A")).alias("end"),
         )
 
-    @property
+    @cached_property
     def daily(self) -> DataFrame:
-        return cut(self.base, "day", "day").select("day", "shipments", "delayed", "avg_probability", "avg_wait", "delay_rate")
+        """One row per day in a single partition, so the series windows need no further shuffle."""
+        days = cut(self.base, "day", "day").select("day", "shipments", "delayed", "avg_probability", "avg_wait", "delay_rate")
+        return stored(days.coalesce(1), "daily")
 
     @property
     def kpis(self) -> DataFrame:
@@ -66,7 +66,7 @@ class Figures:
 
     @cached_property
     def trends(self) -> DataFrame:
-        return metrics.trend_summary(self.daily.withColumnRenamed("day", "period")).checkpoint()
+        return stored(metrics.trend_summary(self.daily.withColumnRenamed("day", "period")), "trends")
 
     @property
     def reasons(self) -> DataFrame:
@@ -129,7 +129,7 @@ class Figures:
             parts.append(self.hotspots.agg(F.max("delay_count").alias("hotspot_count")))
         else:
             parts[0] = parts[0].withColumn("hotspot_count", F.lit(None).cast("bigint"))
-        return one_row(*parts).checkpoint()
+        return stored(one_row(*parts), "causes")
 
     @property
     def risk_facts(self) -> DataFrame:
@@ -158,7 +158,7 @@ class Figures:
     def outlook_facts(self) -> DataFrame:
         """Forecast means, capacity and risk in one row."""
         means = metrics.forecast_means(self.daily, self.forecast_days)
-        return one_row(means, metrics.capacity(self.daily), self.risk_facts).checkpoint()
+        return stored(one_row(means, metrics.capacity(self.daily), self.risk_facts), "outlook")
 
     def counts(self, kind: str, out: str, measure: str = "shipments") -> DataFrame:
         per = cut(self.base, kind, "key").filter(F.col("key").isNotNull() & (F.col(measure) > 0))

@@ -90,7 +90,7 @@ def cooldown_per_shipment(spark, root):
 def cooldown_per_asset_busy(spark, root):
     """Every asset counts as busy here, so the time-split walk is the one compared."""
     alerts = shapes.readings(spark, root).filter(F.col("shipment_status") == "Delayed").select("asset_id", "ts", "id")
-    return cooldown.with_cooldown(alerts, ["asset_id"], "ts", 30, "id", busy_rows=50).select("asset_id", "id")
+    return cooldown.with_cooldown(alerts, ["asset_id"], "ts", 30, "id", busy_rows=50, chunk_minutes=1440).select("asset_id", "id")
 
 
 @register(

@@ -8,19 +8,24 @@ on all earlier ones.  The batch form splits a busy key by time all the same:
    each chunk starts out silent;
 3. per (key, chunk): emit, starting from that moment.
 
-Keys below ``busy_rows`` rows are walked in one go.
+Keys below ``busy_rows`` rows have a single chunk and skip the first two steps.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 NEVER = -(2**62)
 
+# task functions travel by value: executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(["_us", "_tie"], kind="mergesort", ignore_index=True)
@@ -31,16 +36,26 @@ def _next(us: np.ndarray, wait: np.ndarray) -> np.ndarray:
     return np.searchsorted(us, us + wait, side="left")
 
 
-def _emit(pdf: pd.DataFrame, silent_until: int) -> pd.DataFrame:
-    rows = _sorted(pdf)
-    us = rows["_us"].to_numpy()
-    wait = int(rows["_wait"].iloc[0])
-    follow = _next(us, np.int64(wait))
-    picked, i = [], int(np.searchsorted(us, silent_until, side="left"))
-    while i < len(us):
-        picked.append(i)
-        i = max(int(follow[i]), i + 1)  # a zero wait still moves on
-    return rows.iloc[picked]
+def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk rows sorted by (key, chunk, time); only the running group's silent time is carried along."""
+    group, silent = None, NEVER
+    for pdf in batches:
+        key, chunk, us = (pdf[c].to_numpy() for c in ("_key", "_chunk", "_us"))
+        wait, first = pdf["_wait"].to_numpy(), pdf["_silent"].to_numpy()
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+        picked: list[int] = []
+        for a, b in zip([0, *cuts], [*cuts, len(us)]):
+            if a == b:
+                continue
+            if (key[a], chunk[a]) != group:
+                group, silent = (key[a], chunk[a]), int(first[a])
+            i = a + int(np.searchsorted(us[a:b], silent, side="left"))
+            while i < b:
+                picked.append(i)
+                silent = int(us[i] + wait[i])
+                i = max(a + int(np.searchsorted(us[a:b], silent, side="left")), i + 1)  # a zero wait still moves on
+        if picked:
+            yield pdf.iloc[picked][["_key", "_us", "_tie"]]
 
 
 def _exits(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,9 +100,18 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def with_cooldown(
-    alerts: DataFrame, keys: list[str], ts: str, minutes: str | int, tie: str, busy_rows: int = 1_000_000
+    alerts: DataFrame,
+    keys: list[str],
+    ts: str,
+    minutes: str | int,
+    tie: str,
+    busy_rows: int = 1_000_000,
+    chunk_minutes: int | None = None,
 ) -> DataFrame:
-    """Rows of ``alerts`` that are emitted; ``minutes`` is a number or a column name."""
+    """Rows of ``alerts`` that are emitted; ``minutes`` is a number or a column name.
+
+    A chunk is by default twice the wait, so few rows of it can be entry rows.
+    """
     wait = F.col(minutes) if isinstance(minutes, str) else F.lit(minutes)
     base = alerts.withColumns(
         {
@@ -97,29 +121,27 @@ def with_cooldown(
             "_tie": F.col(tie).cast("bigint"),
         }
     )
-    busy = base.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > busy_rows).select("_key")
-    # a chunk is twice the wait, so a chain entering it can be told from few entry rows
-    chunked = base.withColumn("_chunk_us", F.greatest(F.col("_wait") * 2, F.lit(60_000_000))).withColumn(
-        "_chunk", F.floor(F.col("_us") / F.col("_chunk_us"))
+    size = F.lit(chunk_minutes * 60_000_000) if chunk_minutes else F.greatest(F.col("_wait") * 2, F.lit(60_000_000))
+    busy = base.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > busy_rows).select("_key", F.lit(True).alias("_busy"))
+    # only the columns the walk needs go through Python; emitted rows are matched back afterwards
+    lean = (
+        base.select("_key", "_us", "_wait", "_tie", size.cast("bigint").alias("_chunk_us"))
+        .join(busy, "_key", "left")
+        .withColumn("_chunk", F.when(F.col("_busy"), F.floor(F.col("_us") / F.col("_chunk_us"))).otherwise(F.lit(0)))
     )
-    quiet_rows, busy_chunks = chunked.join(busy, "_key", "left_anti"), chunked.join(busy, "_key", "left_semi")
-    lean = ["_key", "_us", "_wait", "_tie", "_chunk", "_chunk_us"]
-    # only the columns the walk needs go through Python; the rest joins back by position
-    picked_schema = "_key string, _us bigint, _tie bigint"
-    pick = ["_key", "_us", "_tie"]
-    quiet = quiet_rows.select(*lean).groupBy("_key").applyInPandas(lambda pdf: _emit(pdf, NEVER)[pick], picked_schema)
-    exits = (
-        busy_chunks.select(*lean)
-        .groupBy("_key", "_chunk")
-        .applyInPandas(_exits, "_key string, _chunk bigint, _wait bigint, _upper array<bigint>, _end array<bigint>")
+    crowded = lean.filter("_busy").drop("_busy")
+    exits = crowded.groupBy("_key", "_chunk").applyInPandas(
+        _exits, "_key string, _chunk bigint, _wait bigint, _upper array<bigint>, _end array<bigint>"
     )
     silent = exits.groupBy("_key").applyInPandas(_walk, "_key string, _chunk bigint, _silent bigint")
-    started = busy_chunks.select(*lean).join(silent, ["_key", "_chunk"])
-    loud = started.groupBy("_key", "_chunk").applyInPandas(
-        lambda pdf: _emit(pdf, int(pdf["_silent"].iloc[0]))[pick], picked_schema
+    started = lean.join(silent, ["_key", "_chunk"], "left").withColumn("_silent", F.coalesce("_silent", F.lit(NEVER)))
+    emitted = (
+        started.select("_key", "_chunk", "_us", "_tie", "_wait", "_silent")
+        .repartition("_key", "_chunk")
+        .sortWithinPartitions("_key", "_chunk", "_us", "_tie")
+        .mapInPandas(_emit, "_key string, _us bigint, _tie bigint")
     )
-    emitted = quiet.unionByName(loud)
-    return base.join(emitted, pick, "left_semi").drop("_key", "_us", "_wait", "_tie")
+    return base.join(emitted, ["_key", "_us", "_tie"], "left_semi").drop("_key", "_us", "_wait", "_tie")
 
 
 # --- streams ---------------------------------------------------------------------------
