@@ -202,7 +202,7 @@ def with_split(
     cuts = stored(borders.select(label, "_border").join(last, label, "left"), "cuts")
     before = F.col("_b") < F.col("_border")
     at_border = (F.col("_b") == F.col("_border")) & F.coalesce(F.struct("_h", key) <= F.col("_last"), F.lit(False))
-    flagged = marked.join(F.broadcast(cuts), label, "left")  # one row per class
+    flagged = marked.join(cuts, label, "left")
     return flagged.withColumn("in_train", F.coalesce(before | at_border, F.lit(True))).drop("_h", "_b", "_border", "_last")
 
 

@@ -186,8 +186,12 @@ def external_data(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def event_stream(spark: SparkSession, root: str) -> DataFrame:
-    """The event table as a file stream; the glob matches a file or a folder."""
+def event_stream(spark: SparkSession, root: str, files_per_batch: int = 200) -> DataFrame:
+    """The event table as a file stream; the glob matches a file or a folder.
+
+    The batch size bounds how much a catch-up run holds in state at once.
+    """
     schema = table(spark, root, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{root}/events.parquet*")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(f"{root}/events.parquet*")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
