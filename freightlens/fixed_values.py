@@ -73,8 +73,6 @@ COMPANIES = [
 CONTACT_CHANNELS = ["email", "sms", "phone", "webhook"]
 CONTAINER_TYPES = ["20GP", "40GP", "40HC", "45HC"]
 CARGO_TYPES = ["electronics", "textiles", "machinery", "chemicals"]
-# hours a cached external observation stays valid
-EXTERNAL_TTL_HOURS = {"weather": 1.0, "port_status": 1.0}
 
 # --- KPI thresholds, benchmarks, scenarios ----------------------------------
 # name, target, warning, critical, True where lower values are better

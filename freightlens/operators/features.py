@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..fixed_values import WEATHER_DRAW
 from ..functions.risk import estimated_delay_hours, seasonal_weather_severity
 from ..functions.scalars import stable_bucket, stable_hash, stable_pick, temporal_parts
-from ..session import shared_dir, stored
+from ..session import stored
 from .joins import with_asset_statistics, with_congestion, with_route_statistics
 
 
@@ -142,14 +142,13 @@ def fit_labels(df: DataFrame, column: str) -> DataFrame:
     numbers stay fixed; the rank is then a position inside a partition plus the
     sizes of the partitions before it.  Only those sizes meet in one task.
     """
-    shared_dir(df.sparkSession)
-    values = (
+    ranged = (
         df.select(F.coalesce(F.col(column), F.lit("unknown")).alias("value"))
         .distinct()
         .repartitionByRange("value")
         .withColumn("part", F.spark_partition_id())
-        .checkpoint()
     )
+    values = stored(ranged, "labels")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = values.groupBy("part").agg(F.count("*").alias("n"))
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -279,14 +279,20 @@ def ensemble_hours(models: dict[str, Model], vectors: DataFrame, weights: dict[s
     return shown.withColumn("confidence_score", agreement("_each")).drop("_each", *[f"_h_{n}" for n in models])
 
 
+def agreement_of(mean, deviation, n):
+    """1 / (1 + deviation / |mean|), with one in place of the ratio for a zero mean; one half for a single value."""
+    mean, deviation, n = (F.col(c) if isinstance(c, str) else c for c in (mean, deviation, n))
+    ratio = F.when(mean != 0, deviation / F.abs(mean)).otherwise(1.0)
+    return F.when(n > 1, 1 / (1 + ratio)).otherwise(0.5)
+
+
 def agreement(values: str):
-    """1 / (1 + deviation / |mean|) over an array; one half for a single value, and for a zero mean."""
+    """The same over an array holding one value per model."""
     a = F.col(values)
     n = F.size(a)
     mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
     variance = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
-    cv = F.when(mean != 0, F.sqrt(variance) / F.abs(mean)).otherwise(1.0)
-    return F.when(n > 1, 1 / (1 + cv)).otherwise(0.5)
+    return agreement_of(mean, F.sqrt(variance), n)
 
 
 # --- registry ---------------------------------------------------------------------------------

@@ -325,10 +325,12 @@ def route_forecast_query(spark, root):
        FROM (SELECT shipment_id, avg(predicted_delay_hours) AS hours, stddev_pop(predicted_delay_hours) AS sd, count(*) AS n FROM predictions GROUP BY 1)""",
 )
 def model_agreement(spark, root):
-    grouped = shapes.predictions(spark, root).groupBy("shipment_id").agg(
-        F.avg("predicted_delay_hours").alias("hours"), F.collect_list("predicted_delay_hours").alias("each")
+    moments = shapes.predictions(spark, root).groupBy("shipment_id").agg(
+        F.avg("predicted_delay_hours").alias("hours"),
+        F.stddev_pop("predicted_delay_hours").alias("deviation"),
+        F.count("*").alias("n"),
     )
-    return grouped.select("shipment_id", "hours", models.agreement("each").alias("confidence"))
+    return moments.select("shipment_id", "hours", models.agreement_of("hours", "deviation", "n").alias("confidence"))
 
 
 @register(

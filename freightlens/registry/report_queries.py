@@ -371,7 +371,7 @@ def status_changes(spark, root):
 @register(
     "sequences",
     "W-07",
-    """SELECT asset_id, row_index, s AS wait_sum, f AS first_wait, target FROM (SELECT asset_id, row_number() OVER k - 1 AS row_index,
+    """SELECT asset_id, row_index, CAST(s AS BIGINT) AS wait_sum, f AS first_wait, target FROM (SELECT asset_id, row_number() OVER k - 1 AS row_index,
          sum(waiting_time) OVER w AS s, first(waiting_time) OVER w AS f, count(*) OVER w AS n, temperature IS NULL AS target
          FROM readings WINDOW k AS (PARTITION BY asset_id ORDER BY ts, id),
            w AS (PARTITION BY asset_id ORDER BY ts, id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) WHERE n = 10""",

@@ -193,16 +193,16 @@ def etl_communications(spark, root):
 @register(
     "append_predictions",
     "S-07",
-    """SELECT strftime(prediction_date, '%Y-%m-%d') AS prediction_day, count(*) AS stored, sum(predicted_delay_hours) AS hours,
+    """SELECT strftime(prediction_date, '%Y-%m') AS prediction_period, count(*) AS stored, sum(predicted_delay_hours) AS hours,
          sum(weather_factor) AS weather
        FROM predictions GROUP BY 1""",
 )
 def append_predictions(spark, root):
     path = new_path(spark, "predictions")
     rows = shapes.predictions(spark, root)
-    files.append_predictions(rows, path, ["weather_factor", "model_version"])
-    back = spark.read.schema("predicted_delay_hours double, features_used string, prediction_day string").parquet(path)
-    return back.groupBy("prediction_day").agg(
+    files.append_predictions(rows, path, ["weather_factor", "model_version"], granularity="monthly")
+    back = spark.read.schema("predicted_delay_hours double, features_used string, prediction_period string").parquet(path)
+    return back.groupBy("prediction_period").agg(
         F.count("*").alias("stored"),
         F.sum("predicted_delay_hours").alias("hours"),
         F.sum(F.get_json_object("features_used", "$.weather_factor").cast("double")).alias("weather"),

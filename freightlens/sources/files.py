@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..fixed_values import CSV_COLUMNS, TRAINING_DEFAULTS
+from ..functions.scalars import period_label
 
 CSV_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in CSV_COLUMNS])
 
@@ -53,18 +54,18 @@ def bulk_load(df: DataFrame, path: str, replace: bool = False) -> DataFrame:
     return df.sparkSession.read.parquet(path).agg(F.count("*").alias("stored_rows"))
 
 
-def append_predictions(predictions: DataFrame, path: str, feature_columns: list[str]) -> None:
-    """Store predictions with their features as JSON, one folder per prediction day.
+def append_predictions(predictions: DataFrame, path: str, feature_columns: list[str], granularity: str = "daily") -> None:
+    """Store predictions with their features as JSON, one folder per prediction day (or month, for tables over many years).
 
-    The rebalance hint brings a day's rows together, so a day gets few files, and
-    lets adaptive execution split a day that is too big for one task.
+    The rebalance hint brings a folder's rows together, so it gets few files, and
+    lets adaptive execution split a folder that is too big for one task.
     """
     rows = (
         predictions.withColumn("features_used", F.to_json(F.struct(*feature_columns)))
         .drop(*[c for c in feature_columns if c != "shipment_id"])
-        .withColumn("prediction_day", F.date_format("prediction_date", "yyyy-MM-dd"))
+        .withColumn("prediction_period", period_label("prediction_date", granularity))
     )
-    rows.hint("rebalance", F.col("prediction_day")).write.mode("append").partitionBy("prediction_day").parquet(path)
+    rows.hint("rebalance", F.col("prediction_period")).write.mode("append").partitionBy("prediction_period").parquet(path)
 
 
 def delivered_at(status: Column, sent_at: Column) -> Column:
