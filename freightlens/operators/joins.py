@@ -124,11 +124,11 @@ def with_asset_statistics(df: DataFrame, statistics: DataFrame | None = None) ->
 
 
 def route_statistics(voyages: DataFrame) -> DataFrame:
-    """Delay figures per port pair.
+    """Delay figures per port pair from one pass over the arrivals.
 
-    The exact median runs over (delay, count) pairs: delays are whole seconds
-    within a bounded range, so the second step sees few rows per route however
-    many voyages a route has.
+    Arrivals are first counted per (route, delay): delays are whole seconds within
+    a bounded range, so the exact median and the moments then see few rows per
+    route however many voyages a route has.
     """
     hours = hours_between("scheduled_arrival", "actual_arrival")
     counted = (
@@ -136,19 +136,18 @@ def route_statistics(voyages: DataFrame) -> DataFrame:
         .groupBy("origin_port", "destination_port", hours.alias("hours"))
         .agg(F.count("*").alias("n"))
     )
-    medians = counted.groupBy("origin_port", "destination_port").agg(
-        F.expr("percentile(hours, 0.5D, n)").alias("route_median_delay")
+    sums = counted.groupBy("origin_port", "destination_port").agg(
+        F.expr("percentile(hours, 0.5D, n)").alias("route_median_delay"),
+        F.sum("n").alias("route_frequency"),
+        F.sum(F.col("hours") * F.col("n")).alias("s"),
+        F.sum(F.col("hours") * F.col("hours") * F.col("n")).alias("ss"),
     )
-    moments = (
-        voyages.filter(F.col("actual_arrival").isNotNull())
-        .groupBy("origin_port", "destination_port")
-        .agg(
-            F.avg(hours).alias("route_avg_delay"),
-            F.stddev_samp(hours).alias("route_delay_std"),
-            F.count("*").alias("route_frequency"),
-        )
+    n, mean = F.col("route_frequency"), F.col("s") / F.col("route_frequency")
+    variance = F.when(n > 1, F.greatest(F.lit(0.0), F.col("ss") - F.col("s") * mean) / (n - 1))
+    return sums.select(
+        "origin_port", "destination_port", mean.alias("route_avg_delay"), F.sqrt(variance).alias("route_delay_std"),
+        "route_median_delay", "route_frequency",
     )
-    return moments.join(medians, ["origin_port", "destination_port"])
 
 
 def with_route_statistics(voyages: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
