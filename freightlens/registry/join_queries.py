@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import stable_bucket
-from ..operators import cleaning, joins
+from ..operators import joins
 from ..sources import etl, shapes
 from .core import register
 from .source_queries import _ETL_SHIPMENTS

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, voyage_metrics as vm
+from ..operators import voyage_metrics as vm
 from ..sources import shapes
 from .core import register
 from .filter_queries import EVENTS_AS_OF, VOYAGES_AS_OF

@@ -6,7 +6,6 @@ import pytest
 
 from freightlens import catalog
 from freightlens.operators import filters
-from freightlens.registry import change_queries, filter_queries, join_queries, metric_queries, voyage_queries  # noqa: F401
 from freightlens.sources import shapes
 
 QUICK = [q for q in sorted(catalog.ORACLES) if not q.startswith(("stream_", "csv_", "bulk_", "append_", "report_"))]
