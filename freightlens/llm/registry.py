@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup
+from . import decontaminate, minhash_dedup, mixing, token_file
 
-QUERIES = {"op1_minhash_dedup": minhash_dedup.op1}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_minhash_dedup": minhash_dedup.op1,
+    "op4_token_file": token_file.op4,
+    "op7_source_mixing": mixing.op7,
+    "op10_decontaminate": decontaminate.op10,
+}
+ORACLES: dict[str, str] = {"op10_decontaminate": decontaminate.SQL10}

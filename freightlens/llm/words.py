@@ -28,6 +28,8 @@ SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: All ASCII but letters and digits: for words without their punctuation.
+MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -82,18 +84,18 @@ def _pieces(raw: np.ndarray, size: int):
 class Words:
     """Words of some texts: per text the index of its first word, per word its place and hashes."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, prefix: int = 0):
-        found = [self._scan(raw[lo:hi], offsets - lo, prefix, lo) for lo, hi in _pieces(raw, SLICE_BYTES)]
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, prefix: int = 0, spaces: np.ndarray = SPACES):
+        found = [self._scan(raw[lo:hi], offsets - lo, prefix, lo, spaces) for lo, hi in _pieces(raw, SLICE_BYTES)]
         self.start, self.end, self.hash, self.stem = (np.concatenate(x) for x in zip(*found))
         self.first = np.searchsorted(self.start, offsets, "left")
 
     @staticmethod
-    def _scan(raw, offsets, prefix, lo):
+    def _scan(raw, offsets, prefix, lo, spaces):
         n = len(raw)
         if not n:
             empty = np.zeros(0, np.int64)
             return empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        solid = ~SPACES[raw]
+        solid = ~spaces[raw]
         before = np.empty(n, bool)
         before[0], before[1:] = False, solid[:-1]
         cuts = offsets[(offsets > 0) & (offsets < n)]
@@ -142,3 +144,8 @@ def list_column(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     sizes = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat, type=kind))
+
+
+def worker_state() -> dict:
+    """What a Python worker keeps from one task to the next."""
+    return sys.__dict__.setdefault("_llm_worker_state", {})
