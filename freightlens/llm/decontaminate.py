@@ -103,11 +103,11 @@ def op10(spark, sf_dir: str) -> DataFrame:
 #: The same pairs by an equality join of all exact shingles, as texts.
 SQL10 = """
 WITH words AS (
-  SELECT doc_id AS id, 0 AS side, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id AS id, 0 AS side, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
   UNION ALL
-  SELECT item_id, 1, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), x -> x <> '') FROM benchmark),
+  SELECT item_id, 1, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') FROM benchmark),
 grams AS (
-  SELECT DISTINCT id, side, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  SELECT DISTINCT id, side, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
   FROM words),
 items AS (SELECT id AS item_id, g, count(*) OVER (PARTITION BY id) AS n FROM grams WHERE side = 1)
 SELECT d.id AS doc_id, item_id, n AS n_shingles, count(*) AS n_shared, count(*) / n AS containment

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash_dedup, mixing, token_file
+import corpus_pipeline
+
+from . import decontaminate, minhash_dedup, mixing, token_file, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.op1,
+    "op2_toxicity": toxicity.op2,
     "op4_token_file": token_file.op4,
     "op7_source_mixing": mixing.op7,
     "op10_decontaminate": decontaminate.op10,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op10_decontaminate": decontaminate.SQL10}
