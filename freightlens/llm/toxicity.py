@@ -201,32 +201,44 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Model
     # at most cfg.rows rows of a few numbers
     held = rows.where("fold = 1").select("text", "toxic").mapInArrow(best, "toxic int, n long, sums array<double>").toArrow().to_pylist()
     x = np.array([scale * r["sums"][0] - math.log(max(r["n"], 1)) for r in held if r["toxic"] == 0 and r["sums"]])
-    spread = float(x.std() * math.sqrt(6) / math.pi) if len(x) > 9 else 1.0
-    spread = max(spread, 0.2)
-    place = float(x.mean() - 0.5772 * spread) if len(x) > 9 else 0.0
+    # by quartiles, which a few wrong labels don't move
+    low, middle, high = np.quantile(x, [0.25, 0.5, 0.75]) if len(x) > 9 else (-1.0, 0.0, 1.0)
+    spread = max(float(high - low) / 1.5725, 0.2)
+    place = float(middle) - 0.3665 * spread
     z = np.array([evidence(r["n"], [(0, 0, s) for s in r["sums"]], scale, place, spread, cfg.expect)[0] for r in held])
     y = np.array([r["toxic"] for r in held], float)
     slope, offset = logistic(z, y)
     return Model(counted, scale, place, spread, slope, offset, cfg)
 
 
+def compressed(z):
+    """Evidence on a scale that grows like its logarithm above 1, so that single wrong labels don't rule the fit."""
+    return np.where(z > 1, 1 + np.log(np.maximum(z, 1)), np.maximum(z, -8.0))
+
+
 def logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a one-dimensional logistic curve, by damped Newton steps with a weak prior."""
-    w = np.array([1.0, -3.0])
-    if not len(z):
-        return float(w[0]), float(w[1])
-    x = np.stack([np.clip(z, -8, 40), np.ones(len(z))], 1)
-    for _ in range(50):
+    """Slope and offset of a logistic curve over compressed evidence: Newton steps, halved until the loss falls."""
+    prior = np.array([2.0, -5.0])
+    x = np.stack([compressed(z), np.ones(len(z))], 1)
+
+    def loss(w):
+        t = x @ w
+        return float((np.logaddexp(0, t) - y * t).sum() + 0.05 * ((w - prior) ** 2).sum())
+
+    w = prior
+    for _ in range(50 if len(z) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + 0.1 * (w - [1.0, -3.0])
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w = w - step * min(1.0, 2.0 / (np.abs(step).max() + 1e-9))
+        grad = x.T @ (p - y) + 0.1 * (w - prior)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), grad)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
     return max(float(w[0]), 1e-3), float(w[1])
 
 
 def _chance(model: Model, z: float) -> float:
-    return 1 / (1 + math.exp(-max(min(model.slope * min(max(z, -8.0), 40.0) + model.offset, 30.0), -30.0)))
+    t = model.slope * float(compressed(np.float64(z))) + model.offset
+    return 1 / (1 + math.exp(-max(min(t, 30.0), -30.0)))
 
 
 def _ready(docs: DataFrame, model: Model):
