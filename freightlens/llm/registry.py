@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, minhash_dedup, mixing, suffix_dedup, token_file, toxicity
+from . import bilinear_lm, decontaminate, minhash_dedup, mixing, suffix_dedup, token_file, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.op1,
     "op2_toxicity": toxicity.op2,
     "op4_token_file": token_file.op4,
+    "op6_bilinear_lm": bilinear_lm.op6,
     "op7_source_mixing": mixing.op7,
     "op8_suffix_dedup": suffix_dedup.op8,
     "op10_decontaminate": decontaminate.op10,
