@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
 from . import words as W
+from .joins import bounded_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -223,6 +224,7 @@ def normalised(flat: np.ndarray, cfg: Settings):
 
 def fit(texts: DataFrame, cfg: Settings = Settings()) -> tuple[Model, DataFrame]:
     """Train on every row of ``texts`` (text); returns the model and the written word counts."""
+    bounded_batches(texts.sparkSession)
     counts = stored(count_words(texts, cfg), "counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     order = [F.desc("n"), F.asc("word")]
@@ -257,6 +259,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, cfg: Settings = Sett
     Null and empty texts hold the end token only.  Repeated rows, null ids and other
     columns don't matter: rows are told apart by their place.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.top, model.one, model.two, model.bias, model.norm, model.within, model.kept, model.kept_n))
     total, vocabulary = model.total, model.vocabulary
 

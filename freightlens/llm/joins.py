@@ -1,4 +1,4 @@
-"""Joins that broadcast a side only after counting it."""
+"""Joins that broadcast a side only after counting it, and Python batches of bounded bytes."""
 
 from __future__ import annotations
 
@@ -15,3 +15,15 @@ def by_size(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int
     rows are the same either way.
     """
     return big.join(F.broadcast(small) if small.count() <= limit else small, on, how)
+
+
+#: Bytes of one batch between the JVM and a Python task.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark) -> None:
+    """Lower the session's bytes per Arrow batch to ``BATCH_BYTES``, so that rows of long texts don't add up in memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

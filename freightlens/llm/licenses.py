@@ -21,6 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
+from .joins import bounded_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -168,6 +169,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cfg: Settings
     give repeated matches and null ids come out as null.  Only doc_id and text are
     read.  An empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     index = build_index(templates or TEMPLATES, cfg)
     names, sizes = index[0], [len(h) for h in index[4]]
 

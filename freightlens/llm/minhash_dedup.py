@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import stored
 from . import words as W
 from .components import components
+from .joins import bounded_batches, by_size
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -190,6 +191,7 @@ def groups(texts: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     doc_id count as one document, whose texts all belong to its component.  Other
     columns are not read.  An empty table gives an empty table.
     """
+    bounded_batches(texts.sparkSession)
     texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = stored(sketch(texts, cfg), "sketches")
     fingerprint = ["f1", "f2", "n"]
@@ -205,11 +207,10 @@ def groups(texts: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     )
     shared = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     members = stored(banded.join(shared, "key", "left_semi"), "members")
-    wanted = members.select("rep").distinct()
-    grams = full_sets(texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), cfg)
+    wanted = stored(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    grams = full_sets(by_size(texts, wanted, "doc_id", "left_semi"), cfg)
     grams = stored(grams.withColumnRenamed("doc_id", "rep"), "grams")
 
-    # texts under one repeated id are one document
     links, found, tested = None, None, None
     for turn in range(2):
         now = _in_buckets(members, found)

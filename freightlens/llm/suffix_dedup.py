@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stored
 from . import words as W
-from .joins import by_size
+from .joins import bounded_batches, by_size
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -192,6 +192,7 @@ def repeats(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     nothing; a passage that repeats inside one document only doesn't count.  Only
     doc_id and text are read.  An empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), "text")
     found = stored(suffixes(keyed, cfg), "suffixes")
     shared = found.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_key").alias("lo"), F.max("doc_key").alias("hi")).where("lo <> hi").select("key", "m")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import new_path
 from . import words as W
+from .joins import bounded_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -143,6 +144,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, v
     """
     from tokenizers import Tokenizer
 
+    bounded_batches(docs.sparkSession)
     width = bit_width(max(vocabulary or Tokenizer.from_str(tokenizer_json).get_vocab_size(), end_id + 1))
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
@@ -179,6 +181,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, v
 
 def read_documents(spark, path: str) -> DataFrame:
     """Per document of a token file: doc_id, start, n_tokens, ids_crc32, unpacked from its payload."""
+    bounded_batches(spark)
     blocks = spark.read.schema(SCHEMA).parquet(path)
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("s"))
     before = totals.withColumn("before", F.sum("s").over(Window.orderBy("shard")) - F.col("s")).select("shard", "before")

@@ -31,6 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
+from .joins import bounded_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -175,6 +176,7 @@ def evidence(n: int, found: list, scale: float, place: float, spread: float, exp
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Model:
     """Learn from labelled rows whose crc32(doc_id) mod 5 is not 0: remainder 1 calibrates, the others are counted."""
+    bounded_batches(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     wanted = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold")).where("fold <> 0").dropDuplicates(["doc_id"])
     n = wanted.count()
@@ -243,6 +245,7 @@ def _chance(model: Model, z: float) -> float:
 
 def _ready(docs: DataFrame, model: Model):
     """The tables as a broadcast of plain arrays (their sizes are fixed), and the rest for the closure."""
+    bounded_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(model.tables), replace(model, tables=())
 
 

@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Words as the operators define them, for Spark and DuckDB regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,9 +43,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base^0 .. base^(n - 1); short ones are kept by the worker."""
+    kept = worker_state().setdefault("powers", {})
+    found = kept.get(int(base))
+    if found is None or len(found) < n:
+        found = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        found[0] = 1
+        found = np.multiply.accumulate(found)
+        if len(found) <= 4 * SLICE_BYTES:
+            kept[int(base)] = found
+    return found[:n]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
