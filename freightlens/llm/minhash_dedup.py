@@ -7,7 +7,8 @@
 3. Classes that share a band are compared with one hub of the band's bucket, in two
    rounds with different hubs.  A pair inside one component needs no test.
 4. What is left are the pairs of a bucket that lie in different components.  They are
-   compared in blocks by their minima; none is left out.
+   compared in blocks of bounded size, by their minima and then by half-width shingle
+   hashes; none is left out.
 5. Every pair whose minima agree enough is confirmed on the full shingle sets.
 
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8^6)^40, about
@@ -34,14 +35,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 @dataclass(frozen=True)
 class Settings:
-    """Words per shingle, least similarity in percent, bands, minima per band, least estimate, block size."""
+    """Words per shingle, least similarity in percent, bands, minima per band, least estimate, documents and set elements per block."""
 
     k: int = 5
     percent: int = 80
     bands: int = 40
     rows: int = 6
     estimate: float = 0.7
-    block: int = 512
+    block: int = 4096
+    elements: int = 4_000_000
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +84,7 @@ def sketch(texts: DataFrame, cfg: Settings) -> DataFrame:
 
 
 def full_sets(texts: DataFrame, cfg: Settings) -> DataFrame:
-    """doc_id and its distinct shingle hashes."""
+    """doc_id, its distinct shingle hashes, and their upper halves as packed 32-bit numbers."""
 
     def run(batches):
         for batch in batches:
@@ -90,9 +92,10 @@ def full_sets(texts: DataFrame, cfg: Settings) -> DataFrame:
             for lo, raw, offsets in W.slices(batch.column("text")):
                 found = W.Words(raw, offsets)
                 parts = [x.view(np.int64) for x in W.sets(found.first, found.hash, cfg.k)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(parts)), W.list_column(parts, pa.int64())], ["doc_id", "grams"])
+                halves = pa.array([np.unique(x.view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in parts], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(parts)), W.list_column(parts, pa.int64()), halves], ["doc_id", "grams", "halves"])
 
-    return texts.mapInArrow(run, "doc_id long, grams array<long>")
+    return texts.mapInArrow(run, "doc_id long, grams array<long>, halves binary")
 
 
 def _alike(pairs: DataFrame, cfg: Settings) -> DataFrame:
@@ -122,30 +125,33 @@ def confirm(pairs: DataFrame, reps: DataFrame, grams: DataFrame, cfg: Settings)
 
 
 def _across(rows: DataFrame, cfg: Settings) -> DataFrame:
-    """Alike pairs of different components within each (bucket, block), by numpy.
+    """Pairs of different components within each (bucket, block of outliers, block of members) that can reach the similarity.
 
-    ``rows`` come sorted by (key, block), the moved copies of outliers first.  A pair
-    comes out in the first band that its documents share only.
+    Two sets can share no more elements than halves of elements, so no link is lost.
+    A pair comes out in the first band that its documents share only.
     """
     width, kind = cfg.bands * cfg.rows, "u long, v long"
 
+    def possible(a, b, n_a, n_b):
+        both = len(np.intersect1d(a, b, assume_unique=True)) + n_a - len(a) + n_b - len(b)
+        return both * 100 >= (n_a + n_b - both) * cfg.percent
+
     def pairs(t):
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, width)
-        rep, comp, band = t["rep"].to_numpy(), t["comp"].to_numpy(), int(t["band"][0].as_py())
-        out = np.flatnonzero(t["moved"].to_numpy(zero_copy_only=False))
-        here = np.flatnonzero(~t["moved"].to_numpy(zero_copy_only=False))
-        found = []
-        for lo in range(0, len(out), 16):
-            some = out[lo : lo + 16]
-            for at in range(0, len(here), cfg.block):
-                part = here[at : at + cfg.block]
-                same = sig[some][:, None, :] == sig[part][None, :, :]
-                shared = same.reshape(len(some), len(part), cfg.bands, cfg.rows).all(3).argmax(2)
-                ok = (same.mean(2) >= cfg.estimate) & (comp[some][:, None] != comp[part][None, :]) & (shared == band)
-                i, j = np.nonzero(ok)
-                found.append((rep[some][i], rep[part][j]))
-        u = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        v = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
+        halves = [np.frombuffer(x, np.uint32) for x in t["halves"].to_pylist()]
+        rep, comp, n, band = t["rep"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy(), int(t["band"][0].as_py())
+        moved = t["moved"].to_numpy(zero_copy_only=False)
+        out, here = np.flatnonzero(moved), np.flatnonzero(~moved)
+        u, v = [], []
+        for i in out:
+            other = here[comp[here] != comp[i]]
+            same = sig[other] == sig[i]
+            near = np.flatnonzero(same.sum(1) >= cfg.estimate * width)
+            first = same[near].reshape(len(near), cfg.bands, cfg.rows).all(2).argmax(1)
+            for j in other[near[first == band]]:
+                if possible(halves[i], halves[j], n[i], n[j]):
+                    u.append(rep[i])
+                    v.append(rep[j])
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     def run(batches):
@@ -153,8 +159,8 @@ def _across(rows: DataFrame, cfg: Settings) -> DataFrame:
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-            key, block = t["key"].to_numpy(), t["block"].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            key, block, far = (t[c].to_numpy() for c in ("key", "block", "far"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (far[1:] != far[:-1])) + 1
             lo = 0
             for hi in cuts:
                 if hi - lo > 1:
@@ -165,9 +171,9 @@ def _across(rows: DataFrame, cfg: Settings) -> DataFrame:
             yield pairs(rest)
 
     return (
-        rows.repartition("key", "block")
-        .sortWithinPartitions("key", "block")
-        .select("key", "block", "band", "moved", "rep", "comp", "sig")
+        rows.repartition("key", "block", "far")
+        .sortWithinPartitions("key", "block", "far")
+        .select("key", "block", "far", "band", "moved", "rep", "comp", "n", "sig", "halves")
         .mapInArrow(run, kind)
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
@@ -224,10 +230,19 @@ def groups(texts: DataFrame, cfg: Settings = Settings()) -> DataFrame:
         links = new if links is None else links.unionByName(new)
         found = components(links)
     now = _in_buckets(members, found)
-    sizes = now.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("m"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    placed = now.join(sizes.where("m > 2"), "key").join(reps.select("rep", "sig"), "rep").withColumn("blocks", F.ceil(F.col("m") / cfg.block).cast("int"))
-    home = placed.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("moved", F.lit(False))
-    moved = placed.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("moved", F.lit(True))
+    # a block holds at most cfg.block documents and about cfg.elements set elements
+    sized = now.join(reps, "rep")
+    blocks = lambda m, e: F.greatest(F.ceil(m / cfg.block), F.ceil(e / cfg.elements)).cast("int")
+    by_comp = sized.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("e"))
+    sizes = by_comp.groupBy("key").agg(F.sum("m").alias("m"), F.sum("e").alias("e"), F.max_by(F.struct("comp", "m", "e"), F.struct("m", "comp")).alias("main"))
+    sizes = sizes.where("m > 2").select(
+        "key", F.col("main.comp").alias("main"), blocks(F.col("m"), F.col("e")).alias("blocks"), blocks(F.col("m") - F.col("main.m"), F.col("e") - F.col("main.e")).alias("fars")
+    )
+    placed = sized.join(sizes, "key").join(grams.select("rep", "halves"), "rep")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    home = placed.withColumn("moved", F.lit(False)).withColumn("block", own("blocks")).withColumn("far", spread("fars"))
+    moved = placed.where("comp <> main").withColumn("moved", F.lit(True)).withColumn("block", spread("blocks")).withColumn("far", own("fars"))
     last = _across(home.unionByName(moved), cfg)
     found = components(links.unionByName(stored(confirm(last, reps, grams, cfg), "links")))
 
