@@ -10,15 +10,18 @@ list and the running sum of its counts.
 Shards are ranges of doc_id in order, so concatenating shards and blocks gives the
 ids in ascending doc_id order.
 
-A text is cut before single white space between two other characters, where no
-token of a byte-level BPE can cross, and each distinct cut piece is encoded once per
-worker; a bounded table of pieces is kept between tasks.
+A text is cut before single white space between two other characters, after such a
+line end, and between an ASCII letter and a stop: no token of the byte-level BPE
+crosses these places.  Each distinct piece is encoded once per worker, which keeps a
+bounded table of the pieces used most.
 """
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,10 @@ from .joins import bounded_batches
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_IDS = 1 << 16
-#: Distinct pieces a worker keeps; at the bound it starts again.
-PIECES = 1_500_000
+#: Distinct pieces a worker keeps; beyond it the half used in most slices stays.
+PIECES = 1_000_000
+LETTERS = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+STOPS = np.isin(np.arange(256), [ord(c) for c in ",.;:!?"])
 SCHEMA = "shard int, block int, width int, n_ids long, at long, doc_ids array<bigint>, counts array<bigint>, payload binary"
 
 
@@ -71,22 +76,34 @@ class PieceEncoder:
     """Ids of texts through a table of encoded pieces."""
 
     def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.forget()
 
     def forget(self):
-        self.keys, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.used, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+
+    def shrink(self):
+        """Keep the half of the table that most slices used."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: PIECES // 2])
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.flat = self.flat[np.arange(ends[-1]) - np.repeat(ends - sizes - self.starts[keep], sizes)]
+        self.keys, self.starts, self.sizes, self.used = self.keys[keep], ends - sizes, sizes, self.used[keep] // 2
 
     def _learn(self, keys: np.ndarray, pieces: list[str]):
-        ids = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        # few at a time: an encoding holds much more than its ids
+        ids = [e.ids for lo in range(0, len(pieces), 2048) for e in self.tokenizer.encode_batch_fast(pieces[lo : lo + 2048], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), self.flat.dtype, int(sizes.sum()))
         starts = np.cumsum(sizes, dtype=np.int64) - sizes + len(self.flat)
         allk = np.concatenate([self.keys, keys])
         order = np.argsort(allk, kind="stable")
         self.keys, self.starts, self.sizes = allk[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.sizes, sizes])[order]
+        self.used = np.concatenate([self.used, np.zeros(len(keys), np.int32)])[order]
         self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +116,9 @@ class PieceEncoder:
         first[1:-1] = white[1:-1] & ~white[:-2] & ~white[2:]
         inner = offsets[(offsets > 0) & (offsets < n)]
         first[inner - 1] = False  # the next character belongs to another text
+        first[inner] = False  # so does the one before
+        first[1:] |= first[:-1] & (raw[:-1] < 32) & (raw[1:] < 128) & white[:-1]  # a lone line end or tab before ASCII is a piece
+        first[1:] |= LETTERS[raw[:-1]] & STOPS[raw[1:]]
         first[inner] = True
         first[0] = True
         starts = np.flatnonzero(first)
@@ -108,7 +128,7 @@ class PieceEncoder:
         keys = W.mix((sums[ends] - sums[starts]) * W.powers(W.INVERSE, n)[starts])
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) > PIECES:
-            self.forget()
+            self.shrink()
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         ok = at < len(self.keys)
@@ -118,6 +138,7 @@ class PieceEncoder:
             new = where[~known]
             self._learn(distinct[~known], [data[a:b].decode() for a, b in zip(starts[new], ends[new])])
             at = np.searchsorted(self.keys, distinct)
+        self.used[at] += 1
         begin, size = self.starts[at][back], self.sizes[at][back].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(total[-1]) - np.repeat(total[:-1] - begin, size)]
@@ -159,7 +180,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, v
         ids, doc_ids, counts, held, at, block = [], [], [], 0, 0, 0
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for lo, raw, offsets in W.slices(batch.column("text"), 1 << 19):
+            for lo, raw, offsets in W.slices(batch.column("text"), 1 << 18):
                 flat, sizes = encoder.encode(raw, offsets)
                 ends = np.cumsum(sizes)
                 for i, (stop, size) in enumerate(zip(ends, sizes)):

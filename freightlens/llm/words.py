@@ -75,6 +75,7 @@ def slices(column: pa.Array, size: int = SLICE_BYTES):
         hi = min(max(hi, lo + 1), n)
         yield lo, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def _pieces(raw: np.ndarray, size: int):
