@@ -44,17 +44,25 @@ def insert_checked(
     )
     done = marked.withColumn("violations", F.concat("violations", extra)).drop("_stored", "_order", "_winner", "_copies")
     good = F.size("violations") == 0
-    return done.filter(good).drop("violations").select(*batch.columns), done.filter(~good).select(*batch.columns, "violations")
+    fit = done.filter(good).select(*batch.columns)
+    # of rows equal in every column one is accepted; counting them keeps a much repeated row out of one task
+    copies = fit.groupBy(*batch.columns).agg(F.count("*").alias("_n"))
+    again = copies.filter("_n > 1").withColumn("_i", F.explode(F.expr("sequence(2, _n)"))).select(*batch.columns, F.array(F.lit(f"repeated_{key}")).alias("violations"))
+    return copies.dropDuplicates([key]).select(*batch.columns), done.filter(~good).select(*batch.columns, "violations").unionByName(again)
 
 
-def partial_update(table: DataFrame, updates: DataFrame, key: str, set_fields: str = "set_fields") -> DataFrame:
-    """Replace exactly the fields an update names; a named field may be set to null."""
-    fields = [c for c in updates.columns if c not in (key, set_fields)]
-    u = updates.select(key, set_fields, *[F.col(c).alias(f"_new_{c}") for c in fields])
-    joined = table.join(u, key, "left")
-    changed = {
-        c: F.when(F.array_contains(set_fields, c), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in fields
-    }
+def partial_update(table: DataFrame, updates: DataFrame, key: str, set_fields: str = "set_fields", order: str | None = None) -> DataFrame:
+    """Replace exactly the fields an update names; a named field may be set to null.
+
+    Of several updates of a key, the last by ``order`` that names a field sets it (a
+    fixed order of the rows' contents without one), so a table row stays one row.
+    """
+    fields = [c for c in updates.columns if c not in (key, set_fields, order)]
+    last = F.struct(F.col(order) if order else F.lit(0), F.xxhash64(*[F.col(c).cast("string") for c in updates.columns]))
+    named = lambda c: F.array_contains(set_fields, c)
+    folded = updates.groupBy(key).agg(*[F.max_by(F.struct(F.col(c).alias("v")), F.when(named(c), last)).alias(f"_new_{c}") for c in fields])
+    joined = table.join(folded, key, "left")
+    changed = {c: F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}")["v"]).otherwise(F.col(c)) for c in fields}
     return joined.withColumns(changed).select(*table.columns)
 
 
@@ -101,9 +109,13 @@ def retention_apply(tables: dict[str, DataFrame], as_of: str, days_to_keep: int)
     return kept
 
 
-def backfill_outcomes(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Actual hours from arrivals (never negative) and the accuracy that follows."""
-    known = outcomes.select("shipment_id", F.greatest(F.col("delay_hours"), F.lit(0.0)).alias("_actual"))
+def backfill_outcomes(predictions: DataFrame, outcomes: DataFrame, order: str | None = None) -> DataFrame:
+    """Actual hours from arrivals (never negative) and the accuracy that follows.
+
+    Of several outcomes of a voyage the last by ``order`` counts, without one the longest delay.
+    """
+    last = outcomes.groupBy("shipment_id").agg(F.max_by("delay_hours", F.struct(F.col(order or "delay_hours"), F.col("delay_hours"))).alias("delay_hours"))
+    known = last.select("shipment_id", F.greatest(F.col("delay_hours"), F.lit(0.0)).alias("_actual"))
     joined = predictions.join(known, "shipment_id", "left")
     actual = F.coalesce("_actual", "actual_delay_hours")
     return joined.withColumn("actual_delay_hours", actual).drop("_actual").withColumn(

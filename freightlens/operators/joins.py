@@ -54,28 +54,16 @@ def recent_shipments(voyages: DataFrame, customers: DataFrame, predictions: Data
     return with_latest_prediction(named.drop("name"), mine).withColumn("risk_level", band_hours("predicted_delay_hours"))
 
 
-def track(voyages: DataFrame, events: DataFrame, predictions: DataFrame, newest: int = 50) -> DataFrame:
-    """Voyage, its newest tracking events (newest first) and its latest prediction.
+def track(voyages: DataFrame, events: DataFrame, predictions: DataFrame) -> DataFrame:
+    """One row per voyage and tracking event, newest event as rank 1, with the voyage's latest prediction.
 
-    The rank filter keeps at most ``newest`` events of a voyage before the
-    shuffle; the full history of a voyage is the page operator's job.
+    A voyage without events has one row with a null event.
     """
     rank = F.row_number().over(Window.partitionBy("shipment_id").orderBy(F.col("event_timestamp").desc(), F.col("id").desc()))
-    kept = events.withColumn("_rank", rank).filter(F.col("_rank") <= newest)
-    listed = kept.groupBy("shipment_id").agg(
-        F.sort_array(
-            F.collect_list(F.struct("event_timestamp", F.col("id").alias("event_id"), "event_type")), asc=False
-        ).alias("events")
-    )
-    counts = events.groupBy("shipment_id").agg(F.count("*").alias("event_count"))
-    per_voyage = counts.join(listed, "shipment_id").withColumnRenamed("shipment_id", "id")
-    empty = F.array().cast(listed.schema["events"].dataType)
-    return (
-        with_latest_prediction(voyages, predictions)
-        .join(per_voyage, "id", "left")
-        .withColumn("events", F.coalesce("events", empty))
-        .withColumn("event_count", F.coalesce("event_count", F.lit(0)))
-    )
+    ranked = events.select(
+        "shipment_id", "event_timestamp", F.col("id").alias("event_id"), "event_type", rank.alias("event_rank")
+    ).withColumnRenamed("shipment_id", "id")
+    return with_latest_prediction(voyages, predictions).join(ranked, "id", "left")
 
 
 def high_risk_list(voyages: DataFrame, customers: DataFrame, predictions: DataFrame, n: int = 20) -> DataFrame:
@@ -155,26 +143,33 @@ def with_route_statistics(voyages: DataFrame, statistics: DataFrame | None = Non
     return voyages.join(stats, ["origin_port", "destination_port"], "left")
 
 
-def route_history(voyages: DataFrame, last: int = 100) -> DataFrame:
-    """Figures over the latest arrivals of each route (at most ``last``: the feature's window)."""
-    w = Window.partitionBy("origin_port", "destination_port").orderBy(F.col("actual_arrival").desc(), "id")
-    recent = (
-        voyages.filter(F.col("actual_arrival").isNotNull())
-        .select("origin_port", "destination_port", "actual_arrival", "scheduled_arrival", "id")
-        .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= last)
-        .withColumn("hours", hours_between("scheduled_arrival", "actual_arrival"))
-    )
-    return recent.groupBy("origin_port", "destination_port").agg(
-        F.avg("hours").alias("route_avg_delay"),
-        F.expr("percentile(hours, 0.5D)").alias("route_median_delay"),
-        F.stddev_pop("hours").alias("route_delay_std"),
-        F.max("hours").alias("route_max_delay"),
-        F.count("*").alias("route_frequency"),
+def route_history(voyages: DataFrame, last: int | None = None) -> DataFrame:
+    """Figures over the arrivals of each route; ``last`` keeps the latest ones only.
+
+    Equal delays are counted first, so a busy route is a short list of values.
+    """
+    arrived = voyages.filter(F.col("actual_arrival").isNotNull())
+    if last is not None:
+        w = Window.partitionBy("origin_port", "destination_port").orderBy(F.col("actual_arrival").desc(), "id")
+        arrived = arrived.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= last)
+    hours = hours_between("scheduled_arrival", "actual_arrival")
+    counted = arrived.groupBy("origin_port", "destination_port", hours.alias("hours")).agg(F.count("*").alias("n"))
+    n, x = F.col("n"), F.col("hours")
+    means = counted.groupBy("origin_port", "destination_port").agg((F.sum(x * n) / F.sum(n)).alias("route_avg_delay"))
+    off = x - F.col("route_avg_delay")
+    return (
+        counted.join(means, ["origin_port", "destination_port"])
+        .groupBy("origin_port", "destination_port", "route_avg_delay")
+        .agg(
+            F.expr("percentile(hours, 0.5D, n)").alias("route_median_delay"),
+            F.sqrt(F.sum(off * off * n) / F.sum(n)).alias("route_delay_std"),
+            F.max("hours").alias("route_max_delay"),
+            F.sum("n").alias("route_frequency"),
+        )
     )
 
 
-def with_route_history(requests: DataFrame, voyages: DataFrame, last: int = 100) -> DataFrame:
+def with_route_history(requests: DataFrame, voyages: DataFrame, last: int | None = None) -> DataFrame:
     joined = requests.join(route_history(voyages, last), ["origin_port", "destination_port"], "left")
     return joined.na.fill(
         0, ["route_avg_delay", "route_median_delay", "route_delay_std", "route_max_delay", "route_frequency"]

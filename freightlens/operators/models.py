@@ -268,13 +268,14 @@ def regression_metrics(scored: DataFrame) -> dict[str, float]:
 
 
 def ensemble_hours(models: dict[str, Model], vectors: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Weighted hours, never negative, and agreement of the models as confidence."""
+    """Weighted hours, never negative, and agreement of the models as confidence; weights count relative to those present."""
     weights = weights or REGRESSION_WEIGHTS
     out = vectors
     for name, model in models.items():
         out = model.copy({model.predictionCol: f"_h_{name}"}).transform(out)
     each = F.array(*[F.greatest(F.col(f"_h_{n}"), F.lit(0.0)) for n in models])
-    total = sum((F.greatest(F.col(f"_h_{n}"), F.lit(0.0)) * weights[n] for n in models), F.lit(0.0))
+    share = sum(weights[n] for n in models)
+    total = sum((F.greatest(F.col(f"_h_{n}"), F.lit(0.0)) * (weights[n] / share) for n in models), F.lit(0.0))
     shown = out.withColumns({"_each": each, "predicted_delay_hours": total})
     return shown.withColumn("confidence_score", agreement("_each")).drop("_each", *[f"_h_{n}" for n in models])
 

@@ -135,9 +135,8 @@ _HOURS = "greatest(0e0, (2e0 + 12 * w + 8 * (0.5e0 + 0.5e0)) * CASE WHEN is_prio
 @register(
     "predict_voyages",
     "R-20 C-23 C-27 C-28 J-08",
-    f"""WITH h AS (SELECT origin_port, destination_port, date_diff('second', scheduled_arrival, actual_arrival) / 3600e0 AS h,
-           row_number() OVER (PARTITION BY origin_port, destination_port ORDER BY actual_arrival DESC, id) AS rn FROM voyages WHERE actual_arrival IS NOT NULL),
-         s AS (SELECT origin_port, destination_port, avg(h) AS m FROM h WHERE rn <= 100 GROUP BY 1, 2),
+    f"""WITH h AS (SELECT origin_port, destination_port, date_diff('second', scheduled_arrival, actual_arrival) / 3600e0 AS h FROM voyages WHERE actual_arrival IS NOT NULL),
+         s AS (SELECT origin_port, destination_port, avg(h) AS m FROM h GROUP BY 1, 2),
          q AS (SELECT id, is_priority, coalesce(m, 0) AS m, 0.5e0 + CASE WHEN month(scheduled_departure) IN (12, 1, 2) THEN 0.2e0
            WHEN month(scheduled_departure) IN (6, 7, 8) THEN 0.1e0 ELSE 0e0 END AS w FROM voyages v LEFT JOIN s USING (origin_port, destination_port)),
          r AS (SELECT id, {_HOURS} AS h, least(m / 24, 0.5e0) AS route_history FROM q)

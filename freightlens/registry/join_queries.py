@@ -39,14 +39,15 @@ def latest_prediction(spark, root):
 @register(
     "track_voyages",
     "J-03",
-    """SELECT v.id, l.predicted_delay_hours, coalesce(e.n, 0) AS event_count, e.newest_event
+    """SELECT v.id, l.predicted_delay_hours, e.event_id, e.event_type, e.event_timestamp, e.event_rank
        FROM voyages v LEFT JOIN latest l ON l.shipment_id = v.id
-       LEFT JOIN (SELECT shipment_id, count(*) AS n, arg_max(event_type, (event_timestamp, id)) AS newest_event
-                  FROM tracking_events GROUP BY 1) e ON e.shipment_id = v.id""",
+       LEFT JOIN (SELECT shipment_id, id AS event_id, event_type, event_timestamp,
+                    row_number() OVER (PARTITION BY shipment_id ORDER BY event_timestamp DESC, id DESC) AS event_rank
+                  FROM tracking_events) e ON e.shipment_id = v.id""",
 )
 def track_voyages(spark, root):
     out = joins.track(shapes.voyages(spark, root), shapes.tracking_events(spark, root), shapes.predictions(spark, root))
-    return out.select("id", "predicted_delay_hours", "event_count", F.get("events", F.lit(0))["event_type"].alias("newest_event"))
+    return out.select("id", "predicted_delay_hours", "event_id", "event_type", "event_timestamp", "event_rank")
 
 
 @register(
@@ -119,10 +120,9 @@ def route_statistics(spark, root):
 @register(
     "route_history",
     "J-08",
-    f"""WITH r AS (SELECT origin_port, destination_port, {_DELAY} AS h, row_number() OVER (PARTITION BY origin_port, destination_port
-         ORDER BY actual_arrival DESC, id) AS rn FROM voyages WHERE actual_arrival IS NOT NULL),
+    f"""WITH r AS (SELECT origin_port, destination_port, {_DELAY} AS h FROM voyages WHERE actual_arrival IS NOT NULL),
        s AS (SELECT origin_port, destination_port, avg(h) AS m, median(h) AS md, stddev_pop(h) AS sd, max(h) AS mx, count(*) AS n
-         FROM r WHERE rn <= 100 GROUP BY 1, 2)
+         FROM r GROUP BY 1, 2)
        SELECT v.id, coalesce(m, 0) AS route_avg_delay, coalesce(md, 0) AS route_median_delay, coalesce(sd, 0) AS route_delay_std,
          coalesce(mx, 0) AS route_max_delay, coalesce(n, 0) AS route_frequency
        FROM voyages v LEFT JOIN s USING (origin_port, destination_port)""",

@@ -142,8 +142,9 @@ def opportunities(spark, root):
     return rules.opportunities(figures(spark, root).cause_facts).select("category", "potential_improvement", "implementation_effort")
 
 
-_UTIL = """SELECT asset_id, n, CASE WHEN n < avg(n) OVER () * 0.7e0 THEN 'under' WHEN n > avg(n) OVER () * 1.3e0 THEN 'over' ELSE 'balanced' END AS load
-  FROM (SELECT CASE WHEN logistics_delay THEN 'Truck_late' ELSE asset_id END AS asset_id, count(*) AS n FROM scored GROUP BY 1)"""
+_ASSET = "CASE WHEN logistics_delay THEN 'Truck_late' ELSE asset_id END"
+_UTIL = f"""SELECT asset_id, n, CASE WHEN n < avg(n) OVER () * 0.7e0 THEN 'under' WHEN n > avg(n) OVER () * 1.3e0 THEN 'over' ELSE 'balanced' END AS load
+  FROM (SELECT {_ASSET} AS asset_id, count(*) AS n FROM scored GROUP BY 1)"""
 _RESOURCE = f"""WITH u AS ({_UTIL}), s AS (SELECT string_agg(asset_id, ', ' ORDER BY asset_id) FILTER (load = 'over') AS o,
     string_agg(asset_id, ', ' ORDER BY asset_id) FILTER (load = 'under') AS u FROM u)
   SELECT 'Redistribute workload from overutilized assets (' || o || ') to underutilized assets (' || u || ')' AS recommendation FROM s WHERE o IS NOT NULL AND u IS NOT NULL
@@ -172,12 +173,11 @@ def kpi_plans(spark, root):
 @register(
     "prescriptive_recommendations",
     "R-09 V-02",
-    f"""WITH f AS ({CAUSE_FACTS_SQL}), p AS ({_PLANS})
+    f"""WITH f AS ({CAUSE_FACTS_SQL}), p AS ({_PLANS}), a AS ({_RESOURCE.replace(_ASSET, 'asset_id')})
        SELECT 'Delay Reduction' AS category, 'medium' AS priority, 'Reduce delay rate from ' || {_S.format('dr')} || '% to <10%' AS description FROM f WHERE dr > 10
        UNION ALL SELECT 'Risk Mitigation', 'high', 'Reduce high-risk shipments from ' || CAST(hr AS VARCHAR) || ' to <5' FROM f WHERE hr > 5
        UNION ALL SELECT 'Asset Performance Optimization', 'medium', 'Improve performance of ' || CAST(rta AS VARCHAR) || ' underperforming assets' FROM f WHERE rta > 0
-       UNION ALL SELECT 'Resource Optimization', 'medium', 'Review asset allocation strategy to balance utilization'
-       UNION ALL SELECT 'Resource Optimization', 'medium', 'Consider adding capacity if consistently overutilized'
+       UNION ALL SELECT 'Resource Optimization', 'medium', recommendation FROM a
        UNION ALL SELECT 'KPI Improvement: ' || kpi, 'high', 'Close gap of ' || {_S.format('gap')} || ' to reach target' FROM p""",
 )
 def prescriptive_recommendations(spark, root):
@@ -255,7 +255,7 @@ def report_predictive(spark, root):
 @register(
     "report_prescriptive",
     "R-14",
-    f"""WITH f AS ({CAUSE_FACTS_SQL}), p AS ({_PLANS})
+    f"""WITH f AS ({CAUSE_FACTS_SQL}), p AS ({_PLANS}), a AS ({_RESOURCE.replace(_ASSET, 'asset_id')})
        SELECT (CASE WHEN dr > 10 THEN 1 ELSE 0 END) + (CASE WHEN hr > 10 THEN 1 ELSE 0 END) + (CASE WHEN dr > 10 THEN 1 ELSE 0 END)
            + (CASE WHEN ra > 0 THEN 1 ELSE 0 END) AS issues,
          (CASE WHEN dr > 10 THEN 1 ELSE 0 END) + (CASE WHEN hr > 5 THEN 1 ELSE 0 END) + (CASE WHEN rta > 0 THEN 1 ELSE 0 END) AS opportunities,

@@ -82,14 +82,14 @@ SHAPES = {
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY prediction_date DESC, l_linenumber,
       l_partkey, l_suppkey, predicted_delay_hours, confidence_score) AS rn FROM predictions) WHERE rn = 1""",
     "communications": f"""
-  SELECT event_id AS id, event_id % 1500 AS shipment_id, user_id AS customer_id,
+  SELECT event_id AS id, event_id // 4 AS shipment_id, user_id AS customer_id,
     CASE k % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'sms' WHEN 2 THEN 'phone' ELSE 'webhook' END AS type, ts AS sent_at,
     CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type IN ('purchase', 'click') THEN 'delivered'
       ELSE 'sent' END AS delivery_status,
     k % 10 <> 0 AS ai_generated, value / 500 AS engagement_score
   FROM (SELECT *, {_K} AS k FROM events)""",
     "tracking_events": """
-  SELECT event_id AS id, event_id % 1500 AS shipment_id,
+  SELECT event_id AS id, event_id // 4 AS shipment_id,
     CASE event_type WHEN 'purchase' THEN 'arrived' WHEN 'click' THEN 'departed' WHEN 'error' THEN 'delayed'
       WHEN 'signup' THEN 'customs_cleared' ELSE 'in_transit' END AS event_type,
     ts AS event_timestamp, props AS event_data

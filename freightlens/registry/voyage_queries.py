@@ -195,13 +195,13 @@ def notification_statistics(spark, root):
 @register(
     "rule_statistics",
     "A-40",
-    """SELECT 5 AS total_rules, 5 AS active_rules, count(*) AS recent_alerts, count(DISTINCT id % 1500) AS tracked_shipments
+    """SELECT 5 AS total_rules, 5 AS active_rules, count(*) AS recent_alerts, count(DISTINCT id // 4) AS tracked_shipments
        FROM scored WHERE delay_probability > 0.8e0""",
 )
 def rule_statistics(spark, root):
     from ..streaming.alerts import rule_table
 
-    alerts = rows(spark, root).filter(F.col("delay_probability") > 0.8).select((F.col("id") % 1500).alias("shipment_id"))
+    alerts = rows(spark, root).filter(F.col("delay_probability") > 0.8).select(F.expr("id div 4").alias("shipment_id"))
     return vm.rule_statistics(rule_table(spark), alerts)
 
 

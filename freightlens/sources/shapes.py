@@ -142,7 +142,7 @@ def communications(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "events").withColumn("k", _k())
     return e.select(
         F.col("event_id").alias("id"),
-        (F.col("event_id") % 1500).alias("shipment_id"),
+        F.expr("event_id div 4").alias("shipment_id"),
         F.col("user_id").alias("customer_id"),
         F.when(F.col("k") % 4 == 0, "email").when(F.col("k") % 4 == 1, "sms").when(F.col("k") % 4 == 2, "phone").otherwise("webhook").alias("type"),
         F.col("ts").alias("sent_at"),
@@ -159,7 +159,7 @@ def tracking_from_events(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return events.select(
         F.col("event_id").alias("id"),
-        (F.col("event_id") % 1500).alias("shipment_id"),
+        F.expr("event_id div 4").alias("shipment_id"),
         F.when(kind == "purchase", "arrived")
         .when(kind == "click", "departed")
         .when(kind == "error", "delayed")

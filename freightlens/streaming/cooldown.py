@@ -110,12 +110,15 @@ def with_cooldown(
 ) -> DataFrame:
     """Rows of ``alerts`` that are emitted; ``minutes`` is a number or a column name.
 
+    Alerts of a key with another wait are a chain of their own.  Whether a key is
+    walked whole or in chunks doesn't change what is emitted.
+
     A chunk is by default twice the wait, so few rows of it can be entry rows.
     """
     wait = F.col(minutes) if isinstance(minutes, str) else F.lit(minutes)
     base = alerts.withColumns(
         {
-            "_key": F.to_json(F.struct(*keys)),
+            "_key": F.to_json(F.struct(*keys, wait.alias("_minutes"))),
             "_us": F.unix_micros(F.col(ts).cast("timestamp")),
             "_wait": wait.cast("bigint") * 60_000_000,
             "_tie": F.col(tie).cast("bigint"),

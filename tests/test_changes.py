@@ -81,3 +81,23 @@ def test_bins_close_on_the_right(spark):
     assert [r["bin"] for r in out] == ["b1", "b1", "b2", "b5"]
     same = spark.createDataFrame([(3.0,), (3.0,)], "x double")
     assert {r["bin"] for r in features.equal_width_bins(same, "x", 5, "b", "bin").collect()} == {"b1"}
+
+
+def test_repeated_rows_and_updates_stay_one_row(spark):
+    from freightlens.operators import changes
+
+    batch = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, "b"), (2, "c")], "id long, name string")
+    good, bad = changes.insert_checked(batch, batch.limit(0), "id", {})
+    assert sorted(r.id for r in good.collect()) == [1, 2]
+    assert sorted((r.id, tuple(r.violations)) for r in bad.collect()) == [(1, ("repeated_id",)), (1, ("repeated_id",)), (2, ("repeated_id",))]
+
+    table = spark.createDataFrame([(1, "x", "p"), (2, "y", "q")], "id long, name string, phone string")
+    updates = spark.createDataFrame(
+        [(1, "first", None, ["name"], 1), (1, "second", None, ["name"], 2), (1, "no", None, ["phone"], 3)],
+        "id long, name string, phone string, set_fields array<string>, at int",
+    )
+    assert sorted(map(tuple, changes.partial_update(table, updates, "id", order="at").collect())) == [(1, "second", None), (2, "y", "q")]
+
+    predictions = spark.createDataFrame([(1, 5.0, None)], "shipment_id long, predicted_delay_hours double, actual_delay_hours double")
+    outcomes = spark.createDataFrame([(1, 2.0, 1), (1, 1.0, 2)], "shipment_id long, delay_hours double, at int")
+    assert [r.actual_delay_hours for r in changes.backfill_outcomes(predictions, outcomes, "at").collect()] == [1.0]
