@@ -75,11 +75,11 @@ def minimisers(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def suffixes(texts: DataFrame, cfg: Settings) -> DataFrame:
-    """key (hash of the suffix's first words), doc_key, doc_id, pos, left (hash of the words before)."""
+    """key (hash of the suffix's first words), doc_key, pos, left (hash of the words before)."""
 
     def run(batches):
         for batch in batches:
-            ids, keys = batch.column("doc_id"), batch.column("doc_key")
+            keys = batch.column("doc_key")
             for lo, raw, offsets in W.slices(batch.column("text")):
                 found = W.Words(raw, offsets)
                 n = len(found.hash)
@@ -92,28 +92,28 @@ def suffixes(texts: DataFrame, cfg: Settings) -> DataFrame:
                 key = grams(found.hash, cfg.stem)[at]
                 behind = np.minimum(at - found.first[doc], cfg.left)
                 back = grams(found.hash, cfg.left)[at - behind]
-                left = np.where(behind == cfg.left, back, behind.astype(np.uint64))
+                left = np.where(behind == cfg.left, back, W.mix(behind.astype(np.uint64)))
                 row = pa.array(doc + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), keys.take(row), ids.take(row), pa.array((at - found.first[doc]).astype(np.int32)), pa.array(left.view(np.int64))],
-                    ["key", "doc_key", "doc_id", "pos", "left"],
+                    [pa.array(key.view(np.int64)), keys.take(row), pa.array((at - found.first[doc]).astype(np.int32)), pa.array((left >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                    ["key", "doc_key", "pos", "left"],
                 )
 
-    return texts.mapInArrow(run, "key long, doc_key long, doc_id long, pos int, left long")
+    return texts.mapInArrow(run, "key long, doc_key long, pos int, left int")
 
 
 def word_hashes(texts: DataFrame) -> DataFrame:
-    """doc_key and the text's word hashes."""
+    """doc_key, doc_id and the text's word hashes."""
 
     def run(batches):
         for batch in batches:
-            keys = batch.column("doc_key")
+            keys, ids = batch.column("doc_key"), batch.column("doc_id")
             for lo, raw, offsets in W.slices(batch.column("text")):
                 found = W.Words(raw, offsets)
                 parts = [found.hash[a:b].view(np.int64) for a, b in zip(found.first[:-1], found.first[1:])]
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, len(parts)), W.list_column(parts, pa.int64())], ["doc_key", "words"])
+                yield pa.RecordBatch.from_arrays([keys.slice(lo, len(parts)), ids.slice(lo, len(parts)), W.list_column(parts, pa.int64())], ["doc_key", "doc_id", "words"])
 
-    return texts.mapInArrow(run, "doc_key long, words array<long>")
+    return texts.mapInArrow(run, "doc_key long, doc_id long, words array<long>")
 
 
 def common_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -143,14 +143,14 @@ def extended(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least:
 
 
 def _extend(pairs: DataFrame, cfg: Settings) -> DataFrame:
-    """Spans of both documents of each pair: (doc_key, doc_id, start, stop, later)."""
+    """Spans of both documents of each pair: (doc_key, start, stop, later)."""
 
     def run(batches):
         for batch in batches:
-            rows = {k: [] for k in ("doc_key", "doc_id", "start", "stop", "later")}
+            rows = {k: [] for k in ("doc_key", "start", "stop", "later")}
 
-            def add(key, doc, start, stop, later):
-                for k, v in zip(rows, (key, doc, start, stop, later)):
+            def add(*values):
+                for k, v in zip(rows, values):
                     rows[k].append(v)
 
             for i in range(batch.num_rows):
@@ -158,12 +158,12 @@ def _extend(pairs: DataFrame, cfg: Settings) -> DataFrame:
                 a, b = r["words"].values.to_numpy(zero_copy_only=False), r["prev_words"].values.to_numpy(zero_copy_only=False)
                 seeds = [(s["pos"], s["prev_pos"]) for s in r["seeds"].as_py()]
                 for s, e, t, f in extended(a, b, seeds, cfg.least):
-                    add(r["doc_key"].as_py(), r["doc_id"].as_py(), s, e, True)
-                    add(r["prev_key"].as_py(), r["prev_id"].as_py(), t, f, False)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+                    add(r["doc_key"].as_py(), s, e, True)
+                    add(r["prev_key"].as_py(), t, f, False)
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
 
-    return pairs.select("doc_key", "doc_id", "prev_key", "prev_id", "seeds", "words", "prev_words").mapInArrow(run, "doc_key long, doc_id long, start int, stop int, later boolean")
+    return pairs.select("doc_key", "prev_key", "seeds", "words", "prev_words").mapInArrow(run, "doc_key long, start int, stop int, later boolean")
 
 
 def _union(spans):
@@ -199,26 +199,28 @@ def repeats(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     first = (
         found.join(shared, "key")
         .withColumn("part", F.pmod(F.xxhash64("doc_key"), F.ceil(F.col("m") / cfg.chunk)))
-        .groupBy("key", "part", "doc_key", "doc_id")
+        .repartition("key", "part")  # the chunks of a common passage go to different tasks
+        .groupBy("key", "part", "doc_key")
         .agg(F.min_by("left", "pos").alias("left"), F.array_sort(F.collect_set("pos")).alias("at"))
     )
-    order = Window.partitionBy("key", "part").orderBy("left", "doc_id", "doc_key")
+    order = Window.partitionBy("key", "part").orderBy("left", "doc_key")
     neighbours = first.select(
-        "doc_key", "doc_id", "at", F.lag("doc_key").over(order).alias("prev_key"), F.lag("doc_id").over(order).alias("prev_id"), F.lag(F.element_at("at", 1)).over(order).alias("prev_pos")
+        "doc_key", "at", F.lag("doc_key").over(order).alias("prev_key"), F.lag(F.element_at("at", 1)).over(order).alias("prev_pos")
     ).where("prev_key IS NOT NULL")
-    seeds = neighbours.select("doc_key", "doc_id", "prev_key", "prev_id", F.explode("at").alias("pos"), "prev_pos")
+    seeds = neighbours.select("doc_key", "prev_key", F.explode("at").alias("pos"), "prev_pos")
     pairs = stored(
-        seeds.groupBy("doc_key", "doc_id", "prev_key", "prev_id").agg(F.collect_list(F.struct("pos", "prev_pos")).alias("seeds")), "neighbours"
+        seeds.groupBy("doc_key", "prev_key").agg(F.collect_list(F.struct("pos", "prev_pos")).alias("seeds")), "neighbours"
     )
     wanted = stored(pairs.select("doc_key").union(pairs.select("prev_key")).distinct(), "wanted")
     hashes = stored(word_hashes(by_size(keyed, wanted, "doc_key", "left_semi").dropDuplicates(["doc_key"])), "hashes")
-    both = pairs.join(hashes, "doc_key").join(hashes.select(F.col("doc_key").alias("prev_key"), F.col("words").alias("prev_words")), "prev_key")
+    both = pairs.join(hashes.drop("doc_id"), "doc_key").join(hashes.select(F.col("doc_key").alias("prev_key"), F.col("words").alias("prev_words")), "prev_key")
     spans = _extend(both, cfg)
     span = F.struct("start", "stop")
     length = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return (
-        spans.groupBy("doc_key", "doc_id")
+        spans.groupBy("doc_key")
         .agg(F.array_sort(F.collect_set(span)).alias("a"), F.array_sort(F.collect_set(F.when(F.col("later"), span))).alias("b"))
+        .join(hashes.select("doc_key", "doc_id"), "doc_key")
         .select("doc_id", "doc_key", _union(F.col("a")).alias("spans"), _union(F.col("b")).alias("later"))
         .withColumn("n_repeated", length(F.col("spans")))
         .withColumn("n_later", length(F.col("later")))
