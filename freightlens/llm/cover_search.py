@@ -26,7 +26,7 @@ from ..session import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LEAF = 48
+LEAF = 256
 SLACK = 1e-6
 
 
@@ -70,8 +70,8 @@ def cover_tree(x: np.ndarray, rows: np.ndarray, center: np.ndarray | None = None
         left = left[~inside]
     # sets too small for a node of their own share leaves, in the order found
     rest = np.concatenate(loose) if loose else rows[:0]
-    for lo in range(0, len(rest), 4 * LEAF):
-        part = rest[lo : lo + 4 * LEAF]
+    for lo in range(0, len(rest), LEAF):
+        part = rest[lo : lo + LEAF]
         middle = x[part].mean(0)
         children.append(Node(middle, float(np.sqrt(((x[part] - middle) ** 2).sum(1)).max()), part, []))
     return Node(center, radius, rows, children)
@@ -114,10 +114,11 @@ class Search:
     def compare(self, rows: np.ndarray, others: np.ndarray):
         s = self.q[rows] @ self.c[others].T
         s[self.q_ids[rows][:, None] == self.c_ids[others][None, :]] = -np.inf
-        use = (s >= self.score[rows, -1][:, None]).any(1)
+        good = s >= self.score[rows, -1][:, None]
+        use, hit = good.any(1), good.any(0)
         if not use.any():
             return
-        rows, s = rows[use], s[use]
+        rows, others, s = rows[use], others[hit], s[use][:, hit]
         score = np.concatenate([self.score[rows], s], 1)
         ids = np.concatenate([self.ids[rows], np.broadcast_to(self.c_ids[others], s.shape)], 1)
         best = np.lexsort((ids, -score), axis=1)[:, : self.k]
