@@ -195,9 +195,12 @@ def repeats(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), "text")
     found = stored(suffixes(keyed, cfg), "suffixes")
-    shared = found.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_key").alias("lo"), F.max("doc_key").alias("hi")).where("lo <> hi").select("key", "m")
+    # written, so that the join below is one of two plain shuffles, whose hot keys Spark splits, or a counted broadcast
+    shared = stored(
+        found.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_key").alias("lo"), F.max("doc_key").alias("hi")).where("lo <> hi").select("key", "m"), "shared"
+    )
     first = (
-        found.join(shared, "key")
+        by_size(found, shared, "key")
         .withColumn("part", F.pmod(F.xxhash64("doc_key"), F.ceil(F.col("m") / cfg.chunk)))
         .repartition("key", "part")  # the chunks of a common passage go to different tasks
         .groupBy("key", "part", "doc_key")
