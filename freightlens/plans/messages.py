@@ -136,14 +136,21 @@ def fan_out(alerts: DataFrame, recipients: DataFrame, configured: list[str]) ->
     Alerts that name nobody go to everybody in it; a preference that was never
     set counts as wanted.
     """
-    everybody = recipients.agg(F.array_sort(F.collect_list("recipient_id")).alias("ids")).scalar()
-    named = F.when(F.size(F.coalesce("recipients", F.array().cast("array<string>"))) > 0, F.col("recipients")).otherwise(everybody)
-    people = recipients.select("recipient_id", "active", "preferences")
-    aimed = alerts.withColumn("recipient_id", F.explode(named)).join(people, "recipient_id")
+    people = recipients.select("recipient_id", "active", "preferences").filter("active")
+    by_name = F.size(F.coalesce("recipients", F.array().cast("array<string>"))) > 0
+    named = alerts.filter(by_name).withColumn("recipient_id", F.explode("recipients")).join(people, "recipient_id")
+    # people are listed under every type they want, so alerts to everybody meet them through an equi join
+    kinds = [name for name, _, _ in NOTIFICATION_TYPES]
+    kind = F.when(F.col("type").isin(*kinds), F.col("type")).otherwise("other")
+    listed = people.withColumn("_kind", F.explode(F.array(*[F.lit(k) for k in [*kinds, "other"]]))).filter(
+        (F.col("_kind") == "other") | F.coalesce(F.try_element_at("preferences", F.col("_kind")), F.lit(True))
+    )
+    general = alerts.filter(~by_name).withColumn("_kind", kind).join(listed, "_kind").drop("_kind")
+    aimed = general.unionByName(named)
     wanted = F.coalesce(F.try_element_at("preferences", F.col("type")), F.lit(True))
     ways = F.array_intersect("channels", F.array(*[F.lit(c) for c in configured]))
     return (
-        aimed.filter(F.col("active") & wanted)
+        aimed.filter(wanted)
         .withColumn("channel", F.explode(ways))
         .drop("recipients", "channels", "preferences", "active")
     )

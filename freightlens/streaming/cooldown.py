@@ -151,12 +151,15 @@ def with_cooldown(
 STATE_SCHEMA = "memory string, pending string"
 
 
-def ordered_fold(stream: DataFrame, keys: list[str], columns: list[str], ts: str, output: str, fold) -> DataFrame:
+def ordered_fold(stream: DataFrame, keys: list[str], columns: list[str], ts: str, output: str, fold, matters=None) -> DataFrame:
     """Apply ``fold`` to each key's rows in event-time order.
 
     Rows wait in the key's state until the watermark passes them, so rows arriving
     out of order are sorted first and the state holds no more than the watermark
-    delay.  ``fold(memory, rows) -> (memory, output rows)`` works on plain lists.
+    delay.  Equal times are ordered by the first of ``columns``.
+    ``fold(memory, rows) -> (memory, output rows)`` works on plain lists.
+    ``matters(memory)`` is the microsecond from which the memory can't change a result
+    any more; a key's state is removed once the watermark has passed it.
     """
     import json
 
@@ -168,13 +171,17 @@ def ordered_fold(stream: DataFrame, keys: list[str], columns: list[str], ts: str
             us = pdf[ts].astype("datetime64[us]").astype("int64")
             pending += [[int(t), *r] for t, r in zip(us, pdf[columns].to_numpy(dtype=object).tolist())]
         now = state.getCurrentWatermarkMs()
-        pending.sort(key=lambda r: (r[0], str(r[1])))
+        pending.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
         ready = [r for r in pending if r[0] <= now * 1000]
         pending = pending[len(ready):]
         memory, out = fold(memory, ready)
-        state.update((json.dumps(memory), json.dumps(pending, default=str)))
-        if pending:
-            state.setTimeoutTimestamp(max(now, pending[0][0] // 1000) + 1)
+        wake = pending[0][0] if pending else matters(memory) if matters and memory is not None else None
+        if not pending and (memory is None or (wake is not None and wake <= now * 1000)):
+            state.remove()
+        else:
+            state.update((json.dumps(memory), json.dumps(pending, default=str)))
+            if wake is not None:
+                state.setTimeoutTimestamp(max(now, wake // 1000) + 1)
         if out:
             yield pd.DataFrame([[*key, pd.Timestamp(r[0], unit="us"), *r[1:]] for r in out], columns=names)
 
@@ -194,7 +201,7 @@ def stream_cooldown(stream: DataFrame, keys: str, minutes: int) -> DataFrame:
         return last, out
 
     names = [k.split()[0] for k in keys.split(", ")]
-    return ordered_fold(stream, names, ["id"], "ts", f"{keys}, ts timestamp, id bigint", fold)
+    return ordered_fold(stream, names, ["id"], "ts", f"{keys}, ts timestamp, id bigint", fold, matters=lambda last: last + wait)
 
 
 def stream_status_changes(stream: DataFrame) -> DataFrame:

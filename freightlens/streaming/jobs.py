@@ -127,15 +127,20 @@ def without_repeats(stream: DataFrame, key: str = "event_id", ts: str = "ts", la
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def deliver_due(spark: SparkSession, stream: DataFrame, out: str, waiting: str, as_of: Column):
+def deliver_due(spark: SparkSession, stream: DataFrame, out: str, waiting: str, as_of: Column, checkpoint: str | None = None):
     """Per micro-batch: due rows go to ``out``, the rest to ``waiting``.
 
-    The batch number names the target folder and each folder is overwritten, so a
-    repeated batch leaves the same files.
+    A batch also takes up what the one before left waiting.  The batch number names
+    the target folder and each folder is overwritten, so a repeated batch leaves the
+    same files.  A later run goes on where this one ended if it names the same
+    ``checkpoint``; a run without one needs folders of its own.
     """
     from ..plans.messages import due
 
     def write(batch: DataFrame, number: int) -> None:
+        if number:
+            held_before = batch.sparkSession.read.schema(batch.schema).parquet(f"{waiting}/batch={number - 1}")
+            batch = batch.unionByName(held_before)
         batch = batch.persist()
         ready = due(batch, as_of)
         ready.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -145,7 +150,7 @@ def deliver_due(spark: SparkSession, stream: DataFrame, out: str, waiting: str,
 
     return (
         stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", new_path(spark, "deliver"))
+        .option("checkpointLocation", checkpoint or new_path(spark, "deliver"))
         .trigger(availableNow=True)
         .start()
     )

@@ -105,6 +105,28 @@ def test_deferred_delivery(spark):
     assert ids(out) == [1, 2] and ids(waiting) == [3]
 
 
+def test_deferred_rows_are_delivered_by_a_later_run(spark):
+    schema = "id bigint, scheduled_for timestamp"
+    source, out, waiting, state = (new_path(spark, name) for name in ("source", "out", "waiting", "state"))
+
+    def run(rows, as_of):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.deliver_due(spark, stream, out, waiting, F.lit(as_of).cast("timestamp"), state).awaitTermination()
+        return sorted(r["id"] for r in spark.read.schema(schema).parquet(out).collect())
+
+    assert run([(1, None), (2, START + dt.timedelta(days=2)), (3, START + dt.timedelta(days=9))], "2024-01-02") == [1]
+    assert run([(4, None)], "2024-01-04") == [1, 2, 4]
+    assert run([(5, None)], "2024-01-20") == [1, 2, 3, 4, 5]
+
+
+def test_stream_cooldown_orders_equal_times_by_number(spark):
+    batches = [[("a", START, 10), ("a", START, 9)], [("a", START + dt.timedelta(hours=9), 11)], [("b", START + dt.timedelta(hours=20), 12)]]
+    stream = files_of(spark, batches, "k string, ts timestamp, id bigint").withWatermark("ts", "1 hour")
+    out = jobs.run_available(spark, cooldown.stream_cooldown(stream, "k string", 30), "test")
+    assert {r["id"] for r in out.collect()} - {12} == {9, 11}
+
+
 def test_retries_stop_at_the_limit(spark):
     df = spark.createDataFrame([(1, "failed", 0), (2, "failed", 2), (3, "failed", 3), (4, "sent", 0)], "id bigint, status string, retry_count int")
     assert {(r["id"], r["retry_count"]) for r in to_retry(df).collect()} == {(1, 1), (2, 3)}
