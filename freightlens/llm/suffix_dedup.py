@@ -4,14 +4,14 @@
    5-word hash is the least of some window of 16 consecutive places.  Two texts that
    share 50 words share such a place in the passage's first 16 words, and the 35 words
    after it.
-2. Suffixes are brought together by their first 35 words and, among those, sorted by
-   the words to their left and the document.  Neighbours in that order are compared.
-   A very common passage is cut into chunks of many suffixes, each with neighbours.
-3. Neighbours' matches are extended word by word to the right and to the left over the
-   whole texts; matches of at least 50 words count.
-
-The document after another in the order holds the repeat; the first holds the
-original.
+2. Suffixes are brought together by their first 35 words and, among those, sorted
+   twice: by the words to their left and by the words that follow.  Neighbouring
+   documents in either order are compared.  A passage of very many documents is cut
+   into chunks of documents; one common document is in all of them.
+3. Two neighbours are compared at all their places: every 50 words of the one that
+   occur anywhere in the other count.
+
+Of two documents, the one of the smaller key holds the original, the other the repeat.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 @dataclass(frozen=True)
 class Settings:
-    """Least words of a passage, window of places, words hashed per place, left context, suffixes per chunk."""
+    """Least words of a passage, window of places, words hashed per place, context on either side (8 at most), documents per chunk."""
 
     least: int = 50
     window: int = 16
@@ -75,7 +75,16 @@ def minimisers(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def suffixes(texts: DataFrame, cfg: Settings) -> DataFrame:
-    """key (hash of the suffix's first words), doc_key, pos, left (hash of the words before)."""
+    """key (hash of the suffix's first words), doc_key, and the words before and after those (a byte of each hash, nearest first)."""
+
+    def context(hashes, at, step, first, stop):
+        out = np.zeros(len(at), np.uint64)
+        for j in range(cfg.left):
+            place = at + j * step
+            inside = (place >= first) & (place < stop)
+            byte = np.maximum(hashes[np.where(inside, place, 0)] >> np.uint64(56), np.uint64(1))
+            out |= np.where(inside, byte, np.uint64(0)) << np.uint64(56 - 8 * j)
+        return pa.array(out.view(np.int64))
 
     def run(batches):
         for batch in batches:
@@ -90,16 +99,13 @@ def suffixes(texts: DataFrame, cfg: Settings) -> DataFrame:
                 fits = (at + cfg.stem <= found.first[doc + 1]) & (found.first[doc + 1] - found.first[doc] >= cfg.least)
                 at, doc = at[fits], doc[fits]
                 key = grams(found.hash, cfg.stem)[at]
-                behind = np.minimum(at - found.first[doc], cfg.left)
-                back = grams(found.hash, cfg.left)[at - behind]
-                left = np.where(behind == cfg.left, back, W.mix(behind.astype(np.uint64)))
-                row = pa.array(doc + lo)
+                start, stop = found.first[doc], found.first[doc + 1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), keys.take(row), pa.array((at - found.first[doc]).astype(np.int32)), pa.array((left >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-                    ["key", "doc_key", "pos", "left"],
+                    [pa.array(key.view(np.int64)), keys.take(pa.array(doc + lo)), context(found.hash, at - 1, -1, start, stop), context(found.hash, at + cfg.stem, 1, start, stop)],
+                    ["key", "doc_key", "left", "right"],
                 )
 
-    return texts.mapInArrow(run, "key long, doc_key long, pos int, left int")
+    return texts.mapInArrow(run, "key long, doc_key long, left long, right long")
 
 
 def word_hashes(texts: DataFrame) -> DataFrame:
@@ -116,30 +122,16 @@ def word_hashes(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_key long, doc_id long, words array<long>")
 
 
-def common_run(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common start of two sequences."""
-    n, done, step = min(len(a), len(b)), 0, 64
-    while done < n:
-        stop = min(done + step, n)
-        other = np.flatnonzero(a[done:stop] != b[done:stop])
-        if len(other):
-            return done + int(other[0])
-        done, step = stop, step * 4
-    return n
-
-
-def extended(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int, int]]:
-    """Maximal matches (start and stop in a, in b) around seeds, each once."""
-    out, reach = [], {}
-    for p, q in sorted(seeds):
-        if reach.get(p - q, -1) > p:
-            continue
-        right = common_run(a[p:], b[q:])
-        left = common_run(a[:p][::-1], b[:q][::-1])
-        reach[p - q] = p + right
-        if left + right >= least:
-            out.append((p - left, p + right, q - left, q + right))
-    return out
+def common_spans(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Spans of the places of ``a`` that lie in ``least`` words found anywhere in ``b``."""
+    if min(len(a), len(b)) < least:
+        return []
+    x, y = (grams(w.view(np.uint64), least)[: len(w) - least + 1] for w in (a, b))
+    at = np.flatnonzero(np.isin(x, y))
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > least)
+    return list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + least).tolist()))
 
 
 def _extend(pairs: DataFrame, cfg: Settings) -> DataFrame:
@@ -153,17 +145,17 @@ def _extend(pairs: DataFrame, cfg: Settings) -> DataFrame:
                 for k, v in zip(rows, values):
                     rows[k].append(v)
 
+            keys, others = batch.column("doc_key").to_pylist(), batch.column("prev_key").to_pylist()
             for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i] for c in batch.schema.names}
-                a, b = r["words"].values.to_numpy(zero_copy_only=False), r["prev_words"].values.to_numpy(zero_copy_only=False)
-                seeds = [(s["pos"], s["prev_pos"]) for s in r["seeds"].as_py()]
-                for s, e, t, f in extended(a, b, seeds, cfg.least):
-                    add(r["doc_key"].as_py(), s, e, True)
-                    add(r["prev_key"].as_py(), t, f, False)
+                a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("words", "prev_words"))
+                for span in common_spans(a, b, cfg.least):
+                    add(keys[i], *span, True)
+                for span in common_spans(b, a, cfg.least):
+                    add(others[i], *span, False)
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
 
-    return pairs.select("doc_key", "prev_key", "seeds", "words", "prev_words").mapInArrow(run, "doc_key long, start int, stop int, later boolean")
+    return pairs.select("doc_key", "prev_key", "words", "prev_words").mapInArrow(run, "doc_key long, start int, stop int, later boolean")
 
 
 def _union(spans):
@@ -197,23 +189,25 @@ def repeats(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     found = stored(suffixes(keyed, cfg), "suffixes")
     # written, so that the join below is one of two plain shuffles, whose hot keys Spark splits, or a counted broadcast
     shared = stored(
-        found.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_key").alias("lo"), F.max("doc_key").alias("hi")).where("lo <> hi").select("key", "m"), "shared"
+        found.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_key").alias("lo"), F.max("doc_key").alias("hi")).where("lo <> hi").select("key", "m", "lo"), "shared"
     )
+    # places don't count for the number of chunks: one document may hold a passage many times
+    many = by_size(found, stored(shared.where(F.col("m") > cfg.chunk).select("key"), "frequent"), "key")
+    many = stored(many.groupBy("key").agg(F.count_distinct("doc_key").alias("docs")).where(F.col("docs") > cfg.chunk), "many")
+    parts = F.ceil(F.coalesce("docs", F.lit(1)) / cfg.chunk).cast("int")
     first = (
-        by_size(found, shared, "key")
-        .withColumn("part", F.pmod(F.xxhash64("doc_key"), F.ceil(F.col("m") / cfg.chunk)))
+        by_size(by_size(found, shared, "key"), many, "key", "left")
+        .withColumn("parts", parts)
+        # the first document of a passage is in every chunk
+        .withColumn("part", F.explode(F.when(F.col("doc_key") == F.col("lo"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_key", "key"), "parts").cast("int")))))
+        .select("key", "part", "doc_key", "left", "right")
         .repartition("key", "part")  # the chunks of a common passage go to different tasks
-        .groupBy("key", "part", "doc_key")
-        .agg(F.min_by("left", "pos").alias("left"), F.array_sort(F.collect_set("pos")).alias("at"))
-    )
-    order = Window.partitionBy("key", "part").orderBy("left", "doc_key")
-    neighbours = first.select(
-        "doc_key", "at", F.lag("doc_key").over(order).alias("prev_key"), F.lag(F.element_at("at", 1)).over(order).alias("prev_pos")
-    ).where("prev_key IS NOT NULL")
-    seeds = neighbours.select("doc_key", "prev_key", F.explode("at").alias("pos"), "prev_pos")
-    pairs = stored(
-        seeds.groupBy("doc_key", "prev_key").agg(F.collect_list(F.struct("pos", "prev_pos")).alias("seeds")), "neighbours"
+        .dropDuplicates(["key", "part", "doc_key", "left", "right"])
     )
+    before = lambda side: F.lag("doc_key").over(Window.partitionBy("key", "part").orderBy(side, "doc_key"))
+    neighbours = first.select("doc_key", before("left").alias("a"), before("right").alias("b"))
+    neighbours = neighbours.select("doc_key", F.explode(F.array("a", "b")).alias("other")).where("doc_key <> other")
+    pairs = stored(neighbours.select(F.greatest("doc_key", "other").alias("doc_key"), F.least("doc_key", "other").alias("prev_key")).distinct(), "neighbours")
     wanted = stored(pairs.select("doc_key").union(pairs.select("prev_key")).distinct(), "wanted")
     hashes = stored(word_hashes(by_size(keyed, wanted, "doc_key", "left_semi").dropDuplicates(["doc_key"])), "hashes")
     both = pairs.join(hashes.drop("doc_id"), "doc_key").join(hashes.select(F.col("doc_key").alias("prev_key"), F.col("words").alias("prev_words")), "prev_key")

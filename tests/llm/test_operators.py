@@ -379,6 +379,26 @@ def test_repeats_of_odd_rows(odd):
     assert suffix_dedup.without_repeats(odd).count() == 10 and suffix_dedup.repeats(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [3, 5000])
+def test_repeats_do_not_depend_on_chunks(spark, chunk):
+    """A shared passage held 3000 times by two documents, contexts that differ on one side, and later copies of one passage."""
+    shared = [f"s{i}" for i in range(40)]
+    texts = [" ".join([f"a{i}x{j}" for j in range(30)] + ["line"] * 3000) for i in range(2)]
+    # the neighbour holds the start of a passage before it holds the passage
+    whole = [f"p{i}" for i in range(60)]
+    texts += [" ".join([*whole[:45], *[f"n{j}" for j in range(20)], *whole]), " ".join([*[f"m{j}" for j in range(20)], *whole])]
+    # equal words on the left of the stem, and equal words on its right, by pairs
+    for i in range(12):
+        texts.append(" ".join([*[f"l{i // 2}y{j}" for j in range(12)], *shared, *[f"r{(i + 1) // 2}y{j}" for j in range(12)]]))
+    texts += [" ".join([*[f"e{i}z{j}" for j in range(20)], *[f"c{j}" for j in range(70)]]) for i in range(20)]
+    docs = table(spark, texts)
+    got = {r.doc_id: r for r in suffix_dedup.repeats(docs, suffix_dedup.Settings(chunk=chunk)).collect()}
+    assert {i: r.n_repeated for i, r in got.items()} == brute_repeats(list(enumerate(texts)), 50)
+    copies = range(len(texts) - 20, len(texts))
+    assert sorted(got[i].n_later for i in copies) == [0] + [70] * 19
+    assert sorted(got[i].n_later > 0 for i in (0, 1)) == [False, True]
+
+
 def test_license_notices(spark):
     apache = licenses.TEMPLATES["Apache-2.0-header"]
     texts = [
