@@ -96,6 +96,15 @@ def test_near_duplicate_groups(spark, k):
     assert got == brute_components(list(enumerate(texts)), k)
 
 
+def test_estimate_loses_less_than_the_banding():
+    """A pair at 0.8 must not fail the estimate more often than a hundredth of what shares no band."""
+    cfg = minhash_dedup.Settings()
+    n, p = cfg.bands * cfg.rows, cfg.percent / 100
+    least = math.ceil(cfg.estimate * n)
+    fails = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(least))
+    assert fails < (1 - p**cfg.rows) ** cfg.bands / 100
+
+
 def test_near_duplicates_of_the_tables(some):
     rows = [(r.doc_id, r.text) for r in some.collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.groups(some, minhash_dedup.Settings(k=2)).collect()}
