@@ -472,6 +472,16 @@ def test_contained_items_of_odd_rows(spark, odd):
     assert decontaminate.without_items(odd.limit(0), bench).count() == 0
 
 
+def test_short_items_inside_long_documents(spark):
+    items = ["one", "two words", "three words here", "now four words here", "five words are a shingle"]
+    filler = " ".join(f"f{i}" for i in range(300))
+    texts = [f"{filler} {x} {filler}" for x in items] + [filler, "two other words", None, "One"]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    want = {(d, q) for d, t in enumerate(texts) for q, x in enumerate(items) if f" {x} " in f" {(t or '').lower()} "}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, texts), bench, short=True).collect()} == want
+    assert sorted(r.doc_id for r in decontaminate.without_items(table(spark, texts), bench).collect()) == [5, 6, 7]
+
+
 def test_words_match_a_regular_expression():
     rng = np.random.default_rng(1)
     parts = ["A", "bc", "é", " ", "\n", "\t\x0b", " ", ".", "Zz"]
