@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..fixed_values import ROUTE_COMPLEXITY
 from ..functions.risk import band_hours, congestion_level
 from ..functions.scalars import hours_between, lookup, plus_hours
 from .filters import is_open
 
+# task functions travel by value: executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The newest row of every key.
@@ -194,51 +203,70 @@ def with_route_complexity(df: DataFrame, default: float = 0.5) -> DataFrame:
     return df.withColumn("complexity", lookup(pair, known, F.lit(default)))
 
 
-def as_of_external(
-    probes: DataFrame, external: DataFrame, ttl_hours: float, default: float, time: str = "ts", slot_seconds: int = 3600
-) -> DataFrame:
+def as_of_external(probes: DataFrame, external: DataFrame, default: float, time: str = "ts", slot_seconds: int = 3600) -> DataFrame:
     """The newest external value of a key that is still valid at the probe's time.
 
-    Every observation lives ``ttl_hours`` (the cache's fixed life), so the newest
-    one at or before the probe is also the last to expire.  Observations are
-    repeated in each time slot they reach; probes and observations are then
-    merged in one sorted pass per (type, key, slot).  The slot keeps a hot key
-    from landing in one task, and no pairs are formed.
+    Every observation lives from ``created_at`` until before its own ``expires_at``;
+    one that lives longer counts again when a newer one has expired.  Observations are
+    repeated in each time slot they reach; probes and observations are then merged in
+    one sorted pass per (type, key, slot).  The slot keeps a hot key from landing in
+    one task, and no pairs are formed.
     """
-    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / slot_seconds)
-    reach = int(-(-ttl_hours * 3600 // slot_seconds))
-    seen = external.select(
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slot = lambda us: F.floor(us / (slot_seconds * 1_000_000))
+    key = ["data_type", "data_key", "slot"]
+    seen = external.where("expires_at > created_at").select(
         "data_type",
         "data_key",
-        F.explode(F.sequence(slot("created_at"), slot("created_at") + reach)).alias("slot"),
-        F.col("created_at").alias("at"),
+        F.explode(F.sequence(slot(micros("created_at")), slot(micros("expires_at") - 1))).alias("slot"),
+        micros("created_at").alias("at"),
         F.lit(0).alias("side"),
         F.col("id").alias("tie"),
-        F.struct("data_value", "created_at", "expires_at").alias("seen"),
+        micros("expires_at").alias("until"),
+        "data_value",
+        "created_at",
         F.lit(None).cast(probes.schema).alias("probe"),
     )
     asked = probes.select(
         "data_type",
         "data_key",
-        slot(time).alias("slot"),
-        F.col(time).alias("at"),
+        slot(micros(time)).alias("slot"),
+        micros(time).alias("at"),
         F.lit(1).alias("side"),
         F.lit(None).cast("bigint").alias("tie"),
-        F.lit(None).cast(seen.schema["seen"].dataType).alias("seen"),
+        F.lit(None).cast("bigint").alias("until"),
+        F.lit(None).cast(seen.schema["data_value"].dataType).alias("data_value"),
+        F.lit(None).cast(seen.schema["created_at"].dataType).alias("created_at"),
         F.struct(*probes.columns).alias("probe"),
     )
-    w = (
-        Window.partitionBy("data_type", "data_key", "slot")
-        .orderBy("at", "side", "tie")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    merged = seen.unionByName(asked).withColumn("last_seen", F.last("seen", ignorenulls=True).over(w))
-    valid = F.col("last_seen.expires_at") > F.col("at")
-    return merged.filter(F.col("side") == 1).select(
-        "probe.*",
-        F.coalesce(F.when(valid, F.col("last_seen.data_value")), F.lit(default)).alias("data_value"),
-        F.when(valid, F.col("last_seen.created_at")).alias("observed_at"),
-    )
+    merged = seen.unionByName(asked).repartition(*key).sortWithinPartitions(*key, "at", "side", "tie")
+
+    def run(batches):
+        # observations that can still be the newest valid one: the newer, the sooner it expires
+        here, open_ = None, []
+        for batch in batches:
+            rows = {c: batch.column(c).to_pylist() for c in (*key, "at", "side", "until", "data_value", "created_at")}
+            value, since = [], []
+            for *group, at, side, until, data_value, created_at in zip(*rows.values()):
+                if group != here:
+                    here, open_ = group, []
+                if side == 0:
+                    while open_ and open_[-1][0] <= until:
+                        open_.pop()
+                    open_.append((until, data_value, created_at))
+                    continue
+                while open_ and open_[-1][0] <= at:
+                    open_.pop()
+                value.append(open_[-1][1] if open_ else None)
+                since.append(open_[-1][2] if open_ else None)
+            asked_here = batch.filter(pc.equal(batch.column("side"), 1))
+            kind = lambda c: batch.schema.field(c).type
+            yield pa.RecordBatch.from_arrays(
+                [asked_here.column("probe"), pa.array(value, kind("data_value")), pa.array(since, kind("created_at"))], ["probe", "data_value", "observed_at"]
+            )
+
+    kinds = StructType([merged.schema["probe"], merged.schema["data_value"], StructField("observed_at", merged.schema["created_at"].dataType)])
+    return merged.mapInArrow(run, kinds).select("probe.*", F.coalesce("data_value", F.lit(default)).alias("data_value"), "observed_at")
 
 
 def check_references(rows: DataFrame, parents: DataFrame, key: str, parent_key: str = "id") -> tuple[DataFrame, DataFrame]:

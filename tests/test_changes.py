@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from freightlens.operators import changes, features
+from freightlens.operators import changes, features, joins
 from freightlens.plans import messages
 
 
@@ -101,3 +103,19 @@ def test_repeated_rows_and_updates_stay_one_row(spark):
     predictions = spark.createDataFrame([(1, 5.0, None)], "shipment_id long, predicted_delay_hours double, actual_delay_hours double")
     outcomes = spark.createDataFrame([(1, 2.0, 1), (1, 1.0, 2)], "shipment_id long, delay_hours double, at int")
     assert [r.actual_delay_hours for r in changes.backfill_outcomes(predictions, outcomes, "at").collect()] == [1.0]
+
+
+def test_newest_valid_observation_of_mixed_lifetimes(spark):
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    external = spark.createDataFrame(
+        [
+            (1, "weather", "k", 0.1, at(0), at(6)), (2, "weather", "k", 0.2, at(1), at(1, 30)), (3, "weather", "k", 0.3, at(1), at(1, 20)),
+            (4, "port_status", "k", 0.4, at(2), at(2, 30)), (5, "weather", "k", 0.5, at(3), at(3)), (6, "weather", "k", None, at(5, 30), at(5, 40)),
+        ],
+        "id long, data_type string, data_key string, data_value double, created_at timestamp_ntz, expires_at timestamp_ntz",
+    )
+    asked = [("weather", at(0)), ("weather", at(1, 10)), ("weather", at(1, 25)), ("weather", at(2)), ("weather", at(5)), ("weather", at(6)), ("port_status", at(2, 10)), ("port_status", at(3)), ("weather", at(5, 35))]
+    probes = spark.createDataFrame([(i, t, "k", k) for i, (k, t) in enumerate(asked)], "id long, ts timestamp_ntz, data_key string, data_type string")
+    got = sorted((r.id, r.data_value, r.observed_at) for r in joins.as_of_external(probes, external, default=0.9).collect())
+    assert [x[1] for x in got] == [0.1, 0.3, 0.2, 0.1, 0.1, 0.9, 0.4, 0.9, 0.9]
+    assert [x[2] for x in got] == [at(0), at(1), at(1), at(0), at(0), None, at(2), None, at(5, 30)]
