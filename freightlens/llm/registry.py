@@ -4,7 +4,21 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bilinear_lm, cover_search, decontaminate, licenses, minhash_dedup, mixing, pseudonyms, suffix_dedup, token_file, toxicity
+from . import (
+    bilinear_lm,
+    collocations,
+    cover_search,
+    decontaminate,
+    divergence,
+    licenses,
+    line_dedup,
+    minhash_dedup,
+    mixing,
+    pseudonyms,
+    suffix_dedup,
+    token_file,
+    toxicity,
+)
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.op1,
@@ -17,6 +31,15 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8,
     "op9_licenses": licenses.op9,
     "op10_decontaminate": decontaminate.op10,
+    "op11_collocations": collocations.op11,
+    "op12_divergence": divergence.op12,
+    "op13_line_dedup": line_dedup.op13,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op5_cover_search": cover_search.SQL5, "op10_decontaminate": decontaminate.SQL10}
+ORACLES: dict[str, str] = {
+    "op5_cover_search": cover_search.SQL5,
+    "op10_decontaminate": decontaminate.SQL10,
+    "op11_collocations": collocations.SQL11,
+    "op12_divergence": divergence.SQL12,
+    "op13_line_dedup": line_dedup.SQL13,
+}
