@@ -8,7 +8,7 @@ from ..fixed_values import ALERT_RULES
 from ..operators import cleaning, windows
 from ..plans import messages
 from ..sources import shapes
-from ..streaming import cooldown, jobs
+from ..streaming import cooldown, jobs, ordered
 from ..streaming.alerts import rule_table
 from .change_queries import _FAN, recipients
 from .core import register
@@ -100,7 +100,7 @@ def cooldown_per_asset_busy(spark, root):
 )
 def stream_cooldown(spark, root):
     late = _late_errors(stream_updates(spark, root)).withWatermark("ts", "1 hour")
-    out = cooldown.stream_cooldown(late, "rule string, shipment_id bigint", 30)
+    out = ordered.cooldown(late, "rule string, shipment_id bigint", 30)
     return jobs.run_available(spark, out, "cooldown").select("shipment_id", "id")
 
 
@@ -146,10 +146,24 @@ def status_alerts(spark, root):
 @register("stream_status_alerts", "E-06", _CHANGES.format(f"WHERE ts <= {_CLOSED}"))
 def stream_status_alerts(spark, root):
     rows = stream_updates(spark, root).select("asset_id", "ts", "id", "shipment_status").withWatermark("ts", "1 hour")
-    changes = jobs.run_available(spark, cooldown.stream_status_changes(rows), "status")
+    changes = jobs.run_available(spark, ordered.status_changes(rows), "status")
     return jobs.notify_statuses(changes, _STATUS_RULE).select("id", "asset_id", "old_status", "new_status")
 
 
+@register(
+    "stream_deferred_release",
+    "E-10",
+    f"""SELECT id, scheduled_for FROM (SELECT id, CASE WHEN id % 4 = 0 THEN ts + to_hours(CAST(id % 7 AS INTEGER)) END AS scheduled_for FROM readings)
+       WHERE scheduled_for IS NULL OR scheduled_for <= {_CLOSED}""",
+)
+def stream_deferred_release(spark, root):
+    """Messages that wait for a time of their own; what is due after the last closed moment stays in the state."""
+    later = F.when(F.col("id") % 4 == 0, F.expr("ts + make_interval(0, 0, 0, 0, cast(id % 7 as int))"))
+    rows = stream_updates(spark, root).select("id", "ts", later.alias("scheduled_for")).withWatermark("ts", "1 hour")
+    out = jobs.run_available(spark, ordered.release_when_due(rows, "scheduled_for", "id"), "released")
+    return ntz(out.select("id", "scheduled_for"), "scheduled_for")
+
+
 _DEGRADED = """SELECT time_bucket(INTERVAL 7 DAY, prediction_date, TIMESTAMP '1970-01-01') AS window_start, count(*) AS total,
     count(*) FILTER ((predicted_delay_hours > 2) <> (actual_delay_hours > 2)) AS errors,
     avg(CASE WHEN (predicted_delay_hours > 2) = (actual_delay_hours > 2) THEN 1e0 ELSE 0e0 END) AS accuracy

@@ -4,8 +4,10 @@ The wait counts from the last *emitted* alert, so which rows are emitted depends
 on all earlier ones.  The batch form splits a busy key by time all the same:
 
 1. per (key, chunk): for every row a chain could enter at, where that chain ends;
-2. per key: walk the chunks in order with these small tables to learn until when
-   each chunk starts out silent;
+2. these tables are functions from "silent until" at a chunk's start to "silent until" at
+   its end, and such functions compose: groups of ``FAN`` neighbours are composed level by
+   level up to one table per key, and then each level hands the moment down to its parts,
+   so no group holds more than ``FAN`` tables however many chunks a key has;
 3. per (key, chunk): emit, starting from that moment.
 
 Keys below ``busy_rows`` rows have a single chunk and skip the first two steps.
@@ -21,7 +23,13 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stored
+
 NEVER = -(2**62)
+#: Tables composed at once, a power of two.
+FAN = 64
+#: Added to chunk numbers, so that chunks before 1970 meet the others in one tree.
+FIRST = 1 << 40
 
 # task functions travel by value: executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -77,26 +85,71 @@ def _exits(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "_key": [rows["_key"].iloc[0]],
-            "_chunk": [rows["_chunk"].iloc[0]],
+            "_part": [int(rows["_chunk"].iloc[0]) + FIRST],
             "_wait": [wait],
+            "_start": [start],
             "_upper": [us[:entries][keep].tolist()],
             "_end": [ends[keep].tolist()],
         }
     )
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per key: until when each chunk is silent at its start."""
-    silent, out = NEVER, []
-    for row in pdf.sort_values("_chunk").itertuples(index=False):
-        _, chunk, wait, upper, end = row
+def _after(silent: int, wait: int, upper: np.ndarray, end: np.ndarray) -> int:
+    """Until when a chunk leaves its key silent, given until when it starts out silent."""
+    i = int(np.searchsorted(upper, silent, side="left"))
+    return int(end[i]) + wait if i < len(end) else silent
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The tables of neighbours as one table; the first chunk's entry bounds go through all later ones."""
+    rows = pdf.sort_values("_part", kind="mergesort")
+    key, wait = rows["_key"].iloc[0], int(rows["_wait"].iloc[0])
+    upper, end = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for own_upper, own_end in zip(rows["_upper"], rows["_end"]):
+        own_upper, own_end = np.asarray(own_upper, np.int64), np.asarray(own_end, np.int64)
+        # chains that ended here go on in this chunk where it has a row late enough
+        at = np.searchsorted(own_upper, end + wait, side="left")
+        end = np.where(at < len(own_end), own_end[np.minimum(at, len(own_end) - 1)], end)
+        # whoever meets no row of the earlier chunks meets this one first
+        beyond = own_upper > (upper[-1] if len(upper) else NEVER)
+        upper, end = np.append(upper, own_upper[beyond]), np.append(end, own_end[beyond])
+        keep = np.append(end[1:] != end[:-1], True)
+        upper, end = upper[keep], end[keep]
+    # nobody starts out silent for longer than one wait
+    used = int(np.searchsorted(upper, int(rows["_start"].iloc[0]) + wait, side="left")) + 1
+    return pd.DataFrame(
+        {
+            "_key": [key], "_part": [int(rows["_part"].iloc[0]) >> FAN.bit_length() - 1], "_wait": [wait], "_start": [int(rows["_start"].iloc[0])],
+            "_upper": [upper[:used].tolist()], "_end": [end[:used].tolist()],
+        }
+    )
+
+
+def _hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Until when each part of a group starts out silent, from the group's own moment."""
+    rows = pdf.sort_values("_part", kind="mergesort")
+    silent, out = int(rows["_silent"].iloc[0]), []
+    for wait, upper, end in zip(rows["_wait"], rows["_upper"], rows["_end"]):
         out.append(silent)
-        i = int(np.searchsorted(np.asarray(upper), silent, side="left"))
-        if i < len(end):
-            silent = int(end[i]) + int(wait)
-    done = pdf.sort_values("_chunk")[["_key", "_chunk"]].copy()
-    done["_silent"] = out
-    return done
+        silent = _after(silent, int(wait), np.asarray(upper, np.int64), np.asarray(end, np.int64))
+    return pd.DataFrame({"_key": rows["_key"].to_numpy(), "_part": rows["_part"].to_numpy(), "_silent": out})
+
+
+TABLE = "_key string, _part bigint, _wait bigint, _start bigint, _upper array<bigint>, _end array<bigint>"
+
+
+def _silent_starts(exits: DataFrame) -> DataFrame:
+    """(key, part, silent) of every chunk by composing tables up and handing moments down a tree."""
+    levels = [stored(exits, "cooldown-level")]
+    parent = F.expr(f"shiftright(_part, {FAN.bit_length() - 1})").alias("_part")
+    while levels[-1].groupBy("_key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] not in (None, 1):
+        levels.append(stored(levels[-1].groupBy("_key", parent).applyInPandas(_compose, TABLE), "cooldown-level"))
+    silent = levels[-1].select("_key", "_part", F.lit(NEVER).alias("_silent"))
+    for level in reversed(levels[:-1]):
+        above = silent.withColumnRenamed("_part", "_parent")
+        joined = level.withColumn("_parent", parent.alias("_parent")).join(above, ["_key", "_parent"])
+        silent = joined.groupBy("_key", "_parent").applyInPandas(_hand_down, "_key string, _part bigint, _silent bigint")
+    return silent
 
 
 def with_cooldown(
@@ -133,10 +186,8 @@ def with_cooldown(
         .withColumn("_chunk", F.when(F.col("_busy"), F.floor(F.col("_us") / F.col("_chunk_us"))).otherwise(F.lit(0)))
     )
     crowded = lean.filter("_busy").drop("_busy")
-    exits = crowded.groupBy("_key", "_chunk").applyInPandas(
-        _exits, "_key string, _chunk bigint, _wait bigint, _upper array<bigint>, _end array<bigint>"
-    )
-    silent = exits.groupBy("_key").applyInPandas(_walk, "_key string, _chunk bigint, _silent bigint")
+    exits = crowded.groupBy("_key", "_chunk").applyInPandas(_exits, TABLE)
+    silent = _silent_starts(exits).select("_key", (F.col("_part") - FIRST).alias("_chunk"), "_silent")
     started = lean.join(silent, ["_key", "_chunk"], "left").withColumn("_silent", F.coalesce("_silent", F.lit(NEVER)))
     emitted = (
         started.select("_key", "_chunk", "_us", "_tie", "_wait", "_silent")
@@ -145,75 +196,3 @@ def with_cooldown(
         .mapInPandas(_emit, "_key string, _us bigint, _tie bigint")
     )
     return base.join(emitted, ["_key", "_us", "_tie"], "left_semi").drop("_key", "_us", "_wait", "_tie")
-
-
-# --- streams ---------------------------------------------------------------------------
-STATE_SCHEMA = "memory string, pending string"
-
-
-def ordered_fold(stream: DataFrame, keys: list[str], columns: list[str], ts: str, output: str, fold, matters=None) -> DataFrame:
-    """Apply ``fold`` to each key's rows in event-time order.
-
-    Rows wait in the key's state until the watermark passes them, so rows arriving
-    out of order are sorted first and the state holds no more than the watermark
-    delay.  Equal times are ordered by the first of ``columns``.
-    ``fold(memory, rows) -> (memory, output rows)`` works on plain lists.
-    ``matters(memory)`` is the microsecond from which the memory can't change a result
-    any more; a key's state is removed once the watermark has passed it.
-    """
-    import json
-
-    names = [c.split()[0] for c in output.split(", ")]
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        memory, pending = (json.loads(x) for x in state.get) if state.exists else (None, [])
-        for pdf in frames:
-            us = pdf[ts].astype("datetime64[us]").astype("int64")
-            pending += [[int(t), *r] for t, r in zip(us, pdf[columns].to_numpy(dtype=object).tolist())]
-        now = state.getCurrentWatermarkMs()
-        pending.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
-        ready = [r for r in pending if r[0] <= now * 1000]
-        pending = pending[len(ready):]
-        memory, out = fold(memory, ready)
-        wake = pending[0][0] if pending else matters(memory) if matters and memory is not None else None
-        if not pending and (memory is None or (wake is not None and wake <= now * 1000)):
-            state.remove()
-        else:
-            state.update((json.dumps(memory), json.dumps(pending, default=str)))
-            if wake is not None:
-                state.setTimeoutTimestamp(max(now, wake // 1000) + 1)
-        if out:
-            yield pd.DataFrame([[*key, pd.Timestamp(r[0], unit="us"), *r[1:]] for r in out], columns=names)
-
-    return stream.groupBy(*keys).applyInPandasWithState(step, output, STATE_SCHEMA, "append", "EventTimeTimeout")
-
-
-def stream_cooldown(stream: DataFrame, keys: str, minutes: int) -> DataFrame:
-    """The same cool-down on a watermarked stream with columns (keys..., ts, id)."""
-    wait = minutes * 60_000_000
-
-    def fold(last, rows):
-        out = []
-        for row in rows:
-            if last is None or row[0] >= last + wait:
-                out.append(row)
-                last = row[0]
-        return last, out
-
-    names = [k.split()[0] for k in keys.split(", ")]
-    return ordered_fold(stream, names, ["id"], "ts", f"{keys}, ts timestamp, id bigint", fold, matters=lambda last: last + wait)
-
-
-def stream_status_changes(stream: DataFrame) -> DataFrame:
-    """Status changes per asset on a watermarked stream with columns (asset_id, ts, id, shipment_status)."""
-
-    def fold(last, rows):
-        out = []
-        for t, i, status in rows:
-            if last is not None and status != last:
-                out.append([t, i, last, status])
-            last = status
-        return last, out
-
-    output = "asset_id string, ts timestamp, id bigint, old_status string, new_status string"
-    return ordered_fold(stream, ["asset_id"], ["id", "shipment_status"], "ts", output, fold)

@@ -156,13 +156,20 @@ def deliver_due(spark: SparkSession, stream: DataFrame, out: str, waiting: str,
     )
 
 
-def run_available(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over everything there is, into a Parquet table in the shared folder."""
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(spark: SparkSession, stream: DataFrame, label: str, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over everything there is, into a Parquet table in the shared folder.
+
+    State is kept in RocksDB, beside the heap, so it may outgrow the executors' memory.
+    """
     path = new_path(spark, label)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
-        .option("checkpointLocation", new_path(spark, f"{label}-state"))
+        .option("checkpointLocation", checkpoint or new_path(spark, f"{label}-state"))
         .outputMode("append")
         .trigger(availableNow=True)
         .start()

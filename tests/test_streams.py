@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from freightlens.plans.messages import to_retry
 from freightlens.session import new_path
 from freightlens.streaming import cooldown, jobs
+from freightlens.streaming import ordered as keyed
 
 START = dt.datetime(2024, 1, 1)
 
@@ -43,6 +44,21 @@ def test_cooldown_equals_brute_force(spark, minutes, busy, chunk):
     assert {r["id"] for r in out.collect()} == brute_force(rows, minutes)
 
 
+@pytest.mark.parametrize("fan", [4, 64])
+def test_a_key_of_many_chunks_and_mixed_waits(spark, monkeypatch, fan):
+    monkeypatch.setattr(cooldown, "FAN", fan)
+    rnd = random.Random(fan)
+    # 10,000 chunks of an hour on either side of 1970, waits of 30 and 600 minutes chained apart
+    start = dt.datetime(1970, 1, 1) - dt.timedelta(hours=5000)
+    rows = [("hot", start + dt.timedelta(seconds=rnd.randrange(10_000 * 3600)), i, 30 if i % 3 else 600) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id bigint, wait int")
+    out = cooldown.with_cooldown(df, ["k"], "ts", "wait", "id", busy_rows=1, chunk_minutes=60)
+    want = set()
+    for wait in (30, 600):
+        want |= brute_force([r[:3] for r in rows if r[3] == wait], wait)
+    assert {r["id"] for r in out.collect()} == want
+
+
 def files_of(spark, batches, schema):
     """One file per batch, read in name order."""
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
@@ -63,7 +79,7 @@ def test_stream_cooldown_sorts_across_batches(spark):
     end = ordered[-1][1] + dt.timedelta(hours=10)
     batches += [[("a", end, 999)]]
     stream = files_of(spark, batches, "k string, ts timestamp, id bigint").withWatermark("ts", "3 hours")
-    out = jobs.run_available(spark, cooldown.stream_cooldown(stream, "k string", 30), "test")
+    out = jobs.run_available(spark, keyed.cooldown(stream, "k string", 30), "test")
     assert {r["id"] for r in out.collect()} - {999} == brute_force(rows, 30)
 
 
@@ -90,11 +106,50 @@ def test_status_changes_in_order(spark):
     at = lambda m: START + dt.timedelta(minutes=m)
     batches = [[("A", at(0), 1, "In Transit"), ("A", at(20), 3, "Delayed")], [("A", at(10), 2, "Delivered")], [("A", at(600), 4, "Delayed")]]
     stream = files_of(spark, batches, "asset_id string, ts timestamp, id bigint, shipment_status string")
-    changes = jobs.run_available(spark, cooldown.stream_status_changes(stream.withWatermark("ts", "1 hour")), "test")
+    changes = jobs.run_available(spark, keyed.status_changes(stream.withWatermark("ts", "1 hour")), "test")
     rows = [(r["id"], r["old_status"], r["new_status"]) for r in changes.orderBy("id").collect()]
     assert rows == [(2, "In Transit", "Delivered"), (3, "Delivered", "Delayed")]
 
 
+def state_rows(spark, checkpoint, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+
+
+def test_idle_assets_leave_no_state(spark):
+    at = lambda d: START + dt.timedelta(days=d)
+    batches = [[("A", at(0), 1, "In Transit"), ("B", at(0), 2, "In Transit")], [("A", at(1), 3, "Delayed")], [("B", at(20), 4, "Delayed")], [("B", at(40), 5, "Delayed")], [("B", at(41), 6, "Delayed"), ("C", at(41), 7, None)]]
+    stream = files_of(spark, batches, "asset_id string, ts timestamp, id bigint, shipment_status string").withWatermark("ts", "1 hour")
+    checkpoint = new_path(spark, "idle")
+    out = jobs.run_available(spark, keyed.status_changes(stream, forget_days=30), "test", checkpoint)
+    assert sorted((r["id"], r["old_status"], r["new_status"]) for r in out.collect()) == [(3, "In Transit", "Delayed"), (4, "In Transit", "Delayed")]
+    kept = {r["key"]["asset_id"]: r["value"].asDict() for r in state_rows(spark, checkpoint, "memory").collect()}
+    assert set(kept) == {"B"} and kept["B"]["status"] == "Delayed"  # typed columns; A has been silent for 39 days
+
+
+def test_cooldown_state_ends_with_the_wait(spark):
+    batches = [[("a", START, 1)], [("b", START + dt.timedelta(hours=5), 2)], [("b", START + dt.timedelta(hours=9), 3)], [("c", START + dt.timedelta(hours=20), 4)]]
+    stream = files_of(spark, batches, "k string, ts timestamp, id bigint").withWatermark("ts", "1 hour")
+    checkpoint = new_path(spark, "wait")
+    out = jobs.run_available(spark, keyed.cooldown(stream, "k string", 30), "test", checkpoint)
+    assert {r["id"] for r in out.collect()} == {1, 2, 3}
+    assert not state_rows(spark, checkpoint, "memory").where("key.k = 'a'").count()
+
+
+def test_rows_are_released_when_due(spark):
+    at = lambda h: START + dt.timedelta(hours=h)
+    batches = [
+        [(1, at(0), None), (2, at(0), at(3)), (3, at(0), at(30)), (4, at(0), START + dt.timedelta(hours=3, minutes=40))],
+        [(5, at(5), at(4))],
+        [(6, at(6), at(6))],
+        [(7, at(28), None)],
+    ]
+    stream = files_of(spark, batches, "id bigint, ts timestamp, due timestamp").withWatermark("ts", "1 hour")
+    checkpoint = new_path(spark, "due")
+    out = jobs.run_available(spark, keyed.release_when_due(stream, "due", "id"), "test", checkpoint)
+    assert sorted(r["id"] for r in out.collect()) == [1, 2, 4, 5, 6, 7]
+    assert [r["list_element"]["id"] for r in state_rows(spark, checkpoint, "waiting").collect()] == [3]
+
+
 def test_deferred_delivery(spark):
     schema = "id bigint, scheduled_for timestamp"
     batches = [[(1, None), (2, START)], [(3, START + dt.timedelta(days=2))]]
@@ -123,7 +178,7 @@ def test_deferred_rows_are_delivered_by_a_later_run(spark):
 def test_stream_cooldown_orders_equal_times_by_number(spark):
     batches = [[("a", START, 10), ("a", START, 9)], [("a", START + dt.timedelta(hours=9), 11)], [("b", START + dt.timedelta(hours=20), 12)]]
     stream = files_of(spark, batches, "k string, ts timestamp, id bigint").withWatermark("ts", "1 hour")
-    out = jobs.run_available(spark, cooldown.stream_cooldown(stream, "k string", 30), "test")
+    out = jobs.run_available(spark, keyed.cooldown(stream, "k string", 30), "test")
     assert {r["id"] for r in out.collect()} - {12} == {9, 11}
 
 
