@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import sys
-
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StructField, StructType
 
 from ..fixed_values import ROUTE_COMPLEXITY
 from ..functions.risk import band_hours, congestion_level
 from ..functions.scalars import hours_between, lookup, plus_hours
+from ..session import stored
 from .filters import is_open
 
-# task functions travel by value: executors need not have this package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The newest row of every key.
@@ -120,6 +112,12 @@ def with_asset_statistics(df: DataFrame, statistics: DataFrame | None = None) ->
     return df.join(asset_statistics(df) if statistics is None else statistics, "asset_id", "left")
 
 
+def _with_route_mean(counted: DataFrame) -> DataFrame:
+    """The route's mean beside its counted delays; moments around it don't cancel."""
+    route = Window.partitionBy("origin_port", "destination_port")
+    return counted.withColumn("route_avg_delay", F.sum(F.col("hours") * F.col("n")).over(route) / F.sum("n").over(route))
+
+
 def route_statistics(voyages: DataFrame) -> DataFrame:
     """Delay figures per port pair from one pass over the arrivals.
 
@@ -133,17 +131,15 @@ def route_statistics(voyages: DataFrame) -> DataFrame:
         .groupBy("origin_port", "destination_port", hours.alias("hours"))
         .agg(F.count("*").alias("n"))
     )
-    sums = counted.groupBy("origin_port", "destination_port").agg(
+    n, x, mean = F.col("n"), F.col("hours"), F.col("route_avg_delay")
+    sums = _with_route_mean(counted).groupBy("origin_port", "destination_port", "route_avg_delay").agg(
         F.expr("percentile(hours, 0.5D, n)").alias("route_median_delay"),
         F.sum("n").alias("route_frequency"),
-        F.sum(F.col("hours") * F.col("n")).alias("s"),
-        F.sum(F.col("hours") * F.col("hours") * F.col("n")).alias("ss"),
+        F.sum((x - mean) * (x - mean) * n).alias("off"),
     )
-    n, mean = F.col("route_frequency"), F.col("s") / F.col("route_frequency")
-    variance = F.when(n > 1, F.greatest(F.lit(0.0), F.col("ss") - F.col("s") * mean) / (n - 1))
+    variance = F.when(F.col("route_frequency") > 1, F.col("off") / (F.col("route_frequency") - 1))
     return sums.select(
-        "origin_port", "destination_port", mean.alias("route_avg_delay"), F.sqrt(variance).alias("route_delay_std"),
-        "route_median_delay", "route_frequency",
+        "origin_port", "destination_port", "route_avg_delay", F.sqrt(variance).alias("route_delay_std"), "route_median_delay", "route_frequency"
     )
 
 
@@ -164,10 +160,9 @@ def route_history(voyages: DataFrame, last: int | None = None) -> DataFrame:
     hours = hours_between("scheduled_arrival", "actual_arrival")
     counted = arrived.groupBy("origin_port", "destination_port", hours.alias("hours")).agg(F.count("*").alias("n"))
     n, x = F.col("n"), F.col("hours")
-    means = counted.groupBy("origin_port", "destination_port").agg((F.sum(x * n) / F.sum(n)).alias("route_avg_delay"))
     off = x - F.col("route_avg_delay")
     return (
-        counted.join(means, ["origin_port", "destination_port"])
+        _with_route_mean(counted)
         .groupBy("origin_port", "destination_port", "route_avg_delay")
         .agg(
             F.expr("percentile(hours, 0.5D, n)").alias("route_median_delay"),
@@ -203,70 +198,78 @@ def with_route_complexity(df: DataFrame, default: float = 0.5) -> DataFrame:
     return df.withColumn("complexity", lookup(pair, known, F.lit(default)))
 
 
+#: Rows of a side that may be broadcast once they are counted; its rows are a few numbers each.
+BROADCAST_ROWS = 200_000
+def _nodes(start: Column, end: Column) -> Column:
+    """The aligned intervals [place * 2^level, (place + 1) * 2^level) that make up [start, end), at most two a level."""
+
+    each = F.transform(
+        F.sequence(F.lit(0), F.length(F.bin(end - start))),
+        lambda k: F.transform(
+            F.array(F.struct(-F.call_function("shiftright", -start, k), F.call_function("shiftright", end, k))),
+            lambda x: F.array(
+                F.when((x["col1"] < x["col2"]) & (x["col1"] % 2 != 0), F.struct(k.alias("level"), x["col1"].alias("place"))),
+                F.when((x["col1"] < x["col2"]) & (x["col2"] % 2 != 0), F.struct(k.alias("level"), (x["col2"] - 1).alias("place"))),
+            ),
+        ),
+    )
+    return F.array_compact(F.flatten(F.flatten(each)))
+
+
+def _placed(edges: DataFrame, asked: DataFrame, key: list[str], slot_seconds: int) -> DataFrame:
+    """Both sides with ``place``: how many edges of the key lie at or before the row's moment.
+
+    An interval holds a moment exactly if its places hold the moment's place, so places
+    stand for times and are as few as there are edges.  They are counted inside time slots
+    and carried from slot to slot by one row each.
+    """
+    slot = F.floor(F.col("moment") / (slot_seconds * 1_000_000)).alias("slot")
+    rows = edges.withColumn("edge", F.lit(1)).unionByName(asked.withColumn("edge", F.lit(0)), allowMissingColumns=True).select("*", slot)
+    sizes = rows.groupBy(*key, "slot").agg(F.sum("edge").alias("n"))
+    earlier = Window.partitionBy(*key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*key, "slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    # the default frame takes in all rows of the same moment
+    inside = F.sum("edge").over(Window.partitionBy(*key, "slot").orderBy("moment"))
+    return rows.withColumn("inside", inside).join(offsets, [*key, "slot"]).withColumn("place", F.col("before") + F.col("inside")).drop("slot", "inside", "before")
+
+
 def as_of_external(probes: DataFrame, external: DataFrame, default: float, time: str = "ts", slot_seconds: int = 3600) -> DataFrame:
     """The newest external value of a key that is still valid at the probe's time.
 
-    Every observation lives from ``created_at`` until before its own ``expires_at``;
-    one that lives longer counts again when a newer one has expired.  Observations are
-    repeated in each time slot they reach; probes and observations are then merged in
-    one sorted pass per (type, key, slot).  The slot keeps a hot key from landing in
-    one task, and no pairs are formed.
+    Every observation lives from ``created_at`` until before its own ``expires_at``; one
+    that lives longer counts again when a newer one has expired.  Equal times are ordered
+    by ``id``.  Times are replaced by places among the key's own beginnings and ends.  An
+    observation is stored under the few aligned intervals that make up its lifetime, at
+    most two per power of two, and of each interval only the newest is kept; a probe looks
+    its place up once per interval size that occurs.  No pairs are formed, a lifetime of
+    years costs a few dozen rows, and no Python runs.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    slot = lambda us: F.floor(us / (slot_seconds * 1_000_000))
-    key = ["data_type", "data_key", "slot"]
-    seen = external.where("expires_at > created_at").select(
-        "data_type",
-        "data_key",
-        F.explode(F.sequence(slot(micros("created_at")), slot(micros("expires_at") - 1))).alias("slot"),
-        micros("created_at").alias("at"),
-        F.lit(0).alias("side"),
-        F.col("id").alias("tie"),
-        micros("expires_at").alias("until"),
-        "data_value",
-        "created_at",
-        F.lit(None).cast(probes.schema).alias("probe"),
+    key = ["data_type", "data_key"]
+    same = [*key, "at", "until", "tie"]
+    alive = external.where("expires_at > created_at").select(
+        *key, micros("created_at").alias("at"), micros("expires_at").alias("until"), F.col("id").alias("tie"), "data_value", "created_at"
+    )
+    edges = alive.withColumn("moment", F.explode(F.array("at", "until")))
+    asked = probes.select(*key, micros(time).alias("moment")).distinct()
+    placed = stored(_placed(edges, asked, key, slot_seconds), "as-of-places")
+    lives = placed.where("edge = 1").groupBy(*same).agg(
+        F.min("place").alias("first"), F.max("place").alias("past"), F.max("data_value").alias("data_value"), F.max("created_at").alias("created_at")
     )
-    asked = probes.select(
-        "data_type",
-        "data_key",
-        slot(micros(time)).alias("slot"),
-        micros(time).alias("at"),
-        F.lit(1).alias("side"),
-        F.lit(None).cast("bigint").alias("tie"),
-        F.lit(None).cast("bigint").alias("until"),
-        F.lit(None).cast(seen.schema["data_value"].dataType).alias("data_value"),
-        F.lit(None).cast(seen.schema["created_at"].dataType).alias("created_at"),
-        F.struct(*probes.columns).alias("probe"),
+    spread = lives.select("*", F.explode(_nodes(F.col("first"), F.col("past"))).alias("node"))
+    newest = spread.groupBy(*key, "node.level", F.col("node.place").alias("place")).agg(
+        F.max_by(F.struct("at", "tie", "data_value", "created_at"), F.struct("at", "tie")).alias("found")
     )
-    merged = seen.unionByName(asked).repartition(*key).sortWithinPartitions(*key, "at", "side", "tie")
-
-    def run(batches):
-        # observations that can still be the newest valid one: the newer, the sooner it expires
-        here, open_ = None, []
-        for batch in batches:
-            rows = {c: batch.column(c).to_pylist() for c in (*key, "at", "side", "until", "data_value", "created_at")}
-            value, since = [], []
-            for *group, at, side, until, data_value, created_at in zip(*rows.values()):
-                if group != here:
-                    here, open_ = group, []
-                if side == 0:
-                    while open_ and open_[-1][0] <= until:
-                        open_.pop()
-                    open_.append((until, data_value, created_at))
-                    continue
-                while open_ and open_[-1][0] <= at:
-                    open_.pop()
-                value.append(open_[-1][1] if open_ else None)
-                since.append(open_[-1][2] if open_ else None)
-            asked_here = batch.filter(pc.equal(batch.column("side"), 1))
-            kind = lambda c: batch.schema.field(c).type
-            yield pa.RecordBatch.from_arrays(
-                [asked_here.column("probe"), pa.array(value, kind("data_value")), pa.array(since, kind("created_at"))], ["probe", "data_value", "observed_at"]
-            )
-
-    kinds = StructType([merged.schema["probe"], merged.schema["data_value"], StructField("observed_at", merged.schema["created_at"].dataType)])
-    return merged.mapInArrow(run, kinds).select("probe.*", F.coalesce("data_value", F.lit(default)).alias("data_value"), "observed_at")
+    nodes = stored(newest, "as-of-nodes")
+    count, levels = nodes.agg(F.count("*"), F.sort_array(F.collect_set("level"))).first()  # a level is one of 63
+    looked = placed.where("edge = 0").select(*key, "moment", "place")
+    looked = looked.withColumn("level", F.explode(F.array([F.lit(k) for k in levels]) if levels else F.array().cast("array<int>")))
+    looked = looked.withColumn("place", F.call_function("shiftright", "place", "level"))
+    hits = looked.join(F.broadcast(nodes) if count <= BROADCAST_ROWS else nodes, [*key, "level", "place"])
+    best = hits.groupBy(*key, "moment").agg(F.max_by("found", F.struct("found.at", "found.tie")).alias("found"))
+    best = best.select(*key, F.col("moment").alias("_asked"), F.col("found.data_value").alias("_value"), F.col("found.created_at").alias("observed_at"))
+    joined = probes.withColumn("_asked", micros(time)).join(best, [*key, "_asked"], "left")
+    return joined.select(*probes.columns, F.coalesce("_value", F.lit(default)).alias("data_value"), "observed_at")
 
 
 def check_references(rows: DataFrame, parents: DataFrame, key: str, parent_key: str = "id") -> tuple[DataFrame, DataFrame]:

@@ -2,45 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-
-def previous_value(df: DataFrame, key: str, order: list[str], value: str, chunk: Column, out: str) -> DataFrame:
-    """``lag`` per key, sorted in time chunks.
-
-    Inside a (key, chunk) the plain lag applies.  The first row of a chunk takes
-    the last value of the key's previous chunk, from one aggregated row per chunk.
-    """
-    cut = df.withColumn("_chunk", chunk)
-    w = Window.partitionBy(key, "_chunk").orderBy(*order)
-    inside = cut.withColumns({"_lag": F.lag(value).over(w), "_first": F.row_number().over(w) == 1})
-    lasts = cut.groupBy(key, "_chunk").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    carried = lasts.withColumn("_carry", F.lag("_last").over(Window.partitionBy(key).orderBy("_chunk"))).drop("_last")
-    joined = inside.join(carried, [key, "_chunk"], "left")
-    return joined.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop(
-        "_chunk", "_lag", "_first", "_carry"
-    )
+from .scan import previous_value, row_index
 
 
 def status_changes(df: DataFrame, key: str = "asset_id", status: str = "shipment_status") -> DataFrame:
     """Rows whose status differs from the key's previous row."""
-    day = F.to_date("ts")
-    before = previous_value(df, key, ["ts", "id"], status, day, "old_status")
+    before = previous_value(df, key, ["ts", "id"], status, "old_status")
     return before.filter(F.col("old_status") != F.col(status)).withColumnRenamed(status, "new_status")
 
 
-def row_index(df: DataFrame, key: str, order: list[str], chunk: Column, out: str = "row_index") -> DataFrame:
-    """0-based position inside the key: position inside a time chunk plus the rows before the chunk."""
-    cut = df.withColumn("_chunk", chunk)
-    sizes = cut.groupBy(key, "_chunk").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(key, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    pos = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(*order))
-    return cut.withColumn("_pos", pos).join(offsets, [key, "_chunk"]).withColumn(
-        out, F.col("_offset") + F.col("_pos") - 1
-    ).drop("_chunk", "_pos", "_offset")
-
-
 def sequences(
     df: DataFrame, key: str, order: list[str], features: list[str], target: str, length: int = 10, block: int = 10000
 ) -> DataFrame:
@@ -49,7 +21,7 @@ def sequences(
     Rows are cut into blocks of the key's own index; each block also receives the
     last ``length`` rows of the one before, so blocks are independent.
     """
-    indexed = row_index(df, key, order, F.to_date(order[0]))
+    indexed = row_index(df, key, order)
     own = F.floor(F.col("row_index") / block)
     tail = F.col("row_index") % block >= block - length
     blocks = indexed.withColumn(

@@ -148,41 +148,42 @@ def port_congestion(spark, root):
     return joins.with_congestion(v, 0.0).drop("origin_port", "destination_port")
 
 
+_PROBES = "SELECT id, ts, CAST(id % 25 AS VARCHAR) AS data_key, CASE WHEN id % 3 = 0 THEN 'weather' ELSE 'port_status' END AS data_type FROM readings"
+
+
+def _external_probes(spark, root):
+    kind = F.when(F.col("id") % 3 == 0, "weather").otherwise("port_status")
+    return shapes.readings(spark, root).select("id", "ts", (F.col("id") % 25).cast("string").alias("data_key"), kind.alias("data_type"))
+
+
 @register(
     "as_of_external",
     "J-12",
-    """SELECT r.id, coalesce(x.data_value, 0.5e0) AS data_value, x.created_at AS observed_at FROM
-         (SELECT id, ts, CAST(id % 25 AS VARCHAR) AS data_key FROM readings) r
+    f"""WITH r AS ({_PROBES})
+       SELECT r.id, coalesce(x.data_value, 0.5e0) AS data_value, x.created_at AS observed_at FROM r
        LEFT JOIN (SELECT p.id, arg_max(e.data_value, (e.created_at, e.id)) AS data_value, max(e.created_at) AS created_at
-         FROM (SELECT id, ts, CAST(id % 25 AS VARCHAR) AS data_key FROM readings) p JOIN external_data e
-           ON e.data_key = p.data_key AND e.data_type = 'weather' AND e.created_at <= p.ts AND p.ts < e.expires_at
+         FROM r p JOIN external_data e ON e.data_key = p.data_key AND e.data_type = p.data_type AND e.created_at <= p.ts AND p.ts < e.expires_at
          GROUP BY 1) x USING (id)""",
 )
 def as_of_external(spark, root):
-    probes = shapes.readings(spark, root).select(
-        "id", "ts", (F.col("id") % 25).cast("string").alias("data_key"), F.lit("weather").alias("data_type")
-    )
-    found = joins.as_of_external(probes, shapes.external_data(spark, root), default=0.5)
+    found = joins.as_of_external(_external_probes(spark, root), shapes.external_data(spark, root), default=0.5)
     return found.select("id", "data_value", "observed_at")
 
 
 @register(
     "as_of_external_lifetimes",
     "J-12",
-    """WITH e AS (SELECT id, data_type, data_key, data_value, created_at, created_at + to_minutes(10 + id % 11 * 25) AS expires_at FROM external_data),
-         r AS (SELECT id, ts, CAST(id % 25 AS VARCHAR) AS data_key, CASE WHEN id % 3 = 0 THEN 'weather' ELSE 'port_status' END AS data_type FROM readings)
+    f"""WITH e AS (SELECT id, data_type, data_key, data_value, created_at, created_at + to_minutes(10 + id % 11 * 25) AS expires_at FROM external_data),
+         r AS ({_PROBES})
        SELECT r.id, coalesce(x.data_value, 0.5e0) AS data_value, x.created_at AS observed_at FROM r
        LEFT JOIN (SELECT p.id, arg_max(e.data_value, (e.created_at, e.id)) AS data_value, max(e.created_at) AS created_at
          FROM r p JOIN e ON e.data_key = p.data_key AND e.data_type = p.data_type AND e.created_at <= p.ts AND p.ts < e.expires_at
          GROUP BY 1) x USING (id)""",
 )
 def as_of_external_lifetimes(spark, root):
-    probes = shapes.readings(spark, root).select(
-        "id", "ts", (F.col("id") % 25).cast("string").alias("data_key"), F.when(F.col("id") % 3 == 0, "weather").otherwise("port_status").alias("data_type")
-    )
     lives = F.expr("created_at + make_interval(0, 0, 0, 0, 0, 10 + cast(id % 11 as int) * 25)")
     external = shapes.external_data(spark, root).withColumn("expires_at", lives)
-    return joins.as_of_external(probes, external, default=0.5).select("id", "data_value", "observed_at")
+    return joins.as_of_external(_external_probes(spark, root), external, default=0.5).select("id", "data_value", "observed_at")
 
 
 @register(

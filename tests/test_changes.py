@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from freightlens.operators import changes, features, joins
@@ -119,3 +121,31 @@ def test_newest_valid_observation_of_mixed_lifetimes(spark):
     got = sorted((r.id, r.data_value, r.observed_at) for r in joins.as_of_external(probes, external, default=0.9).collect())
     assert [x[1] for x in got] == [0.1, 0.3, 0.2, 0.1, 0.1, 0.9, 0.4, 0.9, 0.9]
     assert [x[2] for x in got] == [at(0), at(1), at(1), at(0), at(0), None, at(2), None, at(5, 30)]
+
+
+def test_lifetimes_of_any_length_and_resolution(spark):
+    """Against a walk over all observations; a year takes a few dozen rows."""
+    rnd = random.Random(8)
+    start = dt.datetime(1969, 12, 1)
+    rows = []
+    for i in range(150):
+        at = start + dt.timedelta(seconds=rnd.randrange(90 * 86400), microseconds=rnd.choice([0, 0, 7]))
+        rows.append((i, "weather", rnd.choice("kkkq"), float(i), at, at + dt.timedelta(seconds=rnd.choice([0, 1, 61, 3600, 86400 * 30, 86400 * 365]))))
+    external = spark.createDataFrame(rows, "id long, data_type string, data_key string, data_value double, created_at timestamp_ntz, expires_at timestamp_ntz")
+    asked = [(i, start + dt.timedelta(seconds=rnd.randrange(100 * 86400)), "k") for i in range(300)] + [(1000 + r[0], r[rnd.choice([4, 5])], "k") for r in rows]
+    probes = spark.createDataFrame([(*a, "weather") for a in asked], "id long, ts timestamp_ntz, data_key string, data_type string")
+    got = {r.id: r.data_value for r in joins.as_of_external(probes, external, default=-1.0).collect()}
+    want = {}
+    for i, t, k in asked:
+        alive = [(r[4], r[0], r[3]) for r in rows if r[2] == k and r[4] <= t < r[5]]
+        want[i] = max(alive)[2] if alive else -1.0
+    assert got == want
+    year = spark.sql("SELECT 0L AS a, 365L * 24 * 3600 * 1000000 AS b")
+    assert year.select(F.size(joins._nodes(F.col("a"), F.col("b")))).first()[0] < 100
+
+
+def test_moments_of_long_delays_do_not_cancel(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(i, "A", "B", day, day + dt.timedelta(hours=1_000_000, seconds=i)) for i in range(3)]
+    voyages = spark.createDataFrame(rows, "id long, origin_port string, destination_port string, scheduled_arrival timestamp_ntz, actual_arrival timestamp_ntz")
+    assert joins.route_statistics(voyages).first().route_delay_std == pytest.approx(1 / 3600, rel=1e-3)
