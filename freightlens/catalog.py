@@ -14,6 +14,7 @@ for _module in (
     "metric_queries",
     "voyage_queries",
     "report_queries",
+    "report_table_queries",
     "change_queries",
     "model_queries",
     "stream_queries",

@@ -367,7 +367,7 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
 
 
 def as_map(counts: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """A small counted table as one map."""
+    """A counted table of few keys (a fixed list of statuses, reasons or hours) as one map."""
     return counts.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(out))
 
 
@@ -459,10 +459,15 @@ def dataset_summary(df: DataFrame) -> DataFrame:
             F.min("longitude").alias("min_longitude"),
             F.max("longitude").alias("max_longitude"),
         ),
-        assets.agg(F.count("asset_id").alias("total_assets"), F.sort_array(F.collect_list("asset_id")).alias("asset_list")),
+        assets.agg(F.count("asset_id").alias("total_assets")),
     )
 
 
+def dataset_assets(df: DataFrame) -> DataFrame:
+    """The assets of a dataset, a row each."""
+    return df.where("asset_id IS NOT NULL").groupBy("asset_id").agg(F.count("*").alias("n"))
+
+
 def dataset_distributions(df: DataFrame) -> DataFrame:
     parts = ["shipment_status", "traffic_status", "logistics_delay_reason"]
     counted = [distribution(df, c).select(F.lit(c).alias("field"), "value", "n") for c in parts]

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed_values import KPI_ACTIONS
 from ..functions.scalars import number_text, title_case
+from .metrics import one_row
 
 SEVERITY_FROM_TYPE = ["critical", "warning"]
 
@@ -207,10 +208,23 @@ def opportunities(facts: DataFrame) -> DataFrame:
     )
 
 
+NAMED_ASSETS = 20
+
+
 def resource_recommendations(utilization: DataFrame) -> DataFrame:
-    """Fixed advice, led by a redistribution line when both ends of the load exist."""
+    """Fixed advice, led by a redistribution line when both ends of the load exist.
+
+    The line names the first ``NAMED_ASSETS`` assets of either end and the number of
+    further ones; the rows of ``utilization`` have them all.
+    """
+    ends = utilization.where(F.col("load").isin("over", "under"))
+    place = F.row_number().over(Window.partitionBy("load").orderBy("asset_id"))
+    named = ends.withColumn("place", place).where(F.col("place") <= NAMED_ASSETS)
+    counts = utilization.agg(F.count_if(F.col("load") == "over").alias("n_over"), F.count_if(F.col("load") == "under").alias("n_under"), F.count("*").alias("n"))
     ids = lambda load: F.array_join(F.array_sort(F.collect_list(F.when(F.col("load") == load, F.col("asset_id")))), ", ")
-    sides = utilization.agg(ids("over").alias("over"), ids("under").alias("under"), F.count("*").alias("n"))
+    sides = one_row(named.agg(ids("over").alias("first_over"), ids("under").alias("first_under")), counts)
+    rest = lambda load: F.when(F.col(f"n_{load}") > NAMED_ASSETS, F.concat(F.lit(" and "), (F.col(f"n_{load}") - NAMED_ASSETS).cast("string"), F.lit(" more"))).otherwise("")
+    sides = sides.withColumns({load: F.concat(f"first_{load}", rest(load)) for load in ("over", "under")})
     line = text("Redistribute workload from overutilized assets (", F.col("over"), ") to underutilized assets (", F.col("under"), ")")
     both = (F.col("over") != "") & (F.col("under") != "")
     return fire(

@@ -1,4 +1,7 @@
-"""Nested one-row reports, all derived from one profile of the readings."""
+"""Nested one-row reports, all derived from one profile of the readings.
+
+They hold nothing that grows with the assets; ``report_tables`` has those sections as rows.
+"""
 
 from __future__ import annotations
 
@@ -185,7 +188,6 @@ def descriptive(fig: Figures) -> DataFrame:
     return one_row(
         _pack(fig.data_summary, "data_summary"),
         _pack(fig.overview, "performance_metrics"),
-        fig.counts("asset", "asset_distribution"),
         fig.counts("status", "status_distribution"),
         fig.counts("reason", "delay_reasons"),
         kpi_list(fig),
@@ -229,7 +231,6 @@ def prescriptive(fig: Figures) -> DataFrame:
     return one_row(
         rules.as_list(rules.issues(facts, rules.root_cause_insights(facts)), "issues"),
         rules.as_list(chances, "optimization_opportunities"),
-        _list(fig.utilization, "asset_utilization", F.col("asset_id")),
         _list(plans, "kpi_improvements", F.col("kpi") == "Delay Rate"),
         _list(everything, "recommendations", F.col("source"), F.col("position")),
     )
@@ -273,27 +274,29 @@ def executive(fig: Figures) -> DataFrame:
     )
 
 
-def operational(fig: Figures) -> DataFrame:
-    assets = fig.assets
+def live_metrics(fig: Figures) -> DataFrame:
+    """Open rows, assets, rows per asset and open rows per asset."""
     active = cut(fig.base, "all", "scope").select("active").scalar()
-    live = assets.agg(
+    return fig.assets.agg(
         F.count("asset_id").alias("total_assets"),
         F.avg(F.when(F.col("asset_id").isNotNull(), F.col("shipments"))).alias("avg_shipments_per_asset"),
     ).select(
         active.alias("active_shipments"), "total_assets", "avg_shipments_per_asset",
         rate(active, F.col("total_assets")).alias("utilization_rate"),
     )
+
+
+def operational(fig: Figures) -> DataFrame:
+    assets = fig.assets
     best = metrics.top_k(assets, 3, F.col("performance_score").desc(), F.col("asset_id"))
     return one_row(
         _pack(fig.data_summary, "data_summary"),
-        _pack(live, "real_time_metrics"),
+        _pack(live_metrics(fig), "real_time_metrics"),
         fig.counts("status", "status_distribution"),
         _pack(metrics.capacity(fig.daily), "capacity_analysis"),
         _pack(fig.cause_facts, "delay_summary", "total_delayed", "delay_rate", "avg_delay_probability", "avg_waiting_time"),
         _list(metrics.top_k(fig.reasons, 5, F.col("n").desc(), F.col("reason")), "top_reasons", F.col("n") * -1, F.col("reason")),
-        _list(assets, "asset_performance", F.col("performance_score") * -1, F.col("asset_id")),
         _list(best, "top_performers", F.col("performance_score") * -1, F.col("asset_id")),
-        _list(assets.filter(F.col("delay_rate") > 15), "underperformers", F.col("performance_score") * -1, F.col("asset_id")),
     )
 
 
@@ -337,5 +340,5 @@ def rounded(report: DataFrame) -> DataFrame:
 
 def export_rows(insights: DataFrame, as_of: str) -> DataFrame:
     """Insights as one exportable row: time, count and list."""
-    body = insights.agg(F.collect_list(F.struct(*insights.columns)).alias("insights"))
+    body = insights.agg(F.array_sort(F.collect_list(F.struct("position", *[c for c in insights.columns if c != "position"]))).alias("insights"))
     return body.select(F.lit(as_of).alias("generated_at"), F.size("insights").alias("total_insights"), "insights")

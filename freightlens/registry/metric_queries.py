@@ -395,12 +395,15 @@ def shipment_statistics(spark, root):
     f"""SELECT count(*) AS total_records, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (logistics_delay) AS total_delayed,
          {_RATE} AS delay_rate, min(waiting_time) AS min_wait, max(waiting_time) AS max_wait, avg(waiting_time) AS mean_wait,
          median(waiting_time) AS median_wait, min(latitude) AS min_latitude, max(latitude) AS max_latitude,
-         min(longitude) AS min_longitude, max(longitude) AS max_longitude, count(DISTINCT asset_id) AS total_assets,
-         string_agg(DISTINCT asset_id, ',' ORDER BY asset_id) AS asset_list FROM readings""",
+         min(longitude) AS min_longitude, max(longitude) AS max_longitude, count(DISTINCT asset_id) AS total_assets FROM readings""",
 )
 def dataset_summary(spark, root):
-    out = metrics.dataset_summary(shapes.readings(spark, root))
-    return out.withColumn("asset_list", F.array_join("asset_list", ","))
+    return metrics.dataset_summary(shapes.readings(spark, root))
+
+
+@register("dataset_assets", "A-38", "SELECT asset_id, count(*) AS n FROM readings WHERE asset_id IS NOT NULL GROUP BY 1")
+def dataset_assets(spark, root):
+    return metrics.dataset_assets(shapes.readings(spark, root))
 
 
 @register(
