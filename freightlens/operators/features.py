@@ -135,25 +135,27 @@ def encode_labels(df: DataFrame, column: str, fitted: DataFrame | None = None, u
     return out.withColumn(f"{column}_encoded", F.coalesce(f"{column}_encoded", F.lit(unseen)))
 
 
-def fit_labels(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values with their alphabetical position.
+def fit_codes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, code): each column's distinct values with their alphabetical position.
 
-    The distinct values are range-partitioned and stored once, so partition
-    numbers stay fixed; the rank is then a position inside a partition plus the
-    sizes of the partitions before it.  Only those sizes meet in one task.
+    The distinct values of all columns are range-partitioned and stored once, so partition
+    numbers stay fixed; the rank is then a position inside a partition plus the sizes of
+    the column's partitions before it.  Only those sizes meet in one task, and no list of
+    values is held by the driver.
     """
-    ranged = (
-        df.select(F.coalesce(F.col(column), F.lit("unknown")).alias("value"))
-        .distinct()
-        .repartitionByRange("value")
-        .withColumn("part", F.spark_partition_id())
-    )
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in columns])
+    ranged = df.select(F.inline(pairs)).distinct().repartitionByRange("column", "value").withColumn("part", F.spark_partition_id())
     values = stored(ranged, "labels")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = values.groupBy("part").agg(F.count("*").alias("n"))
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = values.withColumn("pos", F.row_number().over(Window.partitionBy("part").orderBy("value")))
-    return inside.join(offsets, "part").select("value", (F.col("offset") + F.col("pos") - 1).cast("int").alias("code"))
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = values.groupBy("column", "part").agg(F.count("*").alias("n"))
+    offsets = sizes.select("column", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = values.withColumn("pos", F.row_number().over(Window.partitionBy("part", "column").orderBy("value")))
+    return inside.join(offsets, ["column", "part"]).select("column", "value", (F.col("offset") + F.col("pos") - 1).cast("int").alias("code"))
+
+
+def fit_labels(df: DataFrame, column: str) -> DataFrame:
+    """(value, code) of one column's distinct values, alphabetically from 0."""
+    return fit_codes(df, [column]).select("value", "code")
 
 
 def fit_scaling(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:

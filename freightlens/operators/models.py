@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import json
 import time
+from dataclasses import dataclass
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.risk import band_exclusive, delay_probability
+from ..session import stored
 from . import features as ft
-from .joins import asset_statistics
+from .joins import BROADCAST_ROWS, asset_statistics
 
 LABEL = "label"
 
@@ -42,37 +44,64 @@ VOYAGE_NUMERIC = ["cargo_weight", "cargo_value", "cargo_weight_log", "route_comp
 VOYAGE_CATEGORIES = ["origin_port", "destination_port", "cargo_type", "container_type"]
 
 
-# --- feature pipelines -----------------------------------------------------------------
-def feature_stages(
-    df: DataFrame, numeric: list[str], plain: list[str], categories: list[str], unseen: int = 0, reject_unseen: bool = False
-) -> list:
-    """Index, scale and assemble.  All stages are JVM stages and can be saved.
+# --- feature plans -----------------------------------------------------------------------
+@dataclass
+class Features:
+    """A fitted feature plan: scaled numbers, plain numbers, and category codes as a table.
 
-    Scaling uses the population deviation, which the library scaler does not
-    offer, so the fitted numbers are written into a SQL stage.  Codes pass
-    through SQL too: they become plain numbers and unseen values get one fixed code.
+    The vocabulary is never on the driver or in a plan's text: a column's codes are rows
+    of ``codes``, and rows meet them by a join.
     """
-    indexer = StringIndexer(
-        inputCols=categories,
-        outputCols=[f"{c}_index" for c in categories],
-        stringOrderType="alphabetAsc",
-        handleInvalid="error" if reject_unseen else "keep",
-    ).fit(df)
-    scaling = ft.fit_scaling(df, numeric)
-    scaled = [f"(coalesce(cast({c} as double), 0D) - {m!r}D) / {s!r}D AS {c}_scaled" for c, (m, s) in scaling.items()]
-    codes = [
-        f"CASE WHEN {c}_index >= {len(known)} THEN {unseen}D ELSE {c}_index END AS {c}_code"
-        for c, known in zip(categories, indexer.labelsArray)
-    ]
-    flat = [f"coalesce(cast({c} as double), 0D) AS {c}_plain" for c in plain]
-    sql = SQLTransformer(statement=f"SELECT *, {', '.join(scaled + flat + codes)} FROM __THIS__")
-    inputs = [f"{c}_scaled" for c in numeric] + [f"{c}_plain" for c in plain] + [f"{c}_code" for c in categories]
-    return [indexer, sql, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
-
-
-def feature_names(stages: list) -> list[str]:
-    names = next(s for s in stages if isinstance(s, VectorAssembler)).getInputCols()
-    return [n.rsplit("_", 1)[0] for n in names]
+
+    codes: DataFrame
+    sizes: dict[str, int]
+    scaling: dict[str, tuple[float, float]]
+    plain: list[str]
+    categories: list[str]
+    unseen: int = 0
+    reject_unseen: bool = False
+
+    @property
+    def names(self) -> list[str]:
+        return [*self.scaling, *self.plain, *self.categories]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with the vector ``features``; values that were not seen get one code, or fail the job."""
+        out = df
+        for c in self.categories:
+            own = self.codes.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias(f"_{c}_code"))
+            # broadcast by the number of codes counted when the plan was fitted
+            own = F.broadcast(own) if self.sizes.get(c, 0) <= BROADCAST_ROWS else own
+            out = out.join(own, F.coalesce(F.col(c).cast("string"), F.lit("unknown")) == F.col("_value"), "left").drop("_value")
+        number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        strange = lambda c: F.raise_error(F.concat(F.lit(f"unseen {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("null")))).cast("double")
+        code = lambda c: F.coalesce(F.col(f"_{c}_code").cast("double"), strange(c) if self.reject_unseen else F.lit(float(self.unseen)))
+        inputs = {
+            **{f"_{c}_scaled": (number(c) - m) / s for c, (m, s) in self.scaling.items()},
+            **{f"_{c}_plain": number(c) for c in self.plain},
+            **{f"_{c}_code": code(c) for c in self.categories},
+        }
+        assembler = VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="keep")
+        return assembler.transform(out.withColumns(inputs)).drop(*inputs)
+
+    def save(self, path: str) -> dict:
+        """Write the codes as a table; returns the rest of the plan for the manifest."""
+        self.codes.write.parquet(f"{path}/codes")
+        return {k: getattr(self, k) for k in ("sizes", "scaling", "plain", "categories", "unseen", "reject_unseen")}
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, plan: dict) -> Features:
+        codes = spark.read.schema("column string, value string, code int").parquet(f"{path}/codes")
+        return Features(codes, **{**plan, "scaling": {c: tuple(v) for c, v in plan["scaling"].items()}})
+
+
+def fit_features(
+    df: DataFrame, numeric: list[str], plain: list[str], categories: list[str], unseen: int = 0, reject_unseen: bool = False
+) -> Features:
+    """Learn scales (population deviation, a few numbers) and codes (a written table) from training rows."""
+    codes = stored(ft.fit_codes(df, categories), "codes")
+    sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    return Features(codes, sizes, ft.fit_scaling(df, numeric), plain, categories, unseen, reject_unseen)
 
 
 def base_rows(readings: DataFrame) -> DataFrame:
@@ -81,8 +110,8 @@ def base_rows(readings: DataFrame) -> DataFrame:
     return timed.withColumns({c: F.coalesce(F.col(c), F.lit("unknown")) for c in BASE_CATEGORIES})
 
 
-def base_stages(train: DataFrame, with_leaking: bool = False) -> list:
-    return feature_stages(train, BASE_NUMERIC, BASE_TIME, BASE_CATEGORIES + (LEAKING_CATEGORIES if with_leaking else []), unseen=-1)
+def base_features(train: DataFrame, with_leaking: bool = False) -> Features:
+    return fit_features(train, BASE_NUMERIC, BASE_TIME, BASE_CATEGORIES + (LEAKING_CATEGORIES if with_leaking else []), unseen=-1)
 
 
 def full_rows(readings: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
@@ -95,8 +124,8 @@ def full_rows(readings: DataFrame, statistics: DataFrame | None = None) -> DataF
     )
 
 
-def full_stages(train: DataFrame) -> list:
-    return feature_stages(train, FULL_NUMERIC, FULL_PLAIN, FULL_CATEGORIES)
+def full_features(train: DataFrame) -> Features:
+    return fit_features(train, FULL_NUMERIC, FULL_PLAIN, FULL_CATEGORIES)
 
 
 def voyage_rows(voyages: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
@@ -105,9 +134,9 @@ def voyage_rows(voyages: DataFrame, statistics: DataFrame | None = None) -> Data
     return rows.withColumn("is_priority_flag", F.col("is_priority").cast("int"))
 
 
-def voyage_stages(train: DataFrame) -> list:
+def voyage_features(train: DataFrame) -> Features:
     calendar = [c for p in ("scheduled_departure", "scheduled_arrival") for c in train.columns if c.startswith(p + "_")]
-    return feature_stages(train, VOYAGE_NUMERIC, calendar, VOYAGE_CATEGORIES, reject_unseen=True)
+    return fit_features(train, VOYAGE_NUMERIC, calendar, VOYAGE_CATEGORIES, reject_unseen=True)
 
 
 # --- estimators -------------------------------------------------------------------------
@@ -152,10 +181,10 @@ def score(model: Model, vectors: DataFrame) -> DataFrame:
     return out.withColumns({"will_delay": F.col("prediction") > 0.5, "risk_level": band_exclusive("delay_probability")})
 
 
-def score_or_fallback(model: PipelineModel | None, readings: DataFrame) -> DataFrame:
+def score_or_fallback(model: DelayModel | None, readings: DataFrame) -> DataFrame:
     """The registered model when there is one, else the additive heuristic."""
     if model is not None:
-        return score(model, base_rows(readings))
+        return model.score(base_rows(readings))
     p = delay_probability("traffic_status", "waiting_time", "logistics_delay_reason")
     return readings.withColumn("delay_probability", p).withColumns(
         {
@@ -300,10 +329,41 @@ def agreement(values: str):
 REGISTRY_SCHEMA = "name string, path string, saved_at timestamp, metadata string"
 
 
-def save_model(spark: SparkSession, model: PipelineModel, root: str, name: str, metadata: dict) -> str:
-    """Store a fitted pipeline and one registry row; every save gets its own folder."""
+@dataclass
+class DelayModel:
+    """Feature plan, member models and their weights: what it takes to score raw rows."""
+
+    features: Features
+    members: dict[str, Model]
+    weights: dict[str, float]
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """A single member scores by itself; several give their weighted mean and vote."""
+        vectors = self.features.transform(rows)
+        if len(self.members) == 1:
+            return score(next(iter(self.members.values())), vectors)
+        return ensemble_score(self.members, self.weights, vectors)
+
+    def save(self, path: str) -> None:
+        """Members, weights and feature codes in one folder; the manifest comes last and commits it."""
+        spark = self.features.codes.sparkSession
+        plan = self.features.save(f"{path}/features")
+        for name, member in self.members.items():
+            PipelineModel([member]).save(f"{path}/members/{name}")
+        manifest = json.dumps({"features": plan, "members": list(self.members), "weights": self.weights})
+        spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{path}/manifest")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> DelayModel:
+        manifest = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
+        members = {name: PipelineModel.load(f"{path}/members/{name}").stages[0] for name in manifest["members"]}
+        return DelayModel(Features.load(spark, f"{path}/features", manifest["features"]), members, manifest["weights"])
+
+
+def save_model(spark: SparkSession, model: DelayModel, root: str, name: str, metadata: dict) -> str:
+    """Store a model, single or ensemble, and one registry row; every save gets its own folder."""
     path = f"{root}/{name}_{time.strftime('%Y%m%d_%H%M%S')}_{time.time_ns() % 10**9:09d}"
-    model.write().overwrite().save(path)
+    model.save(path)
     row = spark.createDataFrame([(name, path, json.dumps(metadata))], "name string, path string, metadata string")
     row.select("name", "path", F.current_timestamp().alias("saved_at"), "metadata").coalesce(1).write.mode("append").json(f"{root}/registry")
     return path
@@ -313,14 +373,15 @@ def list_models(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(REGISTRY_SCHEMA).json(f"{root}/registry").orderBy(F.col("saved_at").desc(), F.col("path").desc())
 
 
-def load_newest(spark: SparkSession, root: str) -> PipelineModel | None:
+def load_newest(spark: SparkSession, root: str) -> DelayModel | None:
     from ..sources.files import path_exists
 
     if not path_exists(spark, f"{root}/registry"):
         return None
     found = spark.read.schema(REGISTRY_SCHEMA).json(f"{root}/registry").agg(F.max_by("path", F.struct("saved_at", "path"))).first()[0]
-    return PipelineModel.load(found) if found else None
+    return DelayModel.load(spark, found) if found else None
 
 
-def fit_pipeline(stages: list, estimator: Estimator, train: DataFrame) -> PipelineModel:
-    return Pipeline(stages=[*stages, estimator]).fit(train)
+def fit_model(features: Features, estimator: Estimator, train: DataFrame, name: str = "model") -> DelayModel:
+    """A model of one member, fitted on raw rows."""
+    return DelayModel(features, {name: estimator.fit(features.transform(train))}, {name: 1.0})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..operators import features as ft, models, route_forecast
@@ -182,18 +181,18 @@ def voyage_external_features(spark, root):
 
 # --- fitted models ----------------------------------------------------------------------
 def _base_vectors(spark, root):
-    """Train and test vectors of the base classifier, and the fitted stages."""
+    """Train and test vectors of the base classifier, and the fitted feature plan."""
     rows = models.base_rows(shapes.readings(spark, root)).withColumn(models.LABEL, F.col("logistics_delay").cast("double"))
     flagged = ft.with_split(rows, models.LABEL, "id")
-    stages = models.base_stages(flagged.filter("in_train"))
-    vectors = PipelineModel(stages).transform(flagged).select("id", models.LABEL, "features", "in_train").persist()
-    return vectors.filter("in_train").drop("in_train"), vectors.filter("NOT in_train").drop("in_train"), stages, vectors
+    features = models.base_features(flagged.filter("in_train"))
+    vectors = features.transform(flagged).select("id", models.LABEL, "features", "in_train").persist()
+    return vectors.filter("in_train").drop("in_train"), vectors.filter("NOT in_train").drop("in_train"), features, vectors
 
 
 def _fit(spark, root, name):
-    train, test, stages, cached = _base_vectors(spark, root)
+    train, test, features, cached = _base_vectors(spark, root)
     model = models.classifiers(train.count(), boosting_rounds=BOOSTING_ROUNDS)[name].fit(train)
-    return model, cached, test, stages
+    return model, cached, test, features
 
 
 def _register_classifier(query: str, name: str, covers: str) -> None:
@@ -219,7 +218,7 @@ def full_feature_model(spark, root):
     flagged = ft.with_split(raw.select("*", label), models.LABEL, "id")
     statistics = models.asset_statistics(ft.derived_training_columns(flagged.filter("in_train")))
     full = models.full_rows(flagged, statistics).persist()
-    prepared = PipelineModel(models.full_stages(full.filter("in_train")))
+    prepared = models.full_features(full.filter("in_train"))
     vectors = prepared.transform(full).select("id", models.LABEL, "features", "in_train").persist()
     train = vectors.filter("in_train")
     members = models.fit_all(models.classifiers(train.count(), boosting_rounds=BOOSTING_ROUNDS), train)
@@ -254,9 +253,9 @@ def cross_validation(spark, root):
 
 @register("feature_importance", "M-18 W-10")
 def feature_importance(spark, root):
-    model, cached, _, stages = _fit(spark, root, "RandomForest")
+    model, cached, _, features = _fit(spark, root, "RandomForest")
     cached.unpersist()
-    return models.importances(spark, model, models.feature_names(stages))
+    return models.importances(spark, model, features.names)
 
 
 @register("batch_scoring", "M-19 C-19")
@@ -274,12 +273,42 @@ def model_registry(spark, root):
     rows = models.base_rows(shapes.readings(spark, root)).withColumn(models.LABEL, F.col("logistics_delay").cast("double"))
     train, test = ft.stratified_split(rows, models.LABEL, "id")
     folder = new_path(spark, "models")
-    fitted = models.fit_pipeline(models.base_stages(train), models.classifiers(train.count())["LogisticRegression"], train)
+    fitted = models.fit_model(models.base_features(train), models.classifiers(train.count())["LogisticRegression"], train, "LogisticRegression")
     for version in ("1", "2"):
         models.save_model(spark, fitted, folder, "LogisticRegression", {"version": version})
     newest = models.load_newest(spark, folder)
     saved = models.list_models(spark, folder).agg(F.count("*").alias("models"), F.max("metadata").alias("newest"))
-    return one_row(saved, models.metrics_frame(spark, {"LogisticRegression": models.evaluate(newest, test)}))
+    return one_row(saved, models.metrics_frame(spark, {"LogisticRegression": models.evaluate_scored(newest.score(test))}))
+
+
+@register(
+    "saved_ensemble",
+    "S-12 M-14 M-20",
+    "SELECT count(*) AS scored, 0 AS different, 1 AS registered, 'Ensemble' AS name, true AS in_range FROM readings",
+)
+def saved_ensemble(spark, root):
+    """An ensemble saved with its weights and codes scores every reading as the one in memory does."""
+    rows = models.base_rows(shapes.readings(spark, root)).withColumn(models.LABEL, F.col("logistics_delay").cast("double"))
+    train, test = ft.stratified_split(rows, models.LABEL, "id")
+    features = models.base_features(train)
+    vectors = features.transform(train).select(models.LABEL, "features").persist()
+    kinds = models.classifiers(vectors.count())
+    members = models.fit_all({n: kinds[n] for n in ("LogisticRegression", "RandomForest")}, vectors)
+    vectors.unpersist()
+    held = features.transform(test).select(models.LABEL, "features")
+    fitted = models.DelayModel(features, members, models.ensemble_weights(members, held))
+    folder = new_path(spark, "ensembles")
+    models.save_model(spark, fitted, folder, "Ensemble", {"members": list(members)})
+    loaded = models.load_newest(spark, folder)
+    pick = ["id", "will_delay", "delay_probability", "risk_level"]
+    before = stored(fitted.score(rows).select(pick), "scores")
+    after = loaded.score(rows).select("id", *[F.col(c).alias(f"{c}_2") for c in pick[1:]])
+    unequal = ~(F.col("will_delay").eqNullSafe(F.col("will_delay_2")) & (F.col("delay_probability") == F.col("delay_probability_2")) & F.col("risk_level").eqNullSafe(F.col("risk_level_2")))
+    figures = before.join(after, "id").agg(
+        F.count("*").alias("scored"), F.count_if(unequal).cast("int").alias("different"), F.bool_and(F.col("delay_probability").between(0, 1)).alias("in_range")
+    )
+    listed = models.list_models(spark, folder).agg(F.count("*").cast("int").alias("registered"), F.max("name").alias("name"))
+    return one_row(figures, listed)
 
 
 @register(
@@ -302,7 +331,7 @@ def voyage_regressors(spark, root):
     flagged = ft.with_split(arrived.withColumn("side", F.lit(1)), "side", "id").drop("side")
     statistics = route_statistics(flagged.filter("in_train"))
     full = models.voyage_rows(flagged, statistics).persist()
-    prepared = PipelineModel(models.voyage_stages(full.filter("in_train").drop("in_train")))
+    prepared = models.voyage_features(full.filter("in_train").drop("in_train"))
     vectors = prepared.transform(full).select("id", models.LABEL, "features", "in_train").persist()
     test = vectors.filter("NOT in_train")
     members = models.fit_all(models.regressors(boosting_rounds=BOOSTING_ROUNDS), vectors.filter("in_train"))

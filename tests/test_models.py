@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from freightlens.operators import models, route_forecast
 from freightlens.registry.model_queries import _base_vectors
+from freightlens.sources import shapes
 
 
 def test_route_forecast_equals_row_wise_least_squares(spark):
@@ -37,7 +38,7 @@ def test_route_forecast_equals_row_wise_least_squares(spark):
 
 
 def test_scores_are_probabilities_and_ensemble_is_their_mean(spark, root):
-    train, test, stages, cached = _base_vectors(spark, root)
+    train, test, plan, cached = _base_vectors(spark, root)
     two = {k: v for k, v in models.classifiers(train.count()).items() if k in ("LogisticRegression",)}
     two["Small"] = models.RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=5, seed=1)
     members = models.fit_all(two, train)
@@ -48,7 +49,7 @@ def test_scores_are_probabilities_and_ensemble_is_their_mean(spark, root):
     for r in joint:
         assert 0 <= r["delay_probability"] <= 1
         assert r["delay_probability"] == pytest.approx(sum(weights[n] * each[n][r["id"]] for n in members))
-    named = models.importances(spark, members["Small"], models.feature_names(stages)).collect()
+    named = models.importances(spark, members["Small"], plan.names).collect()
     assert len(named) == 15 and [r["rank"] for r in named] == list(range(1, 16))
     cached.unpersist()
 
@@ -76,3 +77,45 @@ def test_fallback_without_a_model(spark):
     assert row["will_delay"] and row["delay_probability"] == pytest.approx(1.0) and row["risk_level"] == "High"
     assert models.load_newest(spark, "/tmp/no-such-folder") is None
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_codes_of_many_categories_are_rows(spark):
+    n = 60_000
+    df = spark.range(n).select(F.concat(F.lit("c"), F.lpad(((F.col("id") * 7919) % n).cast("string"), 6, "0")).alias("a"), (F.col("id") % 3).cast("string").alias("b"), F.lit(1.0).alias("x"), "id")
+    plan = models.fit_features(df, ["x"], [], ["a", "b"], unseen=-1)
+    assert plan.sizes == {"a": n, "b": 3} and plan.names == ["x", "a", "b"]
+    odd = df.unionByName(spark.createDataFrame([("new", None, 1.0, -5)], "a string, b string, x double, id bigint"))
+    out = plan.transform(odd)
+    assert out.columns == [*df.columns, "features"]
+    from pyspark.ml.functions import vector_to_array
+
+    codes = out.select("a", "id", vector_to_array("features").alias("v"))
+    wrong = codes.where("id >= 0").where(F.col("v")[1] != F.substring("a", 2, 6).cast("double"))
+    assert wrong.count() == 0
+    assert codes.where("id = -5").first()["v"][1:] == [-1.0, -1.0]
+    assert "c000042" not in out._jdf.queryExecution().toString()
+
+
+def test_strict_plans_refuse_unseen_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, x double")
+    plan = models.fit_features(df, ["x"], [], ["k"], reject_unseen=True)
+    assert plan.transform(df).count() == 2
+    with pytest.raises(Exception, match="unseen k: c"):
+        plan.transform(spark.createDataFrame([("c", 1.0)], "k string, x double")).collect()
+
+
+def test_a_saved_ensemble_scores_equal(spark, root):
+    from freightlens.session import new_path
+
+    rows = models.base_rows(shapes.readings(spark, root)).withColumn("label", F.col("logistics_delay").cast("double"))
+    plan = models.base_features(rows)
+    vectors = plan.transform(rows)
+    members = {"forest": models.RandomForestClassifier(labelCol="label", numTrees=3, seed=1).fit(vectors), "line": models.LogisticRegression(labelCol="label").fit(vectors)}
+    model = models.DelayModel(plan, members, {"forest": 0.25, "line": 0.75})
+    folder = new_path(spark, "ensemble")
+    models.save_model(spark, model, folder, "Ensemble", {})
+    loaded = models.load_newest(spark, folder)
+    assert loaded.weights == model.weights and list(loaded.members) == ["forest", "line"]
+    unknown = rows.withColumn("asset_id", F.when(F.col("id") % 5 == 0, "never seen").otherwise(F.col("asset_id")))
+    score = lambda m: [tuple(r) for r in m.score(unknown).select("id", "delay_probability", "will_delay", "risk_level").orderBy("id").collect()]
+    assert score(loaded) == score(model)
