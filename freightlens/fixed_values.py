@@ -170,3 +170,34 @@ DEFAULT_PREFERENCES = {
 MAX_RETRIES = 3
 MIN_COMMUNICATION_KEEP_DAYS = 2555
 MAX_PREDICTION_KEEP_DAYS = 180
+
+# --- customer messages (fixed texts) ---------------------------------------------------
+DEFAULT_DELAY_REASON = "operational factors"
+DEFAULT_ACTIONS = "Our team is working to minimize any impact to your delivery schedule."
+FALLBACK_SUBJECT = "Shipment Update"
+FALLBACK_TEXT = "We have an update regarding your shipment. Please contact our customer service team for more information."
+FALLBACK_RECIPIENT = "customer@example.com"
+
+# (context, channel) -> subject and body; {name} is replaced by the column of that name
+TEMPLATES = {
+    ("delay_notification", "email"): (
+        "Important Update: Shipment {shipment_id} Delay Notification",
+        "Dear {customer_name}, shipment {shipment_id} ({cargo_type}) from {origin_port} to {destination_port}, due {scheduled_eta}, "
+        "is expected {delay_hours} hours late due to {delay_reason}. Revised ETA: {new_eta}. {actions} We apologize for the inconvenience.",
+    ),
+    ("delay_notification", "sms"): (
+        None,
+        "Shipment {shipment_id} may be delayed by {delay_hours}h due to {delay_reason}. New ETA: {new_eta}. We apologize for any inconvenience.",
+    ),
+    ("shipment_update", "email"): (
+        "Shipment {shipment_id} Status Update",
+        "Dear {customer_name}, the current status of shipment {shipment_id} is {status}. Location: {location}. Updated ETA: {new_eta}.",
+    ),
+    ("shipment_update", "sms"): (None, "Shipment {shipment_id} status: {status}. Location: {location}. ETA: {new_eta}."),
+    ("proactive_communication", "email"): (
+        "Proactive Update: Your Shipment {shipment_id}",
+        "Dear {customer_name}, shipment {shipment_id} is progressing well and remains on schedule for {scheduled_eta}. "
+        "Location: {location}. No delays are anticipated at this time.",
+    ),
+}
+CONTACT_FOOTER = "\n\n---\nFor questions or concerns, contact our customer service."

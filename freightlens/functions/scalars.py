@@ -119,7 +119,7 @@ def rate(part: Column, whole: Column, scale: float = 100.0) -> Column:
 
 
 def number_text(c: Column | str, digits: int = 2) -> Column:
-    return F.round(col(c), digits).cast("string")
+    return F.bround(col(c), digits).cast("string")
 
 
 def clamp(c: Column, low: float, high: float) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..fixed_values import ROUTE_COMPLEXITY
+from ..fixed_values import DEFAULT_DELAY_REASON, ROUTE_COMPLEXITY
 from ..functions.risk import band_hours, congestion_level
 from ..functions.scalars import hours_between, lookup, plus_hours
 from ..session import stored
@@ -233,7 +233,7 @@ def _placed(edges: DataFrame, asked: DataFrame, key: list[str], slot_seconds: in
     return rows.withColumn("inside", inside).join(offsets, [*key, "slot"]).withColumn("place", F.col("before") + F.col("inside")).drop("slot", "inside", "before")
 
 
-def as_of_external(probes: DataFrame, external: DataFrame, default: float, time: str = "ts", slot_seconds: int = 3600) -> DataFrame:
+def as_of_external(probes: DataFrame, external: DataFrame, default: float | None, time: str = "ts", slot_seconds: int = 3600) -> DataFrame:
     """The newest external value of a key that is still valid at the probe's time.
 
     Every observation lives from ``created_at`` until before its own ``expires_at``; one
@@ -285,7 +285,10 @@ def new_and_unique(batch: DataFrame, existing: DataFrame, key: str, order: str)
 
 
 def message_context(requests: DataFrame, voyages: DataFrame, customers: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Request, voyage, customer and delay information side by side, with the shifted arrival."""
+    """Request, voyage, customer and delay information side by side, with the shifted arrival and the reason.
+
+    A request may name its ``primary_reason``.
+    """
     v = voyages.select(
         F.col("id").alias("shipment_key"), "shipment_id", "origin_port", "destination_port", "scheduled_arrival", "status", "cargo_type"
     )
@@ -294,4 +297,12 @@ def message_context(requests: DataFrame, voyages: DataFrame, customers: DataFram
         F.col("shipment_id").alias("shipment_key"), "predicted_delay_hours", "delay_probability"
     )
     joined = requests.join(v, "shipment_key", "left").join(c, "customer_id", "left").join(p, "shipment_key", "left")
-    return joined.withColumn("new_eta", plus_hours("scheduled_arrival", "predicted_delay_hours"))
+    reason = F.col("primary_reason") if "primary_reason" in requests.columns else F.lit(None).cast("string")
+    return joined.withColumns(
+        {
+            "new_eta": plus_hours("scheduled_arrival", "predicted_delay_hours"),
+            "delay_reason": F.coalesce(reason, F.lit(DEFAULT_DELAY_REASON)),
+            "company": F.coalesce("company", F.lit("")),
+            "cargo_type": F.coalesce("cargo_type", F.lit("general cargo")),
+        }
+    )

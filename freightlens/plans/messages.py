@@ -4,37 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..fixed_values import DEFAULT_PREFERENCES, MAX_RETRIES, NOTIFICATION_TYPES
+from ..fixed_values import (
+    CONTACT_FOOTER,
+    DEFAULT_ACTIONS,
+    DEFAULT_DELAY_REASON,
+    DEFAULT_PREFERENCES,
+    FALLBACK_RECIPIENT,
+    FALLBACK_SUBJECT,
+    FALLBACK_TEXT,
+    MAX_RETRIES,
+    NOTIFICATION_TYPES,
+    TEMPLATES,
+)
 from ..functions.scalars import sms_text, valid_phone
 
-FALLBACK_SUBJECT = "Shipment Update"
-FALLBACK_TEXT = "We have an update regarding your shipment. Please contact our customer service team for more information."
-FALLBACK_RECIPIENT = "customer@example.com"
-
-# (context, channel) -> subject and body; {name} is replaced by the column of that name
-TEMPLATES = {
-    ("delay_notification", "email"): (
-        "Important Update: Shipment {shipment_id} Delay Notification",
-        "Dear {customer_name}, shipment {shipment_id} from {origin_port} to {destination_port} is expected "
-        "{delay_hours} hours late. Revised ETA: {new_eta}. We apologize for the inconvenience.",
-    ),
-    ("delay_notification", "sms"): (
-        None,
-        "Shipment {shipment_id} may be delayed by {delay_hours}h. New ETA: {new_eta}. We apologize for any inconvenience.",
-    ),
-    ("shipment_update", "email"): (
-        "Shipment {shipment_id} Status Update",
-        "Dear {customer_name}, the current status of shipment {shipment_id} is {status}. Updated ETA: {new_eta}.",
-    ),
-    ("shipment_update", "sms"): (None, "Shipment {shipment_id} status: {status}. ETA: {new_eta}."),
-    ("proactive_communication", "email"): (
-        "Proactive Update: Your Shipment {shipment_id}",
-        "Dear {customer_name}, shipment {shipment_id} is progressing well and remains on schedule for {scheduled_eta}.",
-    ),
-}
-CONTACT_FOOTER = "\n\n---\nFor questions or concerns, contact our customer service."
-
-
 def _render(template: str, values: dict[str, Column]) -> Column:
     """The template as one concatenation of its literal pieces and column values."""
     import re
@@ -63,6 +46,11 @@ def customer_messages(contexts: DataFrame, signature: str = CONTACT_FOOTER) -> D
         "origin_port": F.col("origin_port"),
         "destination_port": F.col("destination_port"),
         "status": F.col("status"),
+        "company": F.coalesce(F.nullif(F.col("company"), F.lit("")), F.lit("your company")) if "company" in contexts.columns else F.lit("your company"),
+        "cargo_type": F.col("cargo_type") if "cargo_type" in contexts.columns else F.lit("general cargo"),
+        "delay_reason": F.col("delay_reason") if "delay_reason" in contexts.columns else F.lit(DEFAULT_DELAY_REASON),
+        "actions": F.col("actions_taken") if "actions_taken" in contexts.columns else F.lit(DEFAULT_ACTIONS),
+        "location": F.col("current_location") if "current_location" in contexts.columns else F.lit(None),
         "delay_hours": F.format_string("%.1f", F.coalesce("predicted_delay_hours", F.lit(0.0))),
         "new_eta": stamp(F.coalesce("new_eta", "scheduled_arrival")),
         "scheduled_eta": stamp("scheduled_arrival"),

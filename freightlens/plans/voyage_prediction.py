@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import risk
-from ..operators.joins import with_congestion, with_route_history
+from ..operators.joins import as_of_external, with_congestion, with_route_history
+
+DEFAULT_WEATHER = {"temperature": 20.0, "wind_speed": 5.0, "precipitation": 0.0}
+
+
+def with_weather(requests: DataFrame, weather: DataFrame) -> DataFrame:
+    """Weather at the origin port when the voyage departs, and its severity; usual weather where none is known.
+
+    ``weather`` holds observations (id, data_type, data_key, data_value, created_at,
+    expires_at) with the port as key and temperature, wind_speed and precipitation in
+    data_value.
+    """
+    probes = requests.withColumns({"data_type": F.lit("weather"), "data_key": F.col("origin_port")})
+    found = as_of_external(probes, weather, None, time="scheduled_departure")
+    known = {c: F.coalesce(F.col("data_value")[c].cast("double"), F.lit(usual)) for c, usual in DEFAULT_WEATHER.items()}
+    full = found.withColumns(known).drop("data_type", "data_key", "data_value", "observed_at")
+    return full.withColumn("weather_severity", risk.weather_severity("temperature", "wind_speed", "precipitation"))
 
 
 def with_request_defaults(requests: DataFrame) -> DataFrame:
@@ -20,20 +36,31 @@ def with_request_defaults(requests: DataFrame) -> DataFrame:
     )
 
 
-def predict_voyages(requests: DataFrame, history: DataFrame) -> DataFrame:
+def predict_voyages(requests: DataFrame, history: DataFrame, weather: DataFrame | None = None) -> DataFrame:
     """Hours, probability, band, factors and advice per request.
 
-    A request without ports or schedule gets the safe default row instead.
+    With ``weather`` observations the severity is that at the origin when the voyage
+    departs, else the season's; ports are busier in business hours, at the origin on
+    departure and at the destination on arrival.  A request without ports or schedule
+    gets the safe default row instead.
     """
     full = with_congestion(with_route_history(with_request_defaults(requests), history), 0.5)
-    weather = risk.seasonal_weather_severity("scheduled_departure")
+    if weather is None:
+        full = full.withColumn("weather_severity", risk.seasonal_weather_severity("scheduled_departure"))
+    else:
+        full = with_weather(full, weather)
+        full = full.withColumns(
+            {
+                "origin_congestion": risk.busy_congestion("origin_congestion", "scheduled_departure"),
+                "destination_congestion": risk.busy_congestion("destination_congestion", "scheduled_arrival"),
+            }
+        )
     hours = risk.rule_based_hours(
         F.lit(1.0), "weather_severity", "origin_congestion", "destination_congestion", "is_priority"
     )
     usable = F.col("origin_port").isNotNull() & F.col("destination_port").isNotNull() & F.col("scheduled_departure").isNotNull()
     scored = (
-        full.withColumn("weather_severity", weather)
-        .withColumn("predicted_delay_hours", F.when(usable, hours).otherwise(0.0))
+        full.withColumn("predicted_delay_hours", F.when(usable, hours).otherwise(0.0))
         .withColumn("delay_probability", F.when(usable, risk.probability_from_hours("predicted_delay_hours")).otherwise(0.1))
         .withColumn(
             "risk_level",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixed_values import VOYAGE_STATUSES
+from ..fixed_values import PREDICTION_ADVICE, VOYAGE_STATUSES
 from ..functions.scalars import hours_between, sms_text, valid_phone
 from ..operators import changes, joins
 from ..operators.cleaning import voyage_rules
@@ -129,43 +129,117 @@ def backfill_outcomes(spark, root):
     )
 
 
-_HOURS = "greatest(0e0, (2e0 + 12 * w + 8 * (0.5e0 + 0.5e0)) * CASE WHEN is_priority THEN 0.7e0 ELSE 1e0 END)"
+_HOURS = "greatest(0e0, (2e0 + 12 * w + 8 * (oc + dc)) * CASE WHEN is_priority THEN 0.7e0 ELSE 1e0 END)"
+_FACTORS = ["weather", "port_congestion", "route_history", "cargo_complexity", "priority_handling"]
+
+
+def _prediction_sql(requests: str) -> str:
+    """All columns of a prediction from rows (id, is_priority, cargo_weight, m route mean, w severity, oc and dc congestion)."""
+    t = PREDICTION_ADVICE
+    advice = f"""list_filter([CASE WHEN h >= 24 THEN '{t["high"][0]}' END, CASE WHEN h >= 24 THEN '{t["high"][1]}' END,
+        CASE WHEN h >= 8 AND h < 24 THEN '{t["moderate"][0]}' END, CASE WHEN h >= 8 AND h < 24 THEN '{t["moderate"][1]}' END,
+        CASE WHEN weather > 0.3e0 THEN '{t["weather"]}' END, CASE WHEN port_congestion > 0.5e0 THEN '{t["congestion"]}' END,
+        CASE WHEN route_history > 0.3e0 THEN '{t["history"]}' END], lambda x: x IS NOT NULL)"""
+    return f"""WITH q AS ({requests}),
+         r AS (SELECT *, {_HOURS} AS h, w * 0.3e0 AS weather, (oc + dc) / 2 * 0.4e0 AS port_congestion, least(m / 24, 0.5e0) AS route_history,
+           CASE WHEN cargo_weight > 20000 THEN 0.2e0 ELSE 0e0 END AS cargo_complexity, CASE WHEN is_priority THEN -0.1e0 ELSE 0e0 END AS priority_handling FROM q)
+       SELECT id, h AS predicted_delay_hours, least(h / 24, 1e0) AS delay_probability, 0.7e0 AS confidence_score,
+         CASE WHEN h >= 24 AND h / 24 >= 0.7e0 THEN 'high' WHEN h >= 8 AND h / 24 >= 0.5e0 THEN 'medium' WHEN h >= 2 AND h / 24 >= 0.3e0 THEN 'low'
+           ELSE 'minimal' END AS risk_level, {", ".join(_FACTORS)},
+         CASE WHEN len({advice}) = 0 THEN '{t["default"]}' ELSE array_to_string({advice}, ' | ') END AS advice FROM r"""
+
+
+def _prediction_columns(out):
+    factors = [F.col("factors")[f].alias(f) for f in _FACTORS]
+    return out.select(
+        "id", "predicted_delay_hours", "delay_probability", "confidence_score", "risk_level", *factors, F.array_join("recommendations", " | ").alias("advice")
+    )
+
+
+_SEASON = "0.5e0 + CASE WHEN month(scheduled_departure) IN (12, 1, 2) THEN 0.2e0 WHEN month(scheduled_departure) IN (6, 7, 8) THEN 0.1e0 ELSE 0e0 END"
 
 
 @register(
     "predict_voyages",
     "R-20 C-23 C-27 C-28 J-08",
-    f"""WITH h AS (SELECT origin_port, destination_port, date_diff('second', scheduled_arrival, actual_arrival) / 3600e0 AS h FROM voyages WHERE actual_arrival IS NOT NULL),
-         s AS (SELECT origin_port, destination_port, avg(h) AS m FROM h GROUP BY 1, 2),
-         q AS (SELECT id, is_priority, coalesce(m, 0) AS m, 0.5e0 + CASE WHEN month(scheduled_departure) IN (12, 1, 2) THEN 0.2e0
-           WHEN month(scheduled_departure) IN (6, 7, 8) THEN 0.1e0 ELSE 0e0 END AS w FROM voyages v LEFT JOIN s USING (origin_port, destination_port)),
-         r AS (SELECT id, {_HOURS} AS h, least(m / 24, 0.5e0) AS route_history FROM q)
-       SELECT id, h AS predicted_delay_hours, least(h / 24, 1e0) AS delay_probability,
-         CASE WHEN h >= 24 AND h / 24 >= 0.7e0 THEN 'high' WHEN h >= 8 AND h / 24 >= 0.5e0 THEN 'medium' WHEN h >= 2 AND h / 24 >= 0.3e0 THEN 'low'
-           ELSE 'minimal' END AS risk_level, route_history FROM r""",
+    _prediction_sql(
+        f"""SELECT id, is_priority, cargo_weight, coalesce(m, 0) AS m, {_SEASON} AS w, 0.5e0 AS oc, 0.5e0 AS dc FROM voyages v
+           LEFT JOIN (SELECT origin_port, destination_port, avg(date_diff('second', scheduled_arrival, actual_arrival) / 3600e0) AS m
+             FROM voyages WHERE actual_arrival IS NOT NULL GROUP BY 1, 2) s USING (origin_port, destination_port)"""
+    ),
 )
 def predict_voyages(spark, root):
     v = shapes.voyages(spark, root)
-    out = voyage_prediction.predict_voyages(v, v)
-    return out.select("id", "predicted_delay_hours", "delay_probability", "risk_level", F.col("factors")["route_history"].alias("route_history"))
+    return _prediction_columns(voyage_prediction.predict_voyages(v, v))
+
+
+_PORTS = ["Shanghai", "Los Angeles", "Singapore", "Rotterdam", "Hamburg", "Antwerp", "Oslo"]
+_PORT_LIST = "[" + ", ".join(f"'{p}'" for p in _PORTS) + "]"
+_KNOWN_PORTS = f"""SELECT id, is_priority, cargo_weight, {_PORT_LIST}[1 + customer_id % 7] AS o, {_PORT_LIST}[1 + (customer_id + 1 + id % 5) % 7] AS d,
+    date_diff('second', scheduled_arrival, actual_arrival) / 3600e0 AS late, actual_arrival IS NOT NULL AS arrived,
+    TIMESTAMP '2024-01-01' + to_minutes(CAST(id % 43200 AS INTEGER)) AS dep, TIMESTAMP '2024-01-08' + to_minutes(CAST(id % 43200 + id % 1440 AS INTEGER)) AS arr FROM voyages"""
+_LEVELS = "CASE {0} WHEN 'Shanghai' THEN 0.7e0 WHEN 'Los Angeles' THEN 0.8e0 WHEN 'Singapore' THEN 0.4e0 WHEN 'Rotterdam' THEN 0.3e0 WHEN 'Hamburg' THEN 0.3e0 WHEN 'Antwerp' THEN 0.4e0 ELSE 0.5e0 END"
+
+
+def _busy(port: str, ts: str) -> str:
+    level = _LEVELS.format(port)
+    return f"CASE WHEN hour({ts}) BETWEEN 6 AND 18 THEN least({level} + 0.1e0, 1e0) ELSE {level} END"
+
+
+@register(
+    "predict_voyages_external",
+    "R-20 J-12 C-25 C-33 J-09",
+    _prediction_sql(
+        f"""WITH k AS ({_KNOWN_PORTS}), s AS (SELECT o, d, avg(late) AS m FROM k WHERE arrived GROUP BY 1, 2),
+           e AS (SELECT event_id AS id, {_PORT_LIST}[1 + user_id % 7] AS port, ts AS created_at, ts + to_minutes(CAST(20 + event_id % 7 * 30 AS INTEGER)) AS expires_at,
+             event_id % 60 - 12 AS temperature, user_id % 40 AS wind_speed, event_id % 9 AS precipitation FROM events),
+           x AS (SELECT k.id, arg_max({{'t': temperature, 'w': wind_speed, 'p': precipitation}}, (created_at, e.id)) AS f
+             FROM k JOIN e ON e.port = k.o AND e.created_at <= k.dep AND k.dep < e.expires_at GROUP BY 1)
+         SELECT k.id, is_priority, cargo_weight, coalesce(m, 0) AS m, {_busy('k.o', 'dep')} AS oc, {_busy('k.d', 'arr')} AS dc,
+           least(CASE WHEN coalesce(f.t, 20) < 0 OR coalesce(f.t, 20) > 40 THEN 0.3e0 ELSE 0e0 END + CASE WHEN coalesce(f.w, 5) > 25 THEN 0.4e0 ELSE 0e0 END
+             + CASE WHEN coalesce(f.p, 0) > 5 THEN 0.3e0 ELSE 0e0 END, 1e0) AS w
+         FROM k LEFT JOIN s ON s.o = k.o AND s.d = k.d LEFT JOIN x ON x.id = k.id"""
+    ),
+)
+def predict_voyages_external(spark, root):
+    """Voyages between known ports, with the newest valid weather at departure and business-hour congestion."""
+    ports = F.array(*[F.lit(p) for p in _PORTS])
+    port = lambda n: F.get(ports, (n % 7).cast("int"))
+    minutes = lambda day, n: F.lit(day).cast("timestamp_ntz") + F.make_dt_interval(mins=n.cast("int"))
+    i, customer = F.col("id"), F.col("customer_id")
+    history = shapes.voyages(spark, root).withColumns({"origin_port": port(customer), "destination_port": port(customer + 1 + i % 5)})
+    requests = history.withColumns(
+        {"scheduled_departure": minutes("2024-01-01 00:00:00", i % 43200), "scheduled_arrival": minutes("2024-01-08 00:00:00", i % 43200 + i % 1440)}
+    )
+    n, user = F.col("event_id"), F.col("user_id")
+    observed = F.struct((n % 60 - 12).cast("double").alias("temperature"), (user % 40).cast("double").alias("wind_speed"), (n % 9).cast("double").alias("precipitation"))
+    weather = shapes.table(spark, root, "events").select(
+        n.alias("id"), F.lit("weather").alias("data_type"), port(user).alias("data_key"), observed.alias("data_value"),
+        F.col("ts").alias("created_at"), (F.col("ts") + F.make_dt_interval(mins=(20 + n % 7 * 30).cast("int"))).alias("expires_at"),
+    )
+    return _prediction_columns(voyage_prediction.predict_voyages(requests, history, weather))
 
 
 @register(
     "customer_messages",
     "R-21 J-16 X-09 X-10",
     """WITH m AS (SELECT c.id, CASE c.id % 4 WHEN 0 THEN 'delay_notification' WHEN 1 THEN 'shipment_update' WHEN 2 THEN 'proactive_communication' ELSE 'other' END AS context,
-           CASE WHEN c.type = 'email' THEN 'email' ELSE 'sms' END AS channel, v.shipment_id, v.status, u.name, u.email, u.phone, l.predicted_delay_hours AS h, v.origin_port, v.destination_port,
+           CASE WHEN c.type = 'email' THEN 'email' ELSE 'sms' END AS channel, v.shipment_id, v.status, coalesce(v.cargo_type, 'general cargo') AS cargo, u.name,
+           CASE c.id % 5 WHEN 0 THEN 'port congestion' WHEN 1 THEN 'adverse weather' ELSE 'operational factors' END AS reason, coalesce(CASE WHEN c.id % 3 = 0 THEN v.origin_port END, 'n/a') AS place, u.email, u.phone, l.predicted_delay_hours AS h, v.origin_port, v.destination_port,
            v.scheduled_arrival, v.scheduled_arrival + to_seconds(CAST(floor(l.predicted_delay_hours * 3600) AS BIGINT)) AS eta
          FROM communications c LEFT JOIN voyages v ON v.id = c.shipment_id LEFT JOIN customers u ON u.id = c.customer_id LEFT JOIN latest l ON l.shipment_id = c.shipment_id),
        t AS (SELECT *, strftime(coalesce(eta, scheduled_arrival), '%Y-%m-%d %H:%M') AS e, printf('%.1f', coalesce(h, 0)) AS hh,
          shipment_id IS NOT NULL AND name IS NOT NULL AS known FROM m),
-       b AS (SELECT *, CASE WHEN context = 'delay_notification' AND channel = 'email' THEN 'Dear ' || name || ', shipment ' || shipment_id || ' from ' || origin_port || ' to ' || destination_port || ' is expected ' || hh || ' hours late. Revised ETA: ' || e || '. We apologize for the inconvenience.'
-           WHEN context = 'delay_notification' THEN 'Shipment ' || shipment_id || ' may be delayed by ' || hh || 'h. New ETA: ' || e || '. We apologize for any inconvenience.'
-           WHEN context = 'shipment_update' AND channel = 'email' THEN 'Dear ' || name || ', the current status of shipment ' || shipment_id || ' is ' || status || '. Updated ETA: ' || e || '.'
-           WHEN context = 'shipment_update' THEN 'Shipment ' || shipment_id || ' status: ' || status || '. ETA: ' || e || '.'
-           WHEN context = 'proactive_communication' AND channel = 'email' THEN 'Dear ' || name || ', shipment ' || shipment_id || ' is progressing well and remains on schedule for ' || strftime(scheduled_arrival, '%Y-%m-%d %H:%M') || '.'
+       b AS (SELECT *, CASE WHEN context = 'delay_notification' AND channel = 'email' THEN 'Dear ' || name || ', shipment ' || shipment_id || ' (' || cargo || ') from ' || origin_port || ' to ' || destination_port || ', due ' || strftime(scheduled_arrival, '%Y-%m-%d %H:%M') || ', is expected ' || hh || ' hours late due to ' || reason || '. Revised ETA: ' || e || '. Our team is working to minimize any impact to your delivery schedule. We apologize for the inconvenience.'
+           WHEN context = 'delay_notification' THEN 'Shipment ' || shipment_id || ' may be delayed by ' || hh || 'h due to ' || reason || '. New ETA: ' || e || '. We apologize for any inconvenience.'
+           WHEN context = 'shipment_update' AND channel = 'email' THEN 'Dear ' || name || ', the current status of shipment ' || shipment_id || ' is ' || status || '. Location: ' || place || '. Updated ETA: ' || e || '.'
+           WHEN context = 'shipment_update' THEN 'Shipment ' || shipment_id || ' status: ' || status || '. Location: ' || place || '. ETA: ' || e || '.'
+           WHEN context = 'proactive_communication' AND channel = 'email' THEN 'Dear ' || name || ', shipment ' || shipment_id || ' is progressing well and remains on schedule for ' || strftime(scheduled_arrival, '%Y-%m-%d %H:%M') || '. Location: ' || place || '. No delays are anticipated at this time.'
            ELSE 'Dear ' || name || ', we have an update regarding your shipment ' || shipment_id || '. Please contact our customer service team for more information.' END AS body FROM t)
-       SELECT id, CASE WHEN NOT known THEN 'We have an update regarding your shipment. Please contact our customer service team for more information.'
+       SELECT id, CASE WHEN NOT known THEN 'Shipment Update' WHEN context = 'delay_notification' AND channel = 'email' THEN 'Important Update: Shipment ' || shipment_id || ' Delay Notification'
+           WHEN context = 'shipment_update' AND channel = 'email' THEN 'Shipment ' || shipment_id || ' Status Update'
+           WHEN context = 'proactive_communication' AND channel = 'email' THEN 'Proactive Update: Your Shipment ' || shipment_id ELSE 'Shipment ' || shipment_id || ' Update' END AS subject,
+         CASE WHEN NOT known THEN 'We have an update regarding your shipment. Please contact our customer service team for more information.'
            WHEN channel = 'email' THEN body || chr(10) || chr(10) || '---' || chr(10) || 'For questions or concerns, contact our customer service.'
            WHEN length(body) > 160 THEN substr(body, 1, 157) || '...' ELSE body END AS message,
          CASE WHEN NOT known THEN 'customer@example.com' WHEN channel = 'email' THEN email ELSE phone END AS recipient,
@@ -177,11 +251,13 @@ def customer_messages(spark, root):
         "id", F.col("shipment_id").alias("shipment_key"), "customer_id",
         F.when(i % 4 == 0, "Delay Notification").when(i % 4 == 1, "shipment_update").when(i % 4 == 2, "proactive_communication").otherwise("other").alias("context"),
         F.when(F.col("type") == "email", "email").otherwise("sms").alias("channel"),
+        F.when(i % 5 == 0, "port congestion").when(i % 5 == 1, "adverse weather").alias("primary_reason"),
     )
     contexts = joins.message_context(
         requests, shapes.voyages(spark, root), shapes.customers(spark, root), shapes.predictions(spark, root)
     )
-    return messages.customer_messages(contexts).select("id", "message", "recipient", "outbox_status")
+    contexts = contexts.withColumn("current_location", F.when(i % 3 == 0, F.col("origin_port")))
+    return messages.customer_messages(contexts).select("id", "subject", "message", "recipient", "outbox_status")
 
 
 @register(

@@ -21,7 +21,7 @@ def joined(df, column):
     return df.withColumn(column, F.array_join(column, "; "))
 
 
-_S = "CAST(round({0}, 2) AS VARCHAR)"
+_S = "CAST(round_even({0}, 2) AS VARCHAR)"
 TREND_INSIGHTS_SQL = f"""SELECT type, title FROM (SELECT s.*, unnest([
     CASE WHEN delay_direction = 'increasing' AND delay_significant THEN {{'type': 'warning', 'title': 'Increasing Delay Rate Trend'}} END,
     CASE WHEN delay_direction = 'decreasing' AND delay_significant THEN {{'type': 'positive', 'title': 'Improving Delay Performance'}} END,
@@ -107,7 +107,7 @@ def risk_factors_of_delayed(spark, root):
     "R-04",
     f"""WITH m AS ({MEANS_SQL}), c AS (SELECT max(n) AS peak FROM daily), l AS (SELECT {_LEVEL} AS level FROM ({SHARES_SQL}))
        SELECT 'high' AS priority, 'Capacity Expansion Required' AS title,
-         'Predicted volume (' || CAST(round(expected_avg_volume, 1) AS VARCHAR) || ') approaching capacity limit' AS description FROM m, c WHERE expected_avg_volume > 0.9e0 * peak
+         'Predicted volume (' || CAST(round_even(expected_avg_volume, 1) AS VARCHAR) || ') approaching capacity limit' AS description FROM m, c WHERE expected_avg_volume > 0.9e0 * peak
        UNION ALL SELECT 'high', 'High Risk Level Detected', 'Multiple high-risk factors identified' FROM l WHERE level = 'high'
        UNION ALL SELECT 'medium', 'Delay Rate Optimization Needed',
          'Predicted delay rate of ' || {_S.format('expected_avg_delay_rate')} || '% exceeds targets' FROM m WHERE expected_avg_delay_rate > 10""",

@@ -151,7 +151,7 @@ _FIRST_INSIGHTS = f"""WITH t AS ({SUMMARY_SQL}) SELECT * FROM (SELECT *, row_num
 _FIRST_ADVICE = f"""WITH m AS ({MEANS_SQL}), c AS (SELECT max(n) AS peak FROM daily), l AS (SELECT {_LEVEL} AS level FROM ({SHARES_SQL}))
   SELECT *, row_number() OVER (ORDER BY position) AS place FROM (
     SELECT 0 AS position, 'high' AS priority, 'capacity_planning' AS category, 'Capacity Expansion Required' AS title,
-      'Predicted volume (' || CAST(round(expected_avg_volume, 1) AS VARCHAR) || ') approaching capacity limit' AS description,
+      'Predicted volume (' || CAST(round_even(expected_avg_volume, 1) AS VARCHAR) || ') approaching capacity limit' AS description,
       'Scale up resources; Optimize asset utilization; Consider additional capacity' AS actions FROM m, c WHERE expected_avg_volume > 0.9e0 * peak
     UNION ALL SELECT 1, 'high', 'risk_mitigation', 'High Risk Level Detected', 'Multiple high-risk factors identified',
       'Implement risk mitigation strategies; Increase monitoring frequency; Review operational procedures' FROM l WHERE level = 'high'
