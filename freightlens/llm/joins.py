@@ -27,3 +27,11 @@ def bounded_batches(spark) -> None:
     now = int(spark.conf.get(key).rstrip("b"))
     if now <= 0 or now > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, longer by underscores until no column has it in any case of letters."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name

@@ -3,15 +3,17 @@
 1. Of every text, the suffixes at minimiser positions are retained: places whose
    5-word hash is the least of some window of 16 consecutive places.  Two texts that
    share 50 words share such a place in the passage's first 16 words, and the 35 words
-   after it.
-2. Suffixes are brought together by their first 35 words and, among those, sorted
-   twice: by the words to their left and by the words that follow.  Neighbouring
-   documents in either order are compared.  A passage of very many documents is cut
-   into chunks of documents; one common document is in all of them.
-3. Two neighbours are compared at all their places: every 50 words of the one that
-   occur anywhere in the other count.
-
-Of two documents, the one of the smaller key holds the original, the other the repeat.
+   after it (the stem).
+2. Suffixes are brought together by their stems, which puts equal ones side by side as a
+   sorted suffix array does; stems of a single text are dropped before anything moves.
+3. A shared place is extended to the left and to the right: by l words before the stem
+   and 15 - l words behind it, for every l.  Each such stretch of 50 words that two texts
+   have in common counts, and stretches that overlap become one span.
+
+Equal texts are one unit all along, so copies cost a row each.  Everything is grouped by
+hashes with partial sums; no pairs of documents are formed, no group is cut, and nothing
+depends on how many documents share a passage.  Of the documents that hold a stretch, the
+one of the smallest key holds the original.
 """
 
 from __future__ import annotations
@@ -22,24 +24,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..session import stored
+from ..session import discard, new_path, stored
 from . import words as W
-from .joins import bounded_batches, by_size
+from .joins import bounded_batches, free_name
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Least words of a passage, window of places, words hashed per place, context on either side (8 at most), documents per chunk."""
+    """Least words of a passage, window of places, words hashed per place."""
 
     least: int = 50
     window: int = 16
     gram: int = 5
-    left: int = 8
-    chunk: int = 5000
 
     @property
     def stem(self) -> int:
@@ -74,165 +74,165 @@ def minimisers(values: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(most == values)
 
 
-def suffixes(texts: DataFrame, cfg: Settings) -> DataFrame:
-    """key (hash of the suffix's first words), doc_key, and the words before and after those (a byte of each hash, nearest first)."""
+def _cut(hashes: np.ndarray, first: np.ndarray, cfg: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Retained places of a slice's words with room for a stem, and their documents."""
+    at = minimisers(grams(hashes, cfg.gram), cfg.window)
+    doc = np.searchsorted(first, at, "right") - 1
+    fits = (at + cfg.stem <= first[doc + 1]) & (first[doc + 1] - first[doc] >= cfg.least)
+    return at[fits], doc[fits]
+
 
-    def context(hashes, at, step, first, stop):
-        out = np.zeros(len(at), np.uint64)
-        for j in range(cfg.left):
-            place = at + j * step
-            inside = (place >= first) & (place < stop)
-            byte = np.maximum(hashes[np.where(inside, place, 0)] >> np.uint64(56), np.uint64(1))
-            out |= np.where(inside, byte, np.uint64(0)) << np.uint64(56 - 8 * j)
-        return pa.array(out.view(np.int64))
+def suffixes(texts: DataFrame, cfg: Settings) -> DataFrame:
+    """(stem, unit, place) of the retained suffixes; the place counts from the text's first word."""
 
     def run(batches):
         for batch in batches:
-            keys = batch.column("doc_key")
+            units = batch.column("unit")
             for lo, raw, offsets in W.slices(batch.column("text")):
                 found = W.Words(raw, offsets)
-                n = len(found.hash)
-                if n < cfg.least:
+                if len(found.hash) < cfg.least:
                     continue
-                at = minimisers(grams(found.hash, cfg.gram), cfg.window)
-                doc = np.searchsorted(found.first, at, "right") - 1
-                fits = (at + cfg.stem <= found.first[doc + 1]) & (found.first[doc + 1] - found.first[doc] >= cfg.least)
-                at, doc = at[fits], doc[fits]
-                key = grams(found.hash, cfg.stem)[at]
-                start, stop = found.first[doc], found.first[doc + 1]
+                at, doc = _cut(found.hash, found.first, cfg)
+                stem = grams(found.hash, cfg.stem)[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), keys.take(pa.array(doc + lo)), context(found.hash, at - 1, -1, start, stop), context(found.hash, at + cfg.stem, 1, start, stop)],
-                    ["key", "doc_key", "left", "right"],
+                    [pa.array(stem.view(np.int64)), units.take(pa.array(doc + lo)), pa.array((at - found.first[doc]).astype(np.int32))], ["stem", "unit", "place"]
                 )
 
-    return texts.mapInArrow(run, "key long, doc_key long, left long, right long")
+    return texts.mapInArrow(run, "stem long, unit long, place int")
+
 
+def stretches(texts: DataFrame, cfg: Settings) -> DataFrame:
+    """(h1, h2, unit, lo, starts) of every stretch of ``least`` words that holds one of the text's ``places``.
 
-def word_hashes(texts: DataFrame) -> DataFrame:
-    """doc_key, doc_id and the text's word hashes."""
+    A stretch that a text holds several times is one row.  A text also has one row
+    without hashes whose only start is its number of words.
+    """
 
     def run(batches):
         for batch in batches:
-            keys, ids = batch.column("doc_key"), batch.column("doc_id")
+            units, lows, places = batch.column("unit"), batch.column("lo"), batch.column("places")
             for lo, raw, offsets in W.slices(batch.column("text")):
                 found = W.Words(raw, offsets)
-                parts = [found.hash[a:b].view(np.int64) for a, b in zip(found.first[:-1], found.first[1:])]
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, len(parts)), ids.slice(lo, len(parts)), W.list_column(parts, pa.int64())], ["doc_key", "doc_id", "words"])
-
-    return texts.mapInArrow(run, "doc_key long, doc_id long, words array<long>")
+                sizes = np.diff(found.first)
+                rows = np.arange(lo, lo + len(sizes))
+                none = pa.nulls(len(rows), pa.int64())
+                names = ["h1", "h2", "unit", "lo", "starts"]
+                lengths = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32)), pa.array(sizes.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([none, none, units.take(pa.array(rows)), lows.take(pa.array(rows)), lengths], names)
+                starts, owner = [], []
+                for i, n in enumerate(sizes.tolist()):
+                    own = places[lo + i].values if places[lo + i].is_valid else None
+                    if own is None or n < cfg.least:
+                        continue
+                    begin = own.to_numpy(zero_copy_only=False)[:, None] - np.arange(cfg.window)
+                    begin = np.unique(begin[(begin >= 0) & (begin + cfg.least <= n)])
+                    starts.append(begin)
+                    owner.append(np.full(len(begin), i))
+                if not starts:
+                    continue
+                start, doc = np.concatenate(starts), np.concatenate(owner)
+                at = found.first[doc] + start
+                one, two = grams(found.hash, cfg.least)[at], grams(W.mix(found.hash + W.STEP), cfg.least)[at]
+                order = np.lexsort((start, two, one, doc))
+                doc, one, two, start = doc[order], one[order], two[order], start[order]
+                new = np.append(True, (doc[1:] != doc[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+                at = np.flatnonzero(new)
+                rows = pa.array(doc[at] + lo)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(new)).astype(np.int32)), pa.array(start.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), units.take(rows), lows.take(rows), lists], names)
+
+    return texts.mapInArrow(run, "h1 long, h2 long, unit long, lo long, starts array<int>")
+
+
+def _joined(starts: np.ndarray, least: int) -> list[dict]:
+    """Spans of the words that stretches from these places cover."""
+    if not len(starts):
+        return []
+    starts = np.unique(starts)
+    cut = np.flatnonzero(np.diff(starts) > least)
+    return [{"start": int(x), "stop": int(y) + least} for x, y in zip(starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]])]
 
 
-def common_spans(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Spans of the places of ``a`` that lie in ``least`` words found anywhere in ``b``."""
-    if min(len(a), len(b)) < least:
-        return []
-    x, y = (grams(w.view(np.uint64), least)[: len(w) - least + 1] for w in (a, b))
-    at = np.flatnonzero(np.isin(x, y))
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > least)
-    return list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + least).tolist()))
+SPANS = "array<struct<start:int,stop:int>>"
 
 
-def _extend(pairs: DataFrame, cfg: Settings) -> DataFrame:
-    """Spans of both documents of each pair: (doc_key, start, stop, later)."""
+def _spans(found: DataFrame, cfg: Settings) -> DataFrame:
+    """(unit, spans, later) from a unit's places of shared stretches and of those an earlier document holds."""
 
     def run(batches):
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
-            rows = {k: [] for k in ("doc_key", "start", "stop", "later")}
-
-            def add(*values):
-                for k, v in zip(rows, values):
-                    rows[k].append(v)
-
-            keys, others = batch.column("doc_key").to_pylist(), batch.column("prev_key").to_pylist()
-            for i in range(batch.num_rows):
-                a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("words", "prev_words"))
-                for span in common_spans(a, b, cfg.least):
-                    add(keys[i], *span, True)
-                for span in common_spans(b, a, cfg.least):
-                    add(others[i], *span, False)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
-
-    return pairs.select("doc_key", "prev_key", "words", "prev_words").mapInArrow(run, "doc_key long, start int, stop int, later boolean")
-
-
-def _union(spans):
-    """Spans joined where they touch; ``spans`` is a sorted array column of (start, stop)."""
-    return F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= s["start"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))),
-    )
+            parts = [pa.array([_joined(x.values.flatten().to_numpy(zero_copy_only=False), cfg.least) for x in batch.column(c)], kind) for c in ("shared", "earlier")]
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), *parts], ["unit", "spans", "later"])
+
+    return found.select("unit", "shared", "earlier").mapInArrow(run, f"unit long, spans {SPANS}, later {SPANS}")
 
 
 def repeats(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """One row per document that shares a passage with another one.
 
     doc_id, doc_key, spans (word places of all shared passages), later (those of which
-    another document holds the original), and their lengths n_repeated and n_later.
+    a document of a smaller key holds the original), and their lengths n_repeated and
+    n_later.
 
     Rows that repeat id and text are one document; equal texts of other ids repeat
     each other.  A null id is an id like others.  Null, empty and shorter texts share
     nothing; a passage that repeats inside one document only doesn't count.  Only
     doc_id and text are read.  An empty table gives an empty one.
     """
-    bounded_batches(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), "text")
-    found = stored(suffixes(keyed, cfg), "suffixes")
-    # written, so that the join below is one of two plain shuffles, whose hot keys Spark splits, or a counted broadcast
-    shared = stored(
-        found.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_key").alias("lo"), F.max("doc_key").alias("hi")).where("lo <> hi").select("key", "m", "lo"), "shared"
-    )
-    # places don't count for the number of chunks: one document may hold a passage many times
-    many = by_size(found, stored(shared.where(F.col("m") > cfg.chunk).select("key"), "frequent"), "key")
-    many = stored(many.groupBy("key").agg(F.count_distinct("doc_key").alias("docs")).where(F.col("docs") > cfg.chunk), "many")
-    parts = F.ceil(F.coalesce("docs", F.lit(1)) / cfg.chunk).cast("int")
-    first = (
-        by_size(by_size(found, shared, "key"), many, "key", "left")
-        .withColumn("parts", parts)
-        # the first document of a passage is in every chunk
-        .withColumn("part", F.explode(F.when(F.col("doc_key") == F.col("lo"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_key", "key"), "parts").cast("int")))))
-        .select("key", "part", "doc_key", "left", "right")
-        .repartition("key", "part")  # the chunks of a common passage go to different tasks
-        .dropDuplicates(["key", "part", "doc_key", "left", "right"])
-    )
-    before = lambda side: F.lag("doc_key").over(Window.partitionBy("key", "part").orderBy(side, "doc_key"))
-    neighbours = first.select("doc_key", before("left").alias("a"), before("right").alias("b"))
-    neighbours = neighbours.select("doc_key", F.explode(F.array("a", "b")).alias("other")).where("doc_key <> other")
-    pairs = stored(neighbours.select(F.greatest("doc_key", "other").alias("doc_key"), F.least("doc_key", "other").alias("prev_key")).distinct(), "neighbours")
-    wanted = stored(pairs.select("doc_key").union(pairs.select("prev_key")).distinct(), "wanted")
-    hashes = stored(word_hashes(by_size(keyed, wanted, "doc_key", "left_semi").dropDuplicates(["doc_key"])), "hashes")
-    both = pairs.join(hashes.drop("doc_id"), "doc_key").join(hashes.select(F.col("doc_key").alias("prev_key"), F.col("words").alias("prev_words")), "prev_key")
-    spans = _extend(both, cfg)
-    span = F.struct("start", "stop")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), F.xxhash64("text").alias("unit"), "text")
+    units = keyed.groupBy("unit").agg(F.min("doc_key").alias("lo"), (F.min("doc_key") != F.max("doc_key")).alias("copied"))
+    units = stored(units, "units")
+
+    made: list[str] = []
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        made.append(new_path(spark, label))
+        df.write.parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    found = written(suffixes(keyed.select("unit", "text"), cfg), "suffixes")
+    shared = found.groupBy("stem").agg(F.min("unit").alias("a"), F.max("unit").alias("b")).where("a <> b").select("stem")
+    shared = written(shared, "stems")
+    # both sides are written tables, so the joins are plain shuffles whose hot keys Spark splits
+    places = found.join(shared.hint("merge"), "stem", "left_semi").groupBy("unit").agg(F.collect_set("place").alias("places"))
+    wanted = units.join(places, "unit", "left").where(F.col("copied") | F.col("places").isNotNull())
+    wanted = written(wanted.select("unit", "lo", "places"), "wanted")
+    # the texts of one document each; repeated rows give equal stretches, which are counted once
+    texts = keyed.select("doc_key", "text").join(wanted.withColumnRenamed("lo", "doc_key").hint("merge"), "doc_key").withColumnRenamed("doc_key", "lo")
+    rows = written(stretches(texts.select("unit", "lo", "places", "text"), cfg), "stretches")
+    owners = rows.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("unit").alias("a"), F.max("unit").alias("b"), F.min("lo").alias("first"))
+    owners = written(owners.where("a <> b").select("h1", "h2", "first"), "owners")
+    hits = rows.where("h1 IS NOT NULL").join(owners.hint("merge"), ["h1", "h2"])
+    marks = hits.groupBy("unit").agg(F.collect_list("starts").alias("shared"), F.collect_list(F.when(F.col("first") < F.col("lo"), F.col("starts"))).alias("earlier"))
+    sizes = rows.where("h1 IS NULL").groupBy("unit").agg(F.max(F.get("starts", F.lit(0))).alias("n"))
+    per = stored(units.join(sizes, "unit").join(_spans(marks, cfg), "unit", "left"), "spans")
+    for path in made:
+        discard(spark, path)
+
+    whole = F.when(F.col("n") >= cfg.least, F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("stop")))).otherwise(F.array().cast(SPANS))
+    none = F.array().cast(SPANS)
+    copy = F.col("copied") & (F.col("doc_key") != F.col("lo"))
     length = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    return (
-        spans.groupBy("doc_key")
-        .agg(F.array_sort(F.collect_set(span)).alias("a"), F.array_sort(F.collect_set(F.when(F.col("later"), span))).alias("b"))
-        .join(hashes.select("doc_key", "doc_id"), "doc_key")
-        .select("doc_id", "doc_key", _union(F.col("a")).alias("spans"), _union(F.col("b")).alias("later"))
-        .withColumn("n_repeated", length(F.col("spans")))
-        .withColumn("n_later", length(F.col("later")))
+    each = keyed.select("doc_id", "doc_key", "unit").distinct().join(per, "unit")
+    each = each.select(
+        "doc_id", "doc_key", F.when(F.col("copied"), whole).otherwise(F.coalesce("spans", none)).alias("spans"), F.when(copy, whole).otherwise(F.coalesce("later", none)).alias("later")
     )
+    return each.where(F.size("spans") > 0).withColumn("n_repeated", length(F.col("spans"))).withColumn("n_later", length(F.col("later")))
 
 
 def without_repeats(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """``docs`` with the later copies of shared passages cut from their texts; other columns stay."""
-    cuts = stored(repeats(docs, cfg).where("n_later > 0").select(F.col("doc_key").alias("_key"), F.col("later").alias("_later")), "cuts")
+    key, cut = free_name(docs.columns, "passage_key"), free_name(docs.columns, "passage_cuts")
+    cuts = stored(repeats(docs, cfg).where("n_later > 0").select(F.col("doc_key").alias(key), F.col("later").alias(cut)), "cuts")
     names = docs.columns
     at = names.index("text")
 
     def run(batches):
         for batch in batches:
-            later = batch.column("_later").to_pylist()
+            later = batch.column(cut).to_pylist()
             texts = batch.column("text").to_pylist()
             for lo, raw, offsets in W.slices(batch.column("text")):
                 found = W.Words(raw, offsets)
@@ -249,7 +249,7 @@ def without_repeats(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(cuts, "_key", "left").select(*names, "_later")
+    joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(cuts, key, "left").select(*names, cut)
     return joined.mapInArrow(run, docs.schema)
 
 
