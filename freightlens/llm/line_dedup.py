@@ -19,6 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import discard, new_path
+from .joins import free_name
 
 #: Lines whose key has fewer code points are never dropped.
 MIN_POINTS = 10
@@ -29,27 +30,16 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: Column) -> Column:
-    """The line without blanks at both ends, A-Z lower-cased."""
-    bare = F.btrim(line, F.lit(BLANKS))
-    ascii_only = F.octet_length(bare) == F.char_length(bare)
-    return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
-
-
-def free_name(taken: list[str], name: str) -> str:
-    """``name``, longer by underscores until no column has it in any case of letters."""
-    used = {c.lower() for c in taken}
-    while name.lower() in used:
-        name += "_"
-    return name
+def line_keys(text: Column) -> Column:
+    """The keys of a text's lines: without blanks at both ends, A-Z lower-cased."""
+    bare = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.btrim(line, F.lit(BLANKS)))
+    return F.transform(bare, lambda x: F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER)))
 
 
 def hashed_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     """(doc_id, doc_key, pos, h1, h2) of every line whose key is long enough; pos counts from 0."""
-    lines = docs.select(
-        "doc_id", F.xxhash64("text").alias("doc_key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")
-    )
-    keys = lines.select("doc_id", "doc_key", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_points)
+    keys = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), F.posexplode(line_keys(F.col("text"))).alias("pos", "key"))
+    keys = keys.where(F.char_length("key") >= min_points)
     return keys.select("doc_id", "doc_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
@@ -107,8 +97,8 @@ class Runs:
             self._drop(name)
 
 
-def repeated_in_batch(lines: DataFrame, runs: Runs) -> DataFrame:
-    """(doc_id, doc_key, pos) of the batch's lines that an earlier document holds; adds the batch to the runs."""
+def repeated_in_batch(lines: DataFrame, runs: Runs) -> str:
+    """Write (doc_id, doc_key, pos) of the batch's lines that an earlier document holds and add the batch to the runs; returns the path."""
     spark, path = lines.sparkSession, new_path(lines.sparkSession, "line-firsts")
     firsts = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
     firsts.write.parquet(path)
@@ -155,10 +145,10 @@ def repeated_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT
 
 def with_kept_lines(docs: DataFrame, out: str, **settings) -> DataFrame:
     """``docs`` with a struct column ``out``: text, n_lines, n_dropped."""
-    key, gone, id_ = (free_name([*docs.columns, out], c) for c in ("line_doc", "line_gone", "line_id"))
-    drops = repeated_lines(docs, **settings).toDF(id_, "doc_key", gone).withColumnRenamed("doc_key", f"{key}2")
+    key, own, gone, id_ = (free_name([*docs.columns, out], c) for c in ("line_doc", "line_own", "line_gone", "line_id"))
+    drops = repeated_lines(docs, **settings).toDF(id_, own, gone)
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    joined = keyed.join(drops, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(f"{key}2")), "left")
+    joined = keyed.join(drops, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(own)), "left")
     # the inner variable binds the lines once; what is left is found by hashing, in linear time
     whole = F.transform(
         F.array(F.split(F.coalesce("text", F.lit("")), "\n")),
@@ -173,7 +163,7 @@ def with_kept_lines(docs: DataFrame, out: str, **settings) -> DataFrame:
             F.coalesce(F.size(F.col(gone)), F.lit(0)).cast("long").alias("n_dropped"),
         ),
     )
-    return joined.withColumn(out, F.element_at(whole, 1)).drop(key, f"{key}2", gone, id_)
+    return joined.withColumn(out, F.element_at(whole, 1)).drop(key, own, gone, id_)
 
 
 def drop_repeated_lines(docs: DataFrame, **settings) -> DataFrame:
