@@ -175,10 +175,14 @@ def evidence(n: int, found: list, scale: float, place: float, spread: float, exp
 
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Model:
-    """Learn from labelled rows whose crc32(doc_id) mod 5 is not 0: remainder 1 calibrates, the others are counted."""
+    """Learn from labelled rows whose crc32(doc_id) mod 5 is not 0: remainder 1 calibrates, the others are counted.
+
+    Labels that repeat count once; an id whose labels contradict each other teaches nothing.
+    """
     bounded_batches(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    wanted = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold")).where("fold <> 0").dropDuplicates(["doc_id"])
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("most"))
+    wanted = known.where("toxic = most").select("doc_id", "toxic", fold.alias("fold")).where("fold <> 0")
     n = wanted.count()
     if n > cfg.rows:  # the documented bound on labelled rows
         wanted = wanted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * (cfg.rows / n)))
@@ -192,22 +196,30 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Model
     clean = words[:, 0] / max(words[:, 0].sum(), 1)
     scale = positive_root(clean.astype(np.float64), s.astype(np.float64))
 
+    held_rows = rows.where("fold = 1").select("text", "toxic")
+
     def best(batches):
+        """The best passage of each clean text."""
         for batch in batches:
-            labels = batch.column("toxic").to_pylist()
-            out = [(n, [x[2] for x in found]) for n, found, _, _ in texts_segments(batch.column("text"), shared.value, cfg)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(labels, pa.int32()), pa.array([int(n) for n, _ in out], pa.int64()), pa.array([sorted(x, reverse=True)[:20] for _, x in out], pa.list_(pa.float64()))], ["toxic", "n", "sums"]
-            )
+            out = [(n, max((x[2] for x in found), default=None)) for n, found, _, _ in texts_segments(batch.column("text"), shared.value, cfg)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(n) for n, _ in out], pa.int64()), pa.array([x for _, x in out], pa.float64())], ["n", "best"])
 
-    # at most cfg.rows rows of a few numbers
-    held = rows.where("fold = 1").select("text", "toxic").mapInArrow(best, "toxic int, n long, sums array<double>").toArrow().to_pylist()
-    x = np.array([scale * r["sums"][0] - math.log(max(r["n"], 1)) for r in held if r["toxic"] == 0 and r["sums"]])
+    # at most cfg.rows rows of two numbers
+    clean_best = held_rows.where("toxic = 0").mapInArrow(best, "n long, best double").where("best IS NOT NULL").toArrow().to_pylist()
+    x = np.array([scale * r["best"] - math.log(max(r["n"], 1)) for r in clean_best])
     # by quartiles, which a few wrong labels don't move
     low, middle, high = np.quantile(x, [0.25, 0.5, 0.75]) if len(x) > 9 else (-1.0, 0.0, 1.0)
     spread = max(float(high - low) / 1.5725, 0.2)
     place = float(middle) - 0.3665 * spread
-    z = np.array([evidence(r["n"], [(0, 0, s) for s in r["sums"]], scale, place, spread, cfg.expect)[0] for r in held])
+
+    def weighed(batches):
+        """The evidence of each text, as scoring sees it."""
+        for batch in batches:
+            z = [float(evidence(int(n), found, scale, place, spread, cfg.expect)[0]) for n, found, _, _ in texts_segments(batch.column("text"), shared.value, cfg)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(z, pa.float64())], ["toxic", "z"])
+
+    held = held_rows.mapInArrow(weighed, "toxic int, z double").toArrow().to_pylist()
+    z = np.array([r["z"] for r in held])
     y = np.array([r["toxic"] for r in held], float)
     slope, offset = logistic(z, y)
     return Model(counted, scale, place, spread, slope, offset, cfg)
