@@ -21,16 +21,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .joins import free_name
+
 ROUNDS = 8
 
 #: Fixed patterns of the kinds, tried in this order at each place.
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
-    "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
+    "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\d(])\(\d{3}\) \d{3}-\d{4}(?!\d)",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "phone": r"\+\d{1,3}[ .-]?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
+    r"|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){3}(?![\d-])|(?<![\d.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]|\.\d)",
+    # by customary groups first, so that numbers beside a card don't join it
+    "card": r"(?<![\d-])\d{4}(?:[ -]\d{4}){3}(?![\d-])|(?<![\d-])\d{4}[ -]\d{6}[ -]\d{5}(?![\d-])|(?<![\d-])\d{13,19}(?![\d-])"
+    r"|(?<![\d-])\d{4}(?:[ -]\d{3,6}){2,4}(?![\d-])",
 }
 PATTERN = "|".join(KINDS.values())
 
@@ -107,16 +112,22 @@ def _pattern_of(value: Column, digits: Column) -> Column:
     return F.aggregate(chars, start, put, lambda s: s["s"])
 
 
+def _day(value: Column) -> Column:
+    """The day a date names, as yyyy-mm-dd or mm/dd/yyyy."""
+    return F.when(value.contains("/"), F.try_to_date(value, "MM/dd/yyyy")).otherwise(F.try_to_date(value, "yyyy-MM-dd"))
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a found value if it is valid, else null."""
     part = lambda sep, i: F.element_at(F.split(value, sep), i).cast("int")
     return (
         F.when(value.contains("@"), "email")
-        .when(value.rlike(r"^\d+\.\d+\.\d+\.\d+$"), F.when(F.greatest(*[part(r"\.", i) for i in (1, 2, 3, 4)]) <= 255, "ip"))
-        .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.when(F.try_to_date(value, "yyyy-MM-dd").between(F.lit("1800-01-01").cast("date"), F.lit("2199-12-31").cast("date")), "date"))
+        # octets with leading zeros would share a pseudonym with those without
+        .when(value.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), F.when((F.greatest(*[part(r"\.", i) for i in (1, 2, 3, 4)]) <= 255) & ~value.rlike(r"(^|\.)0\d"), "ip"))
+        .when(value.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"), F.when(_day(value).between(F.lit("1800-01-01").cast("date"), F.lit("2199-12-31").cast("date")), "date"))
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(part("-", 1).between(1, 899) & (part("-", 1) != 666) & (part("-", 2) > 0) & (part("-", 3) > 0), "ssn"))
-        .when(value.contains("("), "phone")
-        .when(check_sum(digits_of(value), 0) % 10 == 0, "card")
+        .when(value.rlike(r"^\+|\(|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone")
+        .when(F.length(digits_of(value)).between(13, 19) & (check_sum(digits_of(value), 0) % 10 == 0), "card")
     )
 
 
@@ -125,7 +136,8 @@ def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Colu
     part = lambda sep, i: F.element_at(F.split(value, sep), i).cast("long")
     ip = permuted(((part(r"\.", 1) * 256 + part(r"\.", 2)) * 256 + part(r"\.", 3)) * 256 + part(r"\.", 4), 1 << 16, 1 << 16, key, "ip", back)
     octet = lambda i: F.shiftright(ip, 8 * i).bitwiseAND(F.lit(255).cast("long"))
-    day = permuted(F.date_diff(F.try_to_date(value, "yyyy-MM-dd"), F.lit("1800-01-01").cast("date")).cast("long"), 189, 773, key, "date", back)
+    day = permuted(F.date_diff(_day(value), F.lit("1800-01-01").cast("date")).cast("long"), 189, 773, key, "date", back)
+    moved_day = F.date_add(F.lit("1800-01-01").cast("date"), day.cast("int"))
     area = part("-", 1) - 1 - F.when(part("-", 1) > 666, 1).otherwise(0)
     ssn = permuted((area * 99 + part("-", 2) - 1) * 9999 + part("-", 3) - 1, 898, 99 * 9999, key, "ssn", back)
     new_area = F.floor(ssn / (99 * 9999)) + 1
@@ -134,10 +146,10 @@ def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Colu
     moved = permuted_text(body, key, "card", back)
     card = F.concat(moved, F.pmod(-check_sum(moved, 1), F.lit(10)).cast("string"))
     name = F.substring_index(value, "@", 1)
-    code = F.when(value.startswith("+"), F.substring_index(value, " ", 1)).otherwise(F.lit(""))
+    code = F.regexp_extract(value, r"^\+\d{1,3}", 0)
     return (
         F.when(kind == "ip", F.concat_ws(".", *[octet(i).cast("string") for i in (3, 2, 1, 0)]))
-        .when(kind == "date", F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), day.cast("int")), "yyyy-MM-dd"))
+        .when(kind == "date", F.when(value.contains("/"), F.date_format(moved_day, "MM/dd/yyyy")).otherwise(F.date_format(moved_day, "yyyy-MM-dd")))
         .when(kind == "ssn", F.concat_ws("-", F.lpad(new_area.cast("string"), 3, "0"), F.lpad((F.floor(ssn / 9999) % 99 + 1).cast("string"), 2, "0"), F.lpad((ssn % 9999 + 1).cast("string"), 4, "0")))
         .when(kind == "card", _pattern_of(value, card))
         .when(kind == "phone", F.concat(code, permuted_text(F.substr(value, F.length(code) + 1, F.length(value)), key, "phone", back)))
@@ -152,18 +164,19 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     ones empty.  Rows are treated one by one, so repeats, ties and other columns don't
     matter; a column named ``pii`` is replaced.  An empty table gives an empty one.
     """
-    found = docs.withColumn("_found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    hits, kinds, done_ = (free_name([*docs.columns, "pii"], c) for c in ("pii_found", "pii_typed", "pii_done"))
+    found = docs.withColumn(hits, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
     item = lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value"))
-    typed = found.withColumn("_typed", F.transform(F.coalesce("_found", F.array().cast("array<string>")), item))
+    typed = found.withColumn(kinds, F.transform(F.coalesce(hits, F.array().cast("array<string>")), item))
     done = typed.withColumn(
-        "_done", F.transform("_typed", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), F.coalesce(pseudonym(x["value"], x["kind"], key), x["value"]).alias("pseudonym")))
+        done_, F.transform(kinds, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), F.coalesce(pseudonym(x["value"], x["kind"], key), x["value"]).alias("pseudonym")))
     )
-    pieces = F.arrays_zip(F.split("text", PATTERN, -1).alias("a"), F.col("_done.pseudonym").alias("b"))
+    pieces = F.arrays_zip(F.split("text", PATTERN, -1).alias("a"), F.col(done_).getField("pseudonym").alias("b"))
     new = F.array_join(F.transform(pieces, lambda z: F.concat(z["a"], F.coalesce(z["b"], F.lit("")))), "")
     return (
-        done.withColumn("text", F.when(F.size("_typed") > 0, new).otherwise(F.col("text")))
-        .withColumn("pii", F.filter("_done", lambda x: x["kind"].isNotNull()))
-        .drop("_found", "_typed", "_done")
+        done.withColumn("text", F.when(F.size(kinds) > 0, new).otherwise(F.col("text")))
+        .withColumn("pii", F.filter(done_, lambda x: x["kind"].isNotNull()))
+        .drop(hits, kinds, done_)
     )
 
 
