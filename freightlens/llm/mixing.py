@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stored
-from .joins import by_size
+from .joins import by_size, free_name
 from .words import WORD
 
 PASSES = 8
@@ -123,8 +123,9 @@ def plan(docs: DataFrame, entropy: float | None = None, repetition: float | None
 
 def mix(docs: DataFrame, **targets) -> DataFrame:
     """The rows of ``docs``, each as often as its plan says, with its columns only."""
-    copies = plan(docs, **targets).select(F.col("key").alias("_mix_key"))
-    return docs.withColumn("_mix_key", F.xxhash64("doc_id", "text", "source")).join(copies, "_mix_key").select(*docs.columns)
+    key = free_name(docs.columns, "mix_key")
+    copies = plan(docs, **targets).select(F.col("key").alias(key))
+    return docs.withColumn(key, F.xxhash64("doc_id", "text", "source")).join(copies, key).select(*docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
