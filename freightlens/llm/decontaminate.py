@@ -1,15 +1,17 @@
-"""Benchmark passages inside documents: MinHash containment search.
-
-Only DataFrame functions.  A test item's sketch is its 16 smallest hash values (all of
-them where it has fewer).  The cut is the largest value any sketch holds: a document's
-shingles above it are never looked up.  Items are not partitioned by size.  The share of an item's minima among a document's shingles estimates how
-much of the item the document contains, whatever the document's length, so a short
-item is found in a very long text.  Candidates are confirmed by exact containment of
+"""Benchmark passages inside documents: size-partitioned MinHash containment search.
+
+Only DataFrame functions.  Test items are partitioned by their number of shingles, a
+class per power of two, and each class has its own sketch and its own test.  An item's
+sketch is its smallest hash values.  Small items keep a fifth of them and one more: an
+item that is contained to 80 % lacks at most a fifth, so at least one of these occurs in
+the document, without any loss.  From 80 shingles on it is 16 values, of which 3 have to
+occur (with a true containment of 0.8 fewer do with probability about 1 in 10^8).  The
+share of an item's minima among a document's shingles says how much of the item the
+document contains, whatever the document's length, so a short item is found in a very
+long text.  A class's cut is the largest value its sketches hold; a document's shingles
+above all cuts are never looked up.  Candidates are confirmed by exact containment of
 the distinct shingle sets.
 
-With a true containment of 0.8, fewer than 3 of 16 minima occur with probability
-about 1 in 10^8.
-
 An item of fewer words than a shingle is one hash of all its words.  Where ``short`` is
 set, a document's runs of as many words are looked up too, for the sizes that occur.
 """
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stored
-from .joins import by_size
+from .joins import by_size, free_name
 
 WORDS = 5
 PERCENT = 80
@@ -41,13 +43,16 @@ def shingle_hashes(text: Column, k: int = WORDS) -> Column:
 
 
 def item_sketches(benchmark: DataFrame) -> DataFrame:
-    """item_id, its shingles, their number, and minima.  Items without a word or an id take no part."""
+    """item_id, its shingles, their number, size class, minima and the hits they need.  Items without a word or an id take no part."""
+    fifth = F.floor(F.col("n") * (100 - PERCENT) / 100) + 1  # one of so many shingles occurs in any document that contains the item
     return (
         benchmark.where("item_id IS NOT NULL")
         .select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("text")))).alias("grams"))
         .withColumn("n", F.size("grams"))
         .where("n > 0")
-        .withColumn("minima", F.slice("grams", 1, MINIMA))
+        .withColumn("class", F.floor(F.log2("n")).cast("int"))
+        .withColumn("need", F.when(fifth <= MINIMA, 1).otherwise(HITS))
+        .withColumn("minima", F.slice("grams", F.lit(1), F.least(fifth, F.lit(MINIMA)).cast("int")))
     )
 
 
@@ -66,17 +71,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, short: bool = False) ->
 
     A document contains an item if at least 80 % of the item's distinct five-word
     shingles occur in it.  An item of 1 to 4 words is one shingle: a document contains it
-    if it has these words and no others or, with ``short``, if they follow each other
-    anywhere in it.  ``SQL10`` states the rule without ``short``; the rows are the same
-    where every item has five words or more.  ``doc_key`` tells rows of equal id but other texts apart;
+    if it has these words and no others or, with ``short`` (as ``SQL10`` states it), if
+    they follow each other anywhere in it.  ``doc_key`` tells rows of equal id but other texts apart;
     rows that repeat id and text give one row.  A null id is an id like others; null
     and empty texts contain nothing.  Items of one id and several texts count each
     by itself, the best stays.  Other columns of either table are not read.
     """
     items = stored(item_sketches(benchmark.select("item_id", "text")), "items")
-    index = items.select("item_id", "n", F.explode("minima").alias("h"), F.xxhash64("grams").alias("item_key"))
+    index = items.select("item_id", "n", "class", "need", F.explode("minima").alias("h"), F.xxhash64("grams").alias("item_key"))
     index = stored(index, "minima")
-    cut = index.agg(F.max("h")).first()[0]
+    cuts = index.groupBy("class").agg(F.max("h").alias("cut"))
+    cut = cuts.agg(F.max("cut")).first()[0]
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), "text")
     sizes = short_sizes(benchmark) if short else []
 
@@ -87,15 +92,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, short: bool = False) ->
     looked = keyed.select("doc_id", "doc_key", F.explode(looked_up(F.col("text"))).alias("h"))
     looked = looked.where(F.col("h") <= F.lit(cut if cut is not None else 0))
     hits = by_size(looked, index, "h")
-    need = F.least(F.lit(HITS), F.ceil(F.least(F.lit(MINIMA), F.col("n")) * PERCENT / 100))
     pairs = stored(
-        hits.groupBy("doc_id", "doc_key", "item_id", "item_key", "n").agg(F.count_distinct("h").alias("hits")).where(F.col("hits") >= need),
+        hits.groupBy("doc_id", "doc_key", "item_id", "item_key", "n", "need").agg(F.count_distinct("h").alias("hits")).where("hits >= need"),
         "pairs",
     )
     keys = stored(pairs.select("doc_key").distinct(), "keys")
     texts = by_size(keyed, keys, "doc_key", "left_semi").dropDuplicates(["doc_key"])
     grams = stored(texts.select("doc_key", looked_up(F.col("text")).alias("found")), "grams")
-    both = pairs.join(grams, "doc_key").join(
+    both = pairs.drop("need", "hits").join(grams, "doc_key").join(
         items.select("item_id", F.xxhash64("grams").alias("item_key"), "grams").dropDuplicates(["item_id", "item_key"]), ["item_id", "item_key"]
     )
     return (
@@ -109,8 +113,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, short: bool = False) ->
 
 def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no test item."""
-    bad = stored(contaminated(docs, benchmark, short=True).select(F.col("doc_key").alias("_bad")).distinct(), "contaminated")
-    return by_size(docs.withColumn("_bad", F.xxhash64("doc_id", "text")), bad, "_bad", "left_anti").drop("_bad")
+    key = free_name(docs.columns, "item_doc")
+    bad = stored(contaminated(docs, benchmark, short=True).select(F.col("doc_key").alias(key)).distinct(), "contaminated")
+    return by_size(docs.withColumn(key, F.xxhash64("doc_id", "text")), bad, key, "left_anti").drop(key)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
@@ -119,15 +124,16 @@ def op10(spark, sf_dir: str) -> DataFrame:
     return contaminated(read(f"{sf_dir}/documents.parquet"), read(f"{sf_dir}/benchmark.parquet"), short=True).drop("doc_key")
 
 
-#: The same pairs by an equality join of all exact shingles, as texts.
+#: The same pairs by an equality join of all exact shingles, as texts; items of 1 to 4 words meet runs of as many words.
 SQL10 = """
 WITH words AS (
   SELECT doc_id AS id, 0 AS side, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
   UNION ALL
   SELECT item_id, 1, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') FROM benchmark),
+sizes AS (SELECT DISTINCT least(len(w), 5) AS k FROM words WHERE side = 1 AND len(w) > 0),
 grams AS (
-  SELECT DISTINCT id, side, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
-  FROM words),
+  SELECT DISTINCT id, side, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+  FROM words, sizes WHERE len(w) >= k AND (side = 0 OR k = least(len(w), 5))),
 items AS (SELECT id AS item_id, g, count(*) OVER (PARTITION BY id) AS n FROM grams WHERE side = 1)
 SELECT d.id AS doc_id, item_id, n AS n_shingles, count(*) AS n_shared, count(*) / n AS containment
 FROM grams d JOIN items USING (g) WHERE d.side = 0
