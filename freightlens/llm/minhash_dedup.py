@@ -245,7 +245,11 @@ def groups(texts: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     home = placed.withColumn("moved", F.lit(False)).withColumn("block", own("blocks")).withColumn("far", spread("fars"))
     moved = placed.where("comp <> main").withColumn("moved", F.lit(True)).withColumn("block", spread("blocks")).withColumn("far", own("fars"))
     last = _across(home.unionByName(moved), cfg)
-    found = components(links.unionByName(stored(confirm(last, reps, grams, cfg), "links")))
+    # texts of one id are one document: its id links the classes of all of them
+    repeated = stored(usable.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"), "repeated")
+    own = by_size(usable.select("doc_id", *fingerprint), repeated, "doc_id", "left_semi").join(classes, fingerprint)
+    own = own.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    found = components(links.unionByName(stored(confirm(last, reps, grams, cfg), "links")).unionByName(own))
 
     return (
         sketches.select("doc_id", *fingerprint)
