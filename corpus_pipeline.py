@@ -2,6 +2,9 @@
 
 Each stage works on the written rows of the one before.  A model and a tokenizer take
 part, so the rows have no SQL form.
+
+All stages take null, blank and very long texts, null and repeated ids and further
+columns, and give an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -20,23 +23,27 @@ REPETITION = 1.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that are not predicted toxic, repeats and null ids included; null and empty texts are clean."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that of the smallest id; rows without an id and without words stay."""
     return minhash_dedup.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that hold no benchmark item; null and empty texts hold none."""
     return decontaminate.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, no source more than ``REPETITION`` times."""
+    """Every document at least once, no source more than ``REPETITION`` times; a null source counts as ''."""
     return mixing.mix(docs, repetition=REPETITION)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per written row its place, tokens and checksum, read back from the files; a null text is its end id alone."""
     return token_file.encoded(docs, token_file.tokenizer_file())
 
 
