@@ -29,8 +29,6 @@ TRAINING_DEFAULTS = {
     "delay_reason": "None",
 }
 LEAKAGE_COLUMNS = ["shipment_status", "logistics_delay", "logistics_delay_reason", "status", "delay_reason"]
-# drawn with equal chance, so repeated entries weigh more
-WEATHER_DRAW = ["Clear", "Clear", "Clear", "Cloudy", "Cloudy", "Rainy", "Stormy"]
 
 # --- ports, congestion and routes -------------------------------------------
 # name fragment, latitude, longitude; the first fragment found in a port name wins

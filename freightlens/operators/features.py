@@ -6,9 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..fixed_values import WEATHER_DRAW
 from ..functions.risk import estimated_delay_hours, seasonal_weather_severity
-from ..functions.scalars import stable_bucket, stable_hash, stable_pick, temporal_parts
+from ..functions.scalars import stable_hash, temporal_parts
 from ..session import stored
 from .joins import with_asset_statistics, with_congestion, with_route_statistics
 
@@ -16,14 +15,17 @@ from .joins import with_asset_statistics, with_congestion, with_route_statistics
 def derived_training_columns(readings: DataFrame) -> DataFrame:
     """Columns a training run expects and the readings lack.
 
-    Fuel and weather come from a stable hash of the row key; delay hours from the
+    Efficiency falls with the time spent waiting, from 20 to 5; the weather follows from
+    temperature and humidity (usual values where they are missing); delay hours from the
     delay flag and the estimated delay.
     """
+    warm, wet = F.coalesce("temperature", F.lit(20.0)), F.coalesce("humidity", F.lit(60.0))
+    weather = F.when(warm < 0, "Snowy").when((wet > 75) & (warm > 28), "Stormy").when(wet > 75, "Rainy").when(wet > 65, "Cloudy").otherwise("Clear")
     return readings.withColumns(
         {
             "distance_traveled": F.sqrt(F.col("latitude") * F.col("latitude") + F.col("longitude") * F.col("longitude")) * 100,
-            "fuel_efficiency": 5 + stable_bucket(1501, "id", F.lit("fuel")) / 100,
-            "weather_conditions": stable_pick(WEATHER_DRAW, "id", F.lit("weather")),
+            "fuel_efficiency": F.greatest(F.lit(5.0), 20 - F.coalesce("waiting_time", F.lit(0)) / 4),
+            "weather_conditions": weather,
             "traffic_conditions": F.col("traffic_status"),
             "delay_hours": F.when(
                 F.col("logistics_delay"), estimated_delay_hours("waiting_time", "logistics_delay_reason")

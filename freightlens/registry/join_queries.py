@@ -80,7 +80,7 @@ _HOURS = """greatest(0e0, waiting_time / 60e0 * CASE logistics_delay_reason WHEN
   WHEN 'Mechanical Failure' THEN 3e0 WHEN 'Traffic' THEN 1.5e0 ELSE 1e0 END)"""
 _TRAIN = f"""SELECT id, asset_id, CASE WHEN logistics_delay THEN {_HOURS} ELSE 0e0 END AS delay_hours,
   sqrt(latitude * latitude + longitude * longitude) * 100 AS distance_traveled,
-  5 + (CAST('0x' || substr(md5(CAST(id AS VARCHAR) || '|fuel'), 1, 8) AS BIGINT) % 1501) / 100e0 AS fuel_efficiency FROM readings"""
+  greatest(5e0, 20 - coalesce(waiting_time, 0) / 4e0) AS fuel_efficiency FROM readings"""
 
 
 @register(

@@ -47,13 +47,14 @@ def location_features(spark, root):
     return ft.location_features(shapes.readings(spark, root).select("id", "latitude", "longitude")).drop("latitude", "longitude")
 
 
-_WEATHER = "(['" + "', '".join(ft.WEATHER_DRAW) + "'])[CAST('0x' || substr(md5(CAST(id AS VARCHAR) || '|weather'), 1, 8) AS BIGINT) % 7 + 1]"
+_WEATHER = """CASE WHEN coalesce(temperature, 20) < 0 THEN 'Snowy' WHEN coalesce(humidity, 60) > 75 AND coalesce(temperature, 20) > 28 THEN 'Stormy'
+  WHEN coalesce(humidity, 60) > 75 THEN 'Rainy' WHEN coalesce(humidity, 60) > 65 THEN 'Cloudy' ELSE 'Clear' END"""
 
 
 @register(
     "training_derivations",
-    "M-29 X-14",
-    f"SELECT t.*, {_WEATHER.replace('CAST(id', 'CAST(t.id')} AS weather_conditions FROM ({_TRAIN}) t",
+    "M-29",
+    f"SELECT t.*, {_WEATHER} AS weather_conditions FROM ({_TRAIN}) t JOIN (SELECT id, temperature, humidity FROM readings) r USING (id)",
 )
 def training_derivations(spark, root):
     return ft.derived_training_columns(shapes.readings(spark, root)).select(
@@ -64,7 +65,7 @@ def training_derivations(spark, root):
 @register(
     "delay_features",
     "M-03 U-03",
-    f"""WITH t AS (SELECT r.traffic_status, x.*, {_WEATHER.replace('CAST(id', 'CAST(x.id')} AS w FROM ({_TRAIN}) x JOIN readings r USING (id))
+    f"""WITH t AS (SELECT r.traffic_status, x.*, {_WEATHER} AS w FROM ({_TRAIN}) x JOIN readings r USING (id))
        SELECT id, CASE WHEN delay_hours > 0 THEN 1 ELSE 0 END AS is_delayed,
          least(10, CASE traffic_status WHEN 'Heavy' THEN 3 WHEN 'Moderate' THEN 1 ELSE 0 END
            + CASE w WHEN 'Stormy' THEN 3 WHEN 'Rainy' THEN 2 WHEN 'Snowy' THEN 2 WHEN 'Cloudy' THEN 1 ELSE 0 END

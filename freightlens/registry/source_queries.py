@@ -125,23 +125,34 @@ def etl_customers(spark, root):
     return etl.customers(shapes.readings(spark, root))
 
 
-_OTHERS = "list_filter(['" + "', '".join(etl.DESTINATION_PORTS) + "'], lambda p: p <> origin_port)"
+def _by_distance(ports) -> str:
+    """The ports as a list of (distance, name), nearest first."""
+    items = ", ".join(f"{{'distance': sqrt((latitude - {a!r}e0) * (latitude - {a!r}e0) + (longitude - {b!r}e0) * (longitude - {b!r}e0)), 'name': '{n}'}}" for n, a, b in ports)
+    return f"list_sort([{items}])"
+
+
+_LARGE = [p for p in etl.PORTS if p[0] in etl.DESTINATION_PORTS]
+
+
+def _class(value: str, ends, names) -> str:
+    return "CASE " + " ".join(f"WHEN {value} < {e} THEN '{n}'" for e, n in zip(ends, names)) + f" ELSE '{names[-1]}' END"
+
+
 _ETL_SHIPMENTS = f"""WITH owners AS ({_OWNERS}),
-placed AS (SELECT *, {_pick(etl.PORT_NAMES, "CAST(floor(latitude * 10) AS BIGINT)", "CAST(floor(longitude * 10) AS BIGINT)")} AS origin_port,
-  ts - to_days(CAST({_bucket(10, "id", "'departure'")} + 1 AS INTEGER)) AS scheduled_departure FROM readings),
-routed AS (SELECT *, ({_OTHERS})[{_H.format("CAST(id AS VARCHAR) || '|destination'", 8)} % len({_OTHERS}) + 1] AS destination_port,
-  scheduled_departure + to_days(CAST({_bucket(15, "id", "'transit'")} + 7 AS INTEGER)) AS scheduled_arrival FROM placed)
+placed AS (SELECT *, ({_by_distance(etl.PORTS)})[1].name AS origin_port, date_trunc('day', ts) AS scheduled_departure FROM readings),
+aimed AS (SELECT *, (list_filter({_by_distance(_LARGE)}, lambda p: p.name <> origin_port))[1] AS goal FROM placed),
+routed AS (SELECT *, goal.name AS destination_port, CAST(scheduled_departure AS TIMESTAMP) + to_days(CAST(floor(goal.distance / 15) AS INTEGER) + 7) AS scheduled_arrival FROM aimed)
 SELECT id, 'SHP' || CAST(id + 1000 AS VARCHAR) AS shipment_id,
   coalesce(o.customer_id, (SELECT min(customer_id) FROM owners)) AS customer_id, origin_port, destination_port,
-  origin_port || '-' || destination_port AS route, {_pick(etl.CONTAINER_TYPES, "id", "'container'")} AS container_type,
-  inventory_level * 10 AS cargo_weight, {_bucket(450001, "id", "'value'")} + 50000 AS cargo_value,
-  {_pick(etl.CARGO_TYPES, "id", "'cargo'")} AS cargo_type, scheduled_departure, scheduled_arrival,
+  origin_port || '-' || destination_port AS route, {_class("inventory_level * 10", etl.WEIGHT_ENDS, etl.CONTAINER_TYPES)} AS container_type,
+  inventory_level * 10 AS cargo_weight, user_transaction_amount * inventory_level AS cargo_value,
+  {_class("demand_forecast", etl.DEMAND_ENDS, etl.CARGO_TYPES)} AS cargo_type, CAST(scheduled_departure AS TIMESTAMP) AS scheduled_departure, scheduled_arrival,
   scheduled_arrival + to_hours(waiting_time) AS estimated_arrival,
   CASE WHEN shipment_status = 'Delivered' THEN scheduled_arrival
     + to_hours(CASE WHEN logistics_delay THEN waiting_time ELSE 0 END) END AS actual_arrival,
   CASE shipment_status WHEN 'Delivered' THEN 'delivered' WHEN 'Delayed' THEN 'delayed' WHEN 'Pending' THEN 'pending'
     ELSE 'in_transit' END AS status,
-  {_bucket(2, "id", "'priority'")} = 1 AS is_priority, ts AS created_at
+  user_purchase_frequency >= {etl.PRIORITY_FREQUENCY} AS is_priority, ts AS created_at
 FROM routed LEFT JOIN owners o USING (asset_id)"""
 
 
@@ -151,18 +162,16 @@ def etl_shipments(spark, root):
     return etl.shipments(rows, etl.customers(rows))
 
 
-_NOISY = f"greatest(0e0, a + ({_bucket(601, 'id', chr(39) + 'noise' + chr(39))} - 300) / 100e0)"
-
-
 @register(
     "etl_predictions",
-    "S-06 C-30",
-    f"""SELECT id AS shipment_id, p AS predicted_delay_hours, least(1e0, p / 48) AS delay_probability,
-  0.7e0 + {_bucket(251, "id", "'confidence'")} / 1000e0 AS confidence_score, '1.0' AS model_version,
-  temperature / 30 AS weather_factor, asset_utilization / 100 AS port_congestion_factor,
+    "S-06 C-30 C-15 C-17",
+    """SELECT id AS shipment_id, p AS predicted_delay_hours, delay_probability, greatest(delay_probability, 1 - delay_probability) AS confidence_score,
+  '1.0' AS model_version, temperature / 30 AS weather_factor, asset_utilization / 100 AS port_congestion_factor,
   0.5e0 AS route_complexity_factor, ts AS prediction_date, a AS actual_delay_hours,
   CASE WHEN a > 0 THEN greatest(0e0, least(1e0, 1 - abs(p - a) / greatest(p, a, 1e0))) END AS prediction_accuracy
-FROM (SELECT *, {_NOISY} AS p FROM (SELECT *, CASE WHEN logistics_delay THEN CAST(waiting_time AS DOUBLE) ELSE 0e0 END AS a FROM readings))""",
+FROM (SELECT *, CASE WHEN logistics_delay THEN CAST(waiting_time AS DOUBLE) ELSE 0e0 END AS a, CASE WHEN delay_probability > 0.5e0 THEN
+    greatest(0e0, waiting_time / 60e0 * CASE logistics_delay_reason WHEN 'Weather' THEN 2e0 WHEN 'Mechanical Failure' THEN 3e0 WHEN 'Traffic' THEN 1.5e0 ELSE 1e0 END)
+    ELSE 0e0 END AS p FROM scored)""",
 )
 def etl_predictions(spark, root):
     return etl.predictions(shapes.readings(spark, root))
@@ -172,7 +181,7 @@ def etl_predictions(spark, root):
     "etl_communications",
     "S-06 X-13",
     f"""WITH owners AS ({_OWNERS}),
-d AS (SELECT *, {_pick(etl.CONTACT_CHANNELS, "id", "'channel'")} AS type, 'SHP' || CAST(id + 1000 AS VARCHAR) AS sid,
+d AS (SELECT *, preferred_communication AS type, 'SHP' || CAST(id + 1000 AS VARCHAR) AS sid,
   lower(CASE WHEN coalesce(logistics_delay_reason, 'None') = 'None' THEN 'Operational delays' ELSE logistics_delay_reason END) AS reason
   FROM readings JOIN owners USING (asset_id) WHERE shipment_status = 'Delayed')
 SELECT id AS shipment_key, customer_id, type, CASE WHEN type = 'email' THEN 'Shipment Update - ' || sid END AS subject,

@@ -1,15 +1,18 @@
 """Voyage-generation tables derived from flat readings.
 
-Where the flat data has no such field a stable hash of the row key draws one, so
-a re-run gives the same tables on any number of executors.
+Every field of a voyage or a prediction follows from columns of its reading: ports from
+the position, the time under way from the ports' distance, cargo from stock and demand,
+predictions from the heuristics that score live rows.  A customer's number, company and
+channel are assigned by a stable hash of the asset, as there is no other source, so a
+re-run gives the same tables on any number of executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..fixed_values import CARGO_TYPES, COMPANIES, CONTACT_CHANNELS, CONTAINER_TYPES, DESTINATION_PORTS, PORT_NAMES
-from ..functions.risk import accuracy_of
+from ..fixed_values import CARGO_TYPES, COMPANIES, CONTACT_CHANNELS, CONTAINER_TYPES, DESTINATION_PORTS, PORT_COORDINATES, PORT_NAMES
+from ..functions.risk import accuracy_of, delay_probability, estimated_delay_hours
 from ..functions.scalars import plus_hours, stable_bucket, stable_hash, stable_pick
 
 
@@ -32,25 +35,46 @@ def customers(readings: DataFrame) -> DataFrame:
     )
 
 
+#: (name, latitude, longitude) of the ports a voyage may begin at, and the upper ends of the cargo classes.
+PORTS = [(name, lat, lon) for name in PORT_NAMES for key, lat, lon in PORT_COORDINATES if key == name.lower()]
+WEIGHT_ENDS, DEMAND_ENDS = [2000, 3000, 4000], [150, 200, 250]
+PRIORITY_FREQUENCY = 6
+
+
+def by_distance(lat: Column, lon: Column, ports: list[tuple[str, float, float]]) -> Column:
+    """The ports as (distance, name), nearest first; distances are in degrees."""
+    gap = lambda a, b: F.sqrt((lat - a) * (lat - a) + (lon - b) * (lon - b))
+    return F.array_sort(F.array(*[F.struct(gap(a, b).alias("distance"), F.lit(name).alias("name")) for name, a, b in ports]))
+
+
+def _class(value: Column, ends: list[int], names: list[str]) -> Column:
+    out = F.lit(names[-1])
+    for end, name in reversed(list(zip(ends, names))):
+        out = F.when(value < end, name).otherwise(out)
+    return out
+
+
 def shipments(readings: DataFrame, owners: DataFrame) -> DataFrame:
-    """One voyage per reading; assets without an owner go to the first customer."""
+    """One voyage per reading; assets without an owner go to the first customer.
+
+    It begins at the nearest port, on the day of the reading, and goes to the nearest
+    other one of the large ports; it takes a week, and a day for every 15 degrees that
+    port lies from the reading.
+    """
     first = owners.agg(F.min("customer_id").alias("customer_id"))
     mapped = readings.join(owners.select("asset_id", "customer_id"), "asset_id", "left").withColumn(
         "customer_id", F.coalesce("customer_id", first.scalar())
     )
-    # a tenth-degree cell decides the port, so nearby readings share one
-    origin = stable_pick(PORT_NAMES, F.floor(F.col("latitude") * 10), F.floor(F.col("longitude") * 10))
-    others = F.filter(F.array(*[F.lit(p) for p in DESTINATION_PORTS]), lambda p: p != F.col("origin_port"))
-    draw = stable_hash("id", F.lit("destination"))
+    lat, lon = F.col("latitude"), F.col("longitude")
+    large = by_distance(lat, lon, [p for p in PORTS if p[0] in DESTINATION_PORTS])
     base = (
-        mapped.withColumn("origin_port", origin)
-        .withColumn("others", others)
-        .withColumn("destination_port", F.element_at("others", (F.pmod(draw, F.size("others")) + 1).cast("int")))
-        .withColumn("scheduled_departure", plus_hours("ts", -24 * (stable_bucket(10, "id", F.lit("departure")) + 1)))
-    )
-    base = base.withColumn(
-        "scheduled_arrival", plus_hours("scheduled_departure", 24 * (stable_bucket(15, "id", F.lit("transit")) + 7))
+        mapped.withColumn("origin_port", F.get(by_distance(lat, lon, PORTS), F.lit(0))["name"])
+        .withColumn("goal", F.get(F.filter(large, lambda p: p["name"] != F.col("origin_port")), F.lit(0)))
+        .withColumn("destination_port", F.col("goal.name"))
+        .withColumn("scheduled_departure", F.date_trunc("day", "ts").cast("timestamp_ntz"))
     )
+    base = base.withColumn("scheduled_arrival", plus_hours("scheduled_departure", 24 * (F.floor(F.col("goal.distance") / 15) + 7)))
+    base = base.withColumn("cargo_weight", F.col("inventory_level") * 10)
     late = F.when(F.col("logistics_delay"), F.col("waiting_time")).otherwise(0)
     return base.select(
         "id",
@@ -59,10 +83,10 @@ def shipments(readings: DataFrame, owners: DataFrame) -> DataFrame:
         "origin_port",
         "destination_port",
         F.concat_ws("-", "origin_port", "destination_port").alias("route"),
-        stable_pick(CONTAINER_TYPES, "id", F.lit("container")).alias("container_type"),
-        (F.col("inventory_level") * 10).alias("cargo_weight"),
-        (stable_bucket(450001, "id", F.lit("value")) + 50000).alias("cargo_value"),
-        stable_pick(CARGO_TYPES, "id", F.lit("cargo")).alias("cargo_type"),
+        _class(F.col("cargo_weight"), WEIGHT_ENDS, CONTAINER_TYPES).alias("container_type"),
+        "cargo_weight",
+        (F.col("user_transaction_amount") * F.col("inventory_level")).alias("cargo_value"),
+        _class(F.col("demand_forecast"), DEMAND_ENDS, CARGO_TYPES).alias("cargo_type"),
         "scheduled_departure",
         "scheduled_arrival",
         plus_hours("scheduled_arrival", F.col("waiting_time")).alias("estimated_arrival"),
@@ -72,23 +96,25 @@ def shipments(readings: DataFrame, owners: DataFrame) -> DataFrame:
         .when(F.col("shipment_status") == "Pending", "pending")
         .otherwise("in_transit")
         .alias("status"),
-        (stable_bucket(2, "id", F.lit("priority")) == 1).alias("is_priority"),
+        (F.col("user_purchase_frequency") >= PRIORITY_FREQUENCY).alias("is_priority"),
         F.col("ts").alias("created_at"),
     )
 
 
 def predictions(readings: DataFrame) -> DataFrame:
-    """One prediction per reading; a hash draw of -3..3 hours stands for model noise."""
+    """One prediction per reading by the heuristics for live rows: estimated hours where a delay is likelier than not."""
     actual = F.when(F.col("logistics_delay"), F.col("waiting_time")).otherwise(0).cast("double")
-    noise = (stable_bucket(601, "id", F.lit("noise")) - 300) / 100
+    p = delay_probability("traffic_status", "waiting_time", "logistics_delay_reason")
+    hours = estimated_delay_hours("waiting_time", "logistics_delay_reason")
     return (
         readings.withColumn("actual_delay_hours", actual)
-        .withColumn("predicted_delay_hours", F.greatest(F.lit(0.0), F.col("actual_delay_hours") + noise))
+        .withColumn("delay_probability", p)
+        .withColumn("predicted_delay_hours", F.when(F.col("delay_probability") > 0.5, hours).otherwise(0.0))
         .select(
             F.col("id").alias("shipment_id"),
             "predicted_delay_hours",
-            F.least(F.lit(1.0), F.col("predicted_delay_hours") / 48).alias("delay_probability"),
-            (0.7 + stable_bucket(251, "id", F.lit("confidence")) / 1000).alias("confidence_score"),
+            "delay_probability",
+            F.greatest(F.col("delay_probability"), 1 - F.col("delay_probability")).alias("confidence_score"),
             F.lit("1.0").alias("model_version"),
             (F.col("temperature") / 30).alias("weather_factor"),
             (F.col("asset_utilization") / 100).alias("port_congestion_factor"),
@@ -110,8 +136,8 @@ def communications(readings: DataFrame, voyages: DataFrame, owners: DataFrame) -
     )
     joined = (
         delayed.join(readings.select("id", "ts", "waiting_time", "traffic_status", "logistics_delay_reason"), "id")
-        .join(owners.select("customer_id", "name", "email", "phone"), "customer_id")
-        .withColumn("type", stable_pick(CONTACT_CHANNELS, "id", F.lit("channel")))
+        .join(owners.select("customer_id", "name", "email", "phone", "preferred_communication"), "customer_id")
+        .withColumn("type", F.col("preferred_communication"))
         .withColumn("reason", reason)
     )
     is_mail = F.col("type") == "email"
