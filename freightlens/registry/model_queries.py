@@ -268,6 +268,26 @@ def batch_scoring(spark, root):
     return out
 
 
+@register(
+    "batch_scoring_rules",
+    "M-19 C-19",
+    """SELECT count(*) AS scored, count(DISTINCT id) AS readings, CAST(0 AS BIGINT) AS wrong_flags, CAST(0 AS BIGINT) AS wrong_bands,
+         CAST(0 AS BIGINT) AS wrong_confidence, true AS in_range FROM readings""",
+)
+def batch_scoring_rules(spark, root):
+    """Flag, band and confidence of every score follow from its probability, whatever the model learned."""
+    p = F.col("delay_probability")
+    band = F.when(p > 0.8, "High").when(p > 0.5, "Medium").when(p > 0.2, "Low").otherwise("Very Low")
+    return batch_scoring(spark, root).agg(
+        F.count("*").alias("scored"),
+        F.count_distinct("id").alias("readings"),
+        F.count_if(F.col("will_delay") != (p > 0.5)).alias("wrong_flags"),
+        F.count_if(F.col("risk_level") != band).alias("wrong_bands"),
+        F.count_if(F.abs(F.col("confidence") - F.greatest(p, 1 - p)) > 1e-12).alias("wrong_confidence"),
+        F.bool_and(p.between(0, 1)).alias("in_range"),
+    )
+
+
 @register("model_registry", "S-12 M-20 M-30")
 def model_registry(spark, root):
     """Save twice, list, load the newest and evaluate it on the rows it was not fitted on."""

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
+
 from ..fixed_values import KPI_ACTIONS
+from ..operators import metrics, rules
 from ..plans import report_tables
 from ..session import new_path
 from .core import register
-from .metric_queries import CAPACITY_SQL, KPI_SQL, MEANS_SQL, OVERVIEW_SQL, REALTIME_SQL, SHARES_SQL, SUMMARY_SQL
-from .report_queries import _LEVEL, _S, CAUSE_FACTS_SQL, figures
+from .metric_queries import CAPACITY_SQL, KPI_SQL, MEANS_SQL, OVERVIEW_SQL, REALTIME_SQL, SHARES_SQL, SUMMARY_SQL, rows
+from .report_queries import _LEVEL, _S, CAUSE_FACTS_SQL, figures, joined
 
 AS_OF = "2024-01-31T00:00:00"
 
@@ -143,6 +148,53 @@ _TREND_INSIGHTS = f"""SELECT 0 AS position, 'warning' AS type, 'Increasing Delay
     'Ensure capacity planning and resource allocation' FROM t WHERE volume_direction = 'increasing' AND volume_significant
   UNION ALL SELECT 3, 'info', 'High Delay Rate Variability', 'Delay rates show high variability (variance: ' || {_STRENGTH.format('delay_rate_variance')} || ')', 'medium',
     'Investigate cyclical patterns and stabilize operations' FROM t WHERE total_periods >= 7 AND delay_rate_variance > 25"""
+_HOURLY = SUMMARY_SQL.replace(
+    "WITH t AS (SELECT strftime(d, '%Y-%m-%d') AS period, d, n, rate FROM daily)",
+    """WITH t AS (SELECT strftime(d, '%Y-%m-%d %H:00') AS period, d, n, rate FROM (SELECT date_trunc('hour', ts) AS d, count(*) AS n,
+       100e0 * count(*) FILTER (logistics_delay) / count(*) AS rate FROM scored GROUP BY 1))""",
+)
+
+
+@register("trend_insights_hourly_full", "R-01", f"WITH t AS ({_HOURLY}) {_TREND_INSIGHTS}")
+def trend_insights_hourly_full(spark, root):
+    """Every trend insight of the hourly series, with all its texts."""
+    found = rules.trend_insights(metrics.trend_summary(metrics.trend_series(rows(spark, root), "hourly")))
+    return joined(found, "recommendations").select("position", "type", "title", "description", "impact", "recommendations")
+
+
+_SCOPES = {
+    "all": "true",
+    "delayed": "logistics_delay",
+    "one asset": "asset_id = 'Truck_3'",
+    "morning": "hour(ts) IN (8, 9)",
+}
+
+
+def _factors_sql(scope: str, condition: str) -> str:
+    facts = SHARES_SQL.replace("FROM scored", f"FROM (SELECT * FROM scored WHERE {condition})")
+    one = "printf('%.1f%%', {0})"
+    return f"""SELECT '{scope}' AS scope, factor, level, value, description FROM (SELECT unnest([
+      CASE WHEN high_risk_rate > 20 THEN {{'factor': 'High Delay Probability Shipments', 'level': 'high', 'value': {one.format('high_risk_rate')},
+        'description': CAST(high_risk_count AS VARCHAR) || ' shipments have >80% delay probability'}} END,
+      CASE WHEN max_asset_share > 50 THEN {{'factor': 'Asset Concentration', 'level': 'medium', 'value': {one.format('max_asset_share')},
+        'description': 'Single asset handles ' || {one.format('max_asset_share')} || ' of shipments'}} END,
+      CASE WHEN max_hour_share > 30 THEN {{'factor': 'Temporal Concentration', 'level': 'low', 'value': {one.format('max_hour_share')},
+        'description': 'Peak activity at hour ' || top_hour || ' (' || {one.format('max_hour_share')} || ' of shipments)'}} END],
+      recursive := true) FROM ({facts})) WHERE factor IS NOT NULL"""
+
+
+@register("risk_factors_by_scope", "R-03", " UNION ALL ".join(_factors_sql(s, c) for s, c in _SCOPES.items()))
+def risk_factors_by_scope(spark, root):
+    """The risk factors of all rows and of parts of them that set off each rule."""
+    every = rows(spark, root)
+    parts = {
+        "all": every, "delayed": every.filter("logistics_delay"), "one asset": every.filter("asset_id = 'Truck_3'"),
+        "morning": every.filter(F.hour("ts").isin(8, 9)),
+    }
+    found = [rules.risk_factors(metrics.risk_shares(df)).drop("position").withColumn("scope", F.lit(scope)) for scope, df in parts.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 _FIRST_INSIGHTS = f"""WITH t AS ({SUMMARY_SQL}) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY tier, position) AS place FROM (
     SELECT 0 AS tier, 0 AS position, 'descriptive' AS type, 'Shipment Overview' AS title, NULL AS description, NULL AS impact, NULL AS recommendations
     UNION ALL SELECT 0, 1, 'kpi_evaluation', 'KPI Performance', NULL, NULL, NULL

@@ -41,9 +41,22 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else one in the warehouse.
+
+    On a cluster a warehouse on the driver's own disk is refused.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if configured:
+        return configured
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not shared_warehouse(spark.sparkContext.master, warehouse):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_scratch"
+
+
+def shared_warehouse(master: str, warehouse: str) -> bool:
+    """Whether every executor sees the warehouse: in local mode always, on a cluster unless it is a local path."""
+    return master.startswith("local[") or master == "local" or ("://" in warehouse and not warehouse.startswith("file:"))
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -99,3 +99,13 @@ def test_p_value_at_textbook_quantiles(spark, df, t):
 
 def test_p_value_of_two_points(spark):
     assert values(spark, "r double, n bigint", [(1.0, 2), (0.0, 2)], stats.slope_p_value("r", "n")) == [0.0, 1.0]
+
+
+@pytest.mark.parametrize(
+    "master, warehouse, shared",
+    [("local[8]", "file:/w", True), ("local", "/w", True), ("yarn", "file:/w", False), ("spark://h:7077", "/w", False), ("local-cluster[3,2,1024]", "file:///w", False), ("yarn", "hdfs://n/w", True)],
+)
+def test_a_local_warehouse_is_no_shared_folder_on_a_cluster(master, warehouse, shared):
+    from freightlens.session import shared_warehouse
+
+    assert shared_warehouse(master, warehouse) == shared
