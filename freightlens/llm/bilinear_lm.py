@@ -1,8 +1,8 @@
 """Log-bilinear language model over word units, trained by noise-contrastive estimation.
 
 Units.  The ``units`` most frequent words are units of their own, the text's end is
-one, and every other word belongs to one of ``groups`` units by its first bytes.  A
-token's probability is P(unit | two units before) x P(word | unit): the first from the
+one, and every other word belongs to one of ``groups`` units by its first bytes; both
+numbers grow with the fifth root of the vocabulary.  A token's probability is P(unit | two units before) x P(word | unit): the first from the
 neural model, the second from training counts with one count added per word and one
 for all unseen words, so the probabilities of all words and the unseen sum to one.
 
@@ -10,9 +10,10 @@ Model.  The predicted vector is the sum of the context units' vectors, each weig
 per dimension by its place; a unit's logit is its product with the unit's own vector
 plus a bias.  Noise-contrastive estimation trains it on every training token against
 noise from the unit frequencies, in numpy, per Spark partition; partitions' parameters
-are averaged by tokens between rounds through Spark.  As the logits are bilinear, one
-batch of matrix products per model gives every context's logarithm of the normaliser,
-and scoring a token is a few look-ups.
+are averaged by tokens between rounds through Spark.  As a logit is the sum of a part
+for each place, its exponential is a product, and one matrix product of the places'
+exponentials gives the normaliser of every context; that table, of the square of the
+units (the vocabulary to the power 0.4), is the largest thing a scoring task holds.
 
 Counts of all words come from a Spark aggregate.  The ``kept`` most frequent words
 travel to the scoring tasks (a fixed number); counts of the others are joined to the
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import math
 import sys
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,12 @@ STEM = 3
 
 @dataclass(frozen=True)
 class Settings:
-    """Unit words, word groups, words sent to tasks, dimensions, noise per batch, batch size, rounds, learning rate."""
+    """Unit words and word groups (0: by ``share`` and the vocabulary), words sent to tasks, dimensions, noise per batch, batch size, rounds, learning rate."""
 
-    units: int = 255
-    groups: int = 256
+    units: int = 0
+    groups: int = 0
+    share: int = 40
+    least: int = 64
     kept: int = 200_000
     size: int = 16
     noise: int = 24
@@ -57,13 +60,22 @@ class Settings:
     def all(self) -> int:
         return 1 + self.units + self.groups
 
+    def sized(self, vocabulary: int) -> Settings:
+        """The settings with the numbers of unit words and of groups for so many distinct words."""
+        n = max(self.least, round(self.share * vocabulary**0.2))
+        return replace(self, units=self.units or n, groups=self.groups or n)
+
+
+def stem_number(stem: np.ndarray) -> np.ndarray:
+    return (stem >> np.uint64(40)).astype(np.int64)
+
 
 def group_of(stem: np.ndarray, cfg: Settings) -> np.ndarray:
-    return ((stem >> np.uint64(40)) % np.uint64(cfg.groups)).astype(np.int64)
+    return stem_number(stem) % cfg.groups
 
 
-def count_words(texts: DataFrame, cfg: Settings) -> DataFrame:
-    """word (hash), grp, n over all tokens of ``texts``, one end per text included."""
+def count_words(texts: DataFrame) -> DataFrame:
+    """word (hash), stem (-1 for the end), n over all tokens of ``texts``, one end per text included."""
 
     def run(batches):
         def flush(parts):
@@ -78,7 +90,7 @@ def count_words(texts: DataFrame, cfg: Settings) -> DataFrame:
                 found = W.Words(raw, offsets, STEM)
                 u, first, n = np.unique(found.hash, return_index=True, return_counts=True)
                 ends = len(offsets) - 1
-                held.append((np.append(u, END), np.append(group_of(found.stem[first], cfg), -1), np.append(n, ends)))
+                held.append((np.append(u, END), np.append(stem_number(found.stem[first]), -1), np.append(n, ends)))
                 size += len(u)
                 if size > 1_000_000:
                     held = [flush(held)]
@@ -89,13 +101,13 @@ def count_words(texts: DataFrame, cfg: Settings) -> DataFrame:
         if held:
             yield _counts(flush(held))
 
-    sums = texts.select("text").mapInArrow(run, "word long, grp int, n long")
-    return sums.groupBy("word").agg(F.max("grp").alias("grp"), F.sum("n").alias("n"))
+    sums = texts.select("text").mapInArrow(run, "word long, stem int, n long")
+    return sums.groupBy("word").agg(F.max("stem").alias("stem"), F.sum("n").alias("n"))
 
 
 def _counts(part):
     u, g, n = part
-    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(g.astype(np.int32)), pa.array(n)], ["word", "grp", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(g.astype(np.int32)), pa.array(n)], ["word", "stem", "n"])
 
 
 def to_units(found: W.Words, top: np.ndarray, cfg: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,11 +208,12 @@ def train_round(texts: DataFrame, flat: np.ndarray, top: np.ndarray, freq: np.nd
 
 @dataclass
 class Model:
-    """What scoring needs, in log10; every array's size is fixed by the settings."""
+    """What scoring needs, in log10; every array's size is fixed by the settings and the fifth root of the vocabulary."""
 
     top: np.ndarray  # sorted hashes of unit words
-    one: np.ndarray  # logit part of the unit one before, by unit
-    two: np.ndarray
+    near: np.ndarray  # weighted vector of the unit one before
+    far: np.ndarray  # and of the unit two before
+    out: np.ndarray  # vectors of the predicted units
     bias: np.ndarray
     norm: np.ndarray  # log normaliser by (one before, two before)
     within: np.ndarray  # log10 of the denominator inside a group unit
@@ -209,24 +222,41 @@ class Model:
     total: int
     vocabulary: int
 
+    @property
+    def one(self) -> np.ndarray:
+        """Logit part of the unit one before, by unit."""
+        return self.near @ self.out.T
+
+    @property
+    def two(self) -> np.ndarray:
+        return self.far @ self.out.T
+
 
 def normalised(flat: np.ndarray, cfg: Settings):
-    """Logit parts and the normaliser of every context, by matrix products."""
+    """Weighted context vectors, unit vectors, biases, and the log normaliser of every context.
+
+    The sum over units of exp(one + two + bias) is a matrix product of exponentials;
+    each side is scaled by its rows' maxima, in double precision.
+    """
     p = Params(flat, cfg)
-    one, two = (p.R * p.C[0]) @ p.Q.T, (p.R * p.C[1]) @ p.Q.T
+    near, far, out = p.R * p.C[0], p.R * p.C[1], p.Q.copy()
+    two = (far @ out.T + p.b).astype(np.float64)
+    top_two = two.max(1)
+    two = np.exp(two - top_two[:, None]).T
     norm = np.empty((cfg.all, cfg.all), np.float32)
-    for u in range(cfg.all):
-        s = two + (one[u] + p.b)
-        m = s.max(1)
-        norm[u] = m + np.log(np.exp(s - m[:, None]).sum(1))
-    return one, two, p.b.copy(), norm
+    for lo in range(0, cfg.all, 512):
+        one = (near[lo : lo + 512] @ out.T).astype(np.float64)
+        top_one = one.max(1)[:, None]
+        norm[lo : lo + 512] = np.log(np.exp(one - top_one) @ two) + top_one + top_two
+    return near, far, out, p.b.copy(), norm
 
 
 def fit(texts: DataFrame, cfg: Settings = Settings()) -> tuple[Model, DataFrame]:
     """Train on every row of ``texts`` (text); returns the model and the written word counts."""
     bounded_batches(texts.sparkSession)
-    counts = stored(count_words(texts, cfg), "counts")
+    counts = stored(count_words(texts), "counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    cfg = cfg.sized(vocabulary)
     order = [F.desc("n"), F.asc("word")]
     end = F.lit(int(END.view(np.int64)))
     best = counts.orderBy(*order).limit(cfg.kept).toArrow()  # a fixed number of rows
@@ -234,7 +264,7 @@ def fit(texts: DataFrame, cfg: Settings = Settings()) -> tuple[Model, DataFrame]
     is_end = word == END
     top = np.sort(word[~is_end][: cfg.units])
     groups = (
-        counts.where((F.col("word") != end) & ~F.col("word").isin([int(x) for x in top.view(np.int64)])).groupBy("grp").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
+        counts.where((F.col("word") != end) & ~F.col("word").isin([int(x) for x in top.view(np.int64)])).groupBy((F.col("stem") % cfg.groups).alias("grp")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
     )
     mass, kinds = np.zeros(cfg.groups), np.zeros(cfg.groups)
     mass[groups["grp"].to_numpy()], kinds[groups["grp"].to_numpy()] = groups["n"].to_numpy(), groups["v"].to_numpy()
@@ -247,9 +277,9 @@ def fit(texts: DataFrame, cfg: Settings = Settings()) -> tuple[Model, DataFrame]
     flat = start_params(freq, cfg)
     for turn in range(cfg.rounds if total else 0):
         flat = train_round(texts, flat, top, freq, turn, cfg)
-    one, two, bias, norm = normalised(flat, cfg)
+    near, far, out, bias, norm = normalised(flat, cfg)
     by_hash = np.argsort(word)
-    model = Model(top, one, two, bias, norm, np.log10(mass + kinds + 1), word[by_hash], n[by_hash], int(total), int(vocabulary))
+    model = Model(top, near, far, out, bias, norm, np.log10(mass + kinds + 1), word[by_hash], n[by_hash], int(total), int(vocabulary))
     return model, counts
 
 
@@ -260,11 +290,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, cfg: Settings = Sett
     columns don't matter: rows are told apart by their place.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.top, model.one, model.two, model.bias, model.norm, model.within, model.kept, model.kept_n))
+    cfg = cfg.sized(model.vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((model.top, model.near, model.far, model.out, model.bias, model.norm, model.within, model.kept, model.kept_n))
     total, vocabulary = model.total, model.vocabulary
 
     def run(batches):
-        top, t1, t2, bias, norm, within, kept, kept_n = shared.value
+        top, near, far, out, bias, norm, within, kept, kept_n = shared.value
         kept_log = np.log10(kept_n + 1.0)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -273,7 +304,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, cfg: Settings = Sett
                 found = W.Words(raw, offsets, STEM)
                 units, rare, first = to_units(found, top, cfg)
                 one, two = contexts(units, first)
-                logp = (t1[one, units] + t2[two, units] + bias[units] - norm[one, two]) / math.log(10)
+                logp = (np.einsum("ij,ij->i", near[one] + far[two], out[units]) + bias[units] - norm[one, two]) / math.log(10)
                 hashes = np.insert(found.hash, found.first[1:], END)
                 at = np.searchsorted(kept, hashes)
                 at[at == len(kept)] = 0
