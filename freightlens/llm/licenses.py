@@ -6,7 +6,8 @@ index from fingerprint to (template, place) picks, per text, the templates and
 diagonals with hits; nearby diagonals make one candidate.  Around it, a local alignment
 within a band of diagonals gives the matched words of the template, so small edits,
 missing or added words don't end a match.  The index holds the templates only: its
-size is theirs, whatever the corpus.
+size is theirs, whatever the corpus.  A line ``SPDX-License-Identifier: ...`` has too few
+words to fingerprint and names its licenses itself, so they are read from it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import sys
 from bisect import bisect_right
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
 from .joins import bounded_batches
+from .license_texts import WHOLE
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,12 +45,23 @@ TEMPLATES = {
     "CC-BY-4.0-text": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0-text": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0-text": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
+    **WHOLE,
 }
 
 #: Word characters of the alignment: letters, digits, and what joins them in names and versions.
 SEPARATORS = np.array([i < 128 and not (chr(i).isalnum() or chr(i) in "-.") for i in range(256)])
 
 
+#: The marker of a license line, and the words between its names.
+SPDX_MARKER = "spdx-license-identifier"
+SPDX_BETWEEN = ("and", "or", "with")
+
+
+def templates_in(folder: str) -> dict[str, str]:
+    """Every file of a folder as a template under its file name, read on the driver."""
+    return {f.name: f.read_text(encoding="utf-8", errors="replace") for f in sorted(Path(folder).iterdir()) if f.is_file()}
+
+
 @dataclass(frozen=True)
 class Settings:
     """Words per shingle, shingles per window, half width of the band, least coverage of a template, least share of its fingerprints."""
@@ -89,8 +103,7 @@ def build_index(templates: dict[str, str], cfg: Settings):
     """(sorted fingerprints, their templates, their places, word hashes by template)."""
     names, prints, owner, place, hashes = list(templates), [], [], [], []
     for t, text in enumerate(templates.values()):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        h = tokens(raw, np.array([0, len(raw)])).hash
+        h = word_hashes(text)
         values = pairs_of(h, cfg.gram)
         at = winnow(values, cfg.window)
         hashes.append(h)
@@ -162,9 +175,36 @@ def matches(h: np.ndarray, index, cfg: Settings) -> list[tuple[int, int, int, in
     return sorted(kept, key=lambda x: (x[2], x[0]))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return tokens(raw, np.array([0, len(raw)])).hash
+
+
+def named(found: W.Words, raw: np.ndarray, marker: np.uint64, between: np.ndarray) -> list[tuple[int, int, str, int]]:
+    """(text, place of the marker, license, place of its name) for the licenses that marked lines name.
+
+    Names follow the marker, on its line, with AND, OR or WITH between them.
+    """
+    out = []
+    for at in np.flatnonzero(found.hash == marker).tolist():
+        text = int(np.searchsorted(found.first, at, "right")) - 1
+        for place in range(at + 1, int(found.first[text + 1])):
+            if (raw[found.end[place - 1] : found.start[place]] == 10).any():
+                break
+            is_between = bool((between == found.hash[place]).any())
+            if is_between != ((place - at) % 2 == 0):
+                break
+            if not is_between:
+                out.append((text, at, raw[found.start[place] : found.end[place]].tobytes().decode(errors="replace"), place))
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, cfg: Settings = Settings()) -> DataFrame:
     """Per match: doc_id, license, n_matched, coverage, and the byte span of the match in the text.
 
+    A license named on an SPDX line gives a row of its own, under its name as written, with
+    the words from the marker to the name.
+
     Null and empty texts match nothing.  Rows are scanned one by one, so repeated rows
     give repeated matches and null ids come out as null.  Only doc_id and text are
     read.  An empty table gives an empty one.
@@ -172,6 +212,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cfg: Settings
     bounded_batches(docs.sparkSession)
     index = build_index(templates or TEMPLATES, cfg)
     names, sizes = index[0], [len(h) for h in index[4]]
+    marker, between = word_hashes(SPDX_MARKER)[0], word_hashes(" ".join(SPDX_BETWEEN))
 
     def run(batches):
         for batch in batches:
@@ -185,6 +226,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cfg: Settings
                     a, b = found.first[i], found.first[i + 1]
                     for t, m, start, stop in matches(found.hash[a:b], index, cfg):
                         rows.append((lo + i, names[t], m, m / sizes[t], int(found.start[a + start] - offsets[i]), int(found.end[a + stop - 1] - offsets[i])))
+                for i, at, name, place in named(found, raw, marker, between):
+                    rows.append((lo + i, name, place - at + 1, 1.0, int(found.start[at] - offsets[i]), int(found.end[place] - offsets[i])))
                 columns = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.int64())],
