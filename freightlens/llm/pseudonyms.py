@@ -8,6 +8,9 @@ kind, and replaced by the image of a permutation of the kind's own format:
 * IPv4 addresses (parts up to 255), social security numbers (valid area, group,
   serial) and ISO dates (existing days): their number among all valid values is
   permuted, so the image is valid;
+* IPv6 addresses (eight groups, or fewer around one ``::``, with a digit at least): their
+  128 bits are permuted, so all spellings of an address share a pseudonym, which is
+  written in eight groups;
 * phone numbers and e-mail names: letters stay letters and digits digits, in place;
   domains stay.
 
@@ -28,6 +31,8 @@ ROUNDS = 8
 #: Fixed patterns of the kinds, tried in this order at each place.
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d)",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -61,6 +66,24 @@ def permuted(n: Column, a: int, b: int, key: str, kind: str, back: bool = False)
     return F.aggregate(F.array(*[F.lit(i) for i in order]), start, step, lambda s: s["l"] * b + s["r"])
 
 
+def permuted_bits(digits: Column, key: str, kind: str, back: bool = False) -> Column:
+    """The image of 32 hexadecimal digits under a keyed permutation of 128 bits."""
+    bits = lambda at: F.conv(F.substring(digits, at, 16), 16, -10).cast("long")
+    order = range(ROUNDS, 0, -1) if back else range(1, ROUNDS + 1)
+
+    def step(s, i):
+        tag, odd = F.concat_ws(":", F.lit(kind), i.cast("string")), i % 2 == 1
+        mask = lambda x: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), tag, x.cast("string")), 256), 1, 16), 16, -10).cast("long")
+        return F.struct(
+            F.when(odd, s["l"].bitwiseXOR(mask(s["r"]))).otherwise(s["l"]).alias("l"),
+            F.when(odd, s["r"]).otherwise(s["r"].bitwiseXOR(mask(s["l"]))).alias("r"),
+        )
+
+    text = lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")
+    start = F.struct(bits(1).alias("l"), bits(17).alias("r"))
+    return F.aggregate(F.array(*[F.lit(i) for i in order]), start, step, lambda s: F.concat(text(s["l"]), text(s["r"])))
+
+
 def shifted(text: Column, other: Column, key: str, tag: Column, sign: int) -> Column:
     """Each letter or digit of ``text`` moved within its class by a keyed hash of ``other``; classes of ``text`` stay."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), tag, other), 512)
@@ -117,11 +140,29 @@ def _day(value: Column) -> Column:
     return F.when(value.contains("/"), F.try_to_date(value, "MM/dd/yyyy")).otherwise(F.try_to_date(value, "yyyy-MM-dd"))
 
 
+def _groups(value: Column, side: int) -> Column:
+    """The groups of an IPv6 address before (1) or after (2) its ``::``."""
+    text = F.coalesce(F.get(F.split(value, "::", -1), F.lit(side - 1)), F.lit(""))
+    return F.filter(F.split(text, ":"), lambda x: x != "")
+
+
+def _address(value: Column) -> Column:
+    """An IPv6 address as 32 hexadecimal digits."""
+    left, right = _groups(value, 1), _groups(value, 2)
+    zeros = F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right))
+    return F.array_join(F.transform(F.concat(left, zeros, right), lambda x: F.lpad(F.lower(x), 4, "0")), "")
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a found value if it is valid, else null."""
     part = lambda sep, i: F.element_at(F.split(value, sep), i).cast("int")
     return (
         F.when(value.contains("@"), "email")
+        # without a digit it may be a word of program text, such as a::b
+        .when(
+            value.contains(":"),
+            F.when(value.rlike("[0-9]") & (F.size(_groups(value, 1)) + F.size(_groups(value, 2)) <= F.when(value.contains("::"), 7).otherwise(8)), "ipv6"),
+        )
         # octets with leading zeros would share a pseudonym with those without
         .when(value.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), F.when((F.greatest(*[part(r"\.", i) for i in (1, 2, 3, 4)]) <= 255) & ~value.rlike(r"(^|\.)0\d"), "ip"))
         .when(value.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"), F.when(_day(value).between(F.lit("1800-01-01").cast("date"), F.lit("2199-12-31").cast("date")), "date"))
@@ -148,7 +189,8 @@ def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Colu
     name = F.substring_index(value, "@", 1)
     code = F.regexp_extract(value, r"^\+\d{1,3}", 0)
     return (
-        F.when(kind == "ip", F.concat_ws(".", *[octet(i).cast("string") for i in (3, 2, 1, 0)]))
+        F.when(kind == "ipv6", F.regexp_replace(permuted_bits(_address(value), key, "ipv6", back), "(.{4})(?!$)", "$1:"))
+        .when(kind == "ip", F.concat_ws(".", *[octet(i).cast("string") for i in (3, 2, 1, 0)]))
         .when(kind == "date", F.when(value.contains("/"), F.date_format(moved_day, "MM/dd/yyyy")).otherwise(F.date_format(moved_day, "yyyy-MM-dd")))
         .when(kind == "ssn", F.concat_ws("-", F.lpad(new_area.cast("string"), 3, "0"), F.lpad((F.floor(ssn / 9999) % 99 + 1).cast("string"), 2, "0"), F.lpad((ssn % 9999 + 1).cast("string"), 4, "0")))
         .when(kind == "card", _pattern_of(value, card))
