@@ -233,40 +233,73 @@ def _placed(edges: DataFrame, asked: DataFrame, key: list[str], slot_seconds: in
     return rows.withColumn("inside", inside).join(offsets, [*key, "slot"]).withColumn("place", F.col("before") + F.col("inside")).drop("slot", "inside", "before")
 
 
-def as_of_external(probes: DataFrame, external: DataFrame, default: float | None, time: str = "ts", slot_seconds: int = 3600) -> DataFrame:
-    """The newest external value of a key that is still valid at the probe's time.
+def _newest(alive: DataFrame, asked: DataFrame, key: list[str], slot_seconds: int) -> DataFrame:
+    """Observations (``edge`` 1, with ``until``) and probes (0), each with ``newest``: the key's observation before it.
 
-    Every observation lives from ``created_at`` until before its own ``expires_at``; one
-    that lives longer counts again when a newer one has expired.  Equal times are ordered
-    by ``id``.  Times are replaced by places among the key's own beginnings and ends.  An
-    observation is stored under the few aligned intervals that make up its lifetime, at
-    most two per power of two, and of each interval only the newest is kept; a probe looks
-    its place up once per interval size that occurs.  No pairs are formed, a lifetime of
-    years costs a few dozen rows, and no Python runs.
+    The newest one is found inside time slots; a slot hands its last observation on by one row.
+    """
+    own = F.struct("at", "tie", "until", "data_value", "created_at")
+    slot = F.floor(F.col("moment") / (slot_seconds * 1_000_000)).alias("slot")
+    seen = alive.select(*key, F.col("at").alias("moment"), F.lit(1).alias("edge"), own.alias("own"))
+    rows = seen.unionByName(asked.withColumn("edge", F.lit(0)), allowMissingColumns=True).select("*", slot)
+    # an observation made at the probe's moment counts, so observations go first
+    order = [F.col("moment"), F.desc("edge"), F.col("own.tie"), F.col("own.until"), F.col("own.data_value")]
+    inside = F.last("own", ignorenulls=True).over(Window.partitionBy(*key, "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    slots = rows.groupBy(*key, "slot").agg(F.max("own").alias("own"))
+    earlier = Window.partitionBy(*key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    handed = slots.select(*key, "slot", F.last("own", ignorenulls=True).over(earlier).alias("handed"))
+    found = rows.withColumn("inside", inside).join(handed, [*key, "slot"])
+    return found.select(*key, "moment", "edge", F.col("own.until").alias("until"), F.coalesce("inside", "handed").alias("newest"))
+
+
+def _older(asked: DataFrame, alive: DataFrame, key: list[str], slot_seconds: int) -> DataFrame:
+    """For probes that find one: the newest of the observations of any lifetime that hold the probe's moment.
+
+    Times are replaced by places among the key's own beginnings and ends.  An observation is
+    stored under the few aligned intervals that make up its lifetime, at most two per power
+    of two, and of each interval only the newest is kept; a probe looks its place up once per
+    interval size that occurs.
     """
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    key = ["data_type", "data_key"]
     same = [*key, "at", "until", "tie"]
-    alive = external.where("expires_at > created_at").select(
-        *key, micros("created_at").alias("at"), micros("expires_at").alias("until"), F.col("id").alias("tie"), "data_value", "created_at"
-    )
     edges = alive.withColumn("moment", F.explode(F.array("at", "until")))
-    asked = probes.select(*key, micros(time).alias("moment")).distinct()
     placed = stored(_placed(edges, asked, key, slot_seconds), "as-of-places")
     lives = placed.where("edge = 1").groupBy(*same).agg(
         F.min("place").alias("first"), F.max("place").alias("past"), F.max("data_value").alias("data_value"), F.max("created_at").alias("created_at")
     )
     spread = lives.select("*", F.explode(_nodes(F.col("first"), F.col("past"))).alias("node"))
-    newest = spread.groupBy(*key, "node.level", F.col("node.place").alias("place")).agg(
-        F.max_by(F.struct("at", "tie", "data_value", "created_at"), F.struct("at", "tie")).alias("found")
-    )
+    newest = spread.groupBy(*key, "node.level", F.col("node.place").alias("place")).agg(F.max(F.struct("at", "tie", "until", "data_value", "created_at")).alias("found"))
     nodes = stored(newest, "as-of-nodes")
     count, levels = nodes.agg(F.count("*"), F.sort_array(F.collect_set("level"))).first()  # a level is one of 63
     looked = placed.where("edge = 0").select(*key, "moment", "place")
     looked = looked.withColumn("level", F.explode(F.array([F.lit(k) for k in levels]) if levels else F.array().cast("array<int>")))
     looked = looked.withColumn("place", F.call_function("shiftright", "place", "level"))
     hits = looked.join(F.broadcast(nodes) if count <= BROADCAST_ROWS else nodes, [*key, "level", "place"])
-    best = hits.groupBy(*key, "moment").agg(F.max_by("found", F.struct("found.at", "found.tie")).alias("found"))
+    return hits.groupBy(*key, "moment").agg(F.max("found").alias("found"))
+
+
+def as_of_external(probes: DataFrame, external: DataFrame, default: float | None, time: str = "ts", slot_seconds: int = 3600) -> DataFrame:
+    """The newest external value of a key that is still valid at the probe's time.
+
+    Every observation lives from ``created_at`` until before its own ``expires_at``; one
+    that lives longer counts again when a newer one has expired.  Equal times are ordered
+    by ``id``.  Where the newest observation still lives it is the answer.  Where it has
+    expired, only an observation that outlived the one right after it can be, so just these
+    are searched by lifetime.  No pairs are formed, a lifetime of years costs a few dozen
+    rows, and no Python runs.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    key = ["data_type", "data_key"]
+    alive = external.where("expires_at > created_at").select(
+        *key, micros("created_at").alias("at"), micros("expires_at").alias("until"), F.col("id").alias("tie"), "data_value", "created_at"
+    )
+    asked = probes.select(*key, micros(time).alias("moment")).distinct()
+    rows = stored(_newest(alive, asked, key, slot_seconds), "as-of-newest")
+    lives = F.col("newest.until") > F.col("moment")
+    best = rows.where((F.col("edge") == 0) & lives).select(*key, "moment", F.col("newest").alias("found"))
+    outlived = rows.where((F.col("edge") == 1) & (F.col("newest.until") > F.col("until"))).select(*key, "newest.*")
+    if outlived.limit(1).count():
+        expired = rows.where((F.col("edge") == 0) & ~lives).select(*key, "moment")
+        best = best.unionByName(_older(expired, outlived, key, slot_seconds))
     best = best.select(*key, F.col("moment").alias("_asked"), F.col("found.data_value").alias("_value"), F.col("found.created_at").alias("observed_at"))
     joined = probes.withColumn("_asked", micros(time)).join(best, [*key, "_asked"], "left")
     return joined.select(*probes.columns, F.coalesce("_value", F.lit(default)).alias("data_value"), "observed_at")
