@@ -186,7 +186,7 @@ def _base_vectors(spark, root):
     rows = models.base_rows(shapes.readings(spark, root)).withColumn(models.LABEL, F.col("logistics_delay").cast("double"))
     flagged = ft.with_split(rows, models.LABEL, "id")
     features = models.base_features(flagged.filter("in_train"))
-    vectors = features.transform(flagged).select("id", models.LABEL, "features", "in_train").persist()
+    vectors = models.dealt(features.transform(flagged).select("id", models.LABEL, "features", "in_train"), rows.count()).persist()
     return vectors.filter("in_train").drop("in_train"), vectors.filter("NOT in_train").drop("in_train"), features, vectors
 
 

@@ -119,3 +119,29 @@ def test_a_saved_ensemble_scores_equal(spark, root):
     unknown = rows.withColumn("asset_id", F.when(F.col("id") % 5 == 0, "never seen").otherwise(F.col("asset_id")))
     score = lambda m: [tuple(r) for r in m.score(unknown).select("id", "delay_probability", "will_delay", "risk_level").orderBy("id").collect()]
     assert score(loaded) == score(model)
+
+
+def test_training_rows_are_dealt_over_the_cores(spark):
+    one_split = spark.range(0, 60_000, 1, 1).withColumn("x", F.col("id") % 7)
+    out = models.dealt(one_split)
+    assert out.rdd.getNumPartitions() == 2 and out.exceptAll(one_split).count() == 0 and out.count() == 60_000
+    shares = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) == 2 and max(shares) < 1.1 * min(shares)
+    assert models.dealt(one_split, 10**7).rdd.getNumPartitions() == 20  # no partition beyond PART_ROWS
+    few = one_split.limit(100)
+    assert models.dealt(few) is few
+    forests = [models.classifiers(1)["RandomForest"], models.regressors()["random_forest"]]
+    assert all(f.getCacheNodeIds() for f in forests)
+
+
+def test_models_are_fitted_at_the_same_time(spark):
+    import threading
+
+    meeting = threading.Barrier(2, timeout=30)
+
+    class Waits:
+        def fit(self, vectors):
+            meeting.wait()  # broken unless the other is being fitted as well
+            return vectors
+
+    assert models.fit_all({"a": Waits(), "b": Waits()}, "rows") == {"a": "rows", "b": "rows"}
