@@ -310,14 +310,16 @@ def model_registry(spark, root):
 def saved_ensemble(spark, root):
     """An ensemble saved with its weights and codes scores every reading as the one in memory does."""
     rows = models.base_rows(shapes.readings(spark, root)).withColumn(models.LABEL, F.col("logistics_delay").cast("double"))
-    train, test = ft.stratified_split(rows, models.LABEL, "id")
-    features = models.base_features(train)
-    vectors = features.transform(train).select(models.LABEL, "features").persist()
-    kinds = models.classifiers(vectors.count())
-    members = models.fit_all({n: kinds[n] for n in ("LogisticRegression", "RandomForest")}, vectors)
+    flagged = ft.with_split(rows, models.LABEL, "id")
+    features = models.base_features(flagged.filter("in_train"))
+    total = rows.count()
+    vectors = models.dealt(features.transform(flagged).select(models.LABEL, "features", "in_train"), total).persist()
+    train = vectors.filter("in_train")
+    kinds = models.classifiers(train.count())
+    members = models.fit_all({n: kinds[n] for n in ("LogisticRegression", "RandomForest")}, train)
+    fitted = models.DelayModel(features, members, models.ensemble_weights(members, vectors.filter("NOT in_train")))
     vectors.unpersist()
-    held = features.transform(test).select(models.LABEL, "features")
-    fitted = models.DelayModel(features, members, models.ensemble_weights(members, held))
+    rows = models.dealt(rows, total)
     folder = new_path(spark, "ensembles")
     models.save_model(spark, fitted, folder, "Ensemble", {"members": list(members)})
     loaded = models.load_newest(spark, folder)
