@@ -1,6 +1,7 @@
 """Nested one-row reports, all derived from one profile of the readings.
 
-They hold nothing that grows with the assets; ``report_tables`` has those sections as rows.
+They hold nothing that grows with the assets unless asked to (``per_asset``);
+``report_tables`` has those sections as rows.
 """
 
 from __future__ import annotations
@@ -184,7 +185,8 @@ def kpi_list(fig: Figures) -> DataFrame:
     return _list(fig.kpis, "kpi_evaluation", F.col("kpi") == "delay_rate")
 
 
-def descriptive(fig: Figures) -> DataFrame:
+def descriptive(fig: Figures, per_asset: bool = False) -> DataFrame:
+    """``per_asset`` adds the number of shipments of every asset."""
     return one_row(
         _pack(fig.data_summary, "data_summary"),
         _pack(fig.overview, "performance_metrics"),
@@ -192,6 +194,7 @@ def descriptive(fig: Figures) -> DataFrame:
         fig.counts("reason", "delay_reasons"),
         kpi_list(fig),
         _list(rules.descriptive_insights(fig.overview, fig.kpis), "insights", F.col("type")),
+        *([fig.counts("asset", "asset_distribution")] if per_asset else []),
     )
 
 
@@ -224,7 +227,8 @@ def predictive(fig: Figures) -> DataFrame:
     )
 
 
-def prescriptive(fig: Figures) -> DataFrame:
+def prescriptive(fig: Figures, per_asset: bool = False) -> DataFrame:
+    """``per_asset`` adds share, delay rate and load of every asset."""
     facts = fig.cause_facts
     chances, resources, plans = rules.opportunities(facts), rules.resource_recommendations(fig.utilization), rules.kpi_plans(fig.kpis)
     everything = rules.prescriptive_recommendations(chances, resources, plans)
@@ -233,6 +237,7 @@ def prescriptive(fig: Figures) -> DataFrame:
         rules.as_list(chances, "optimization_opportunities"),
         _list(plans, "kpi_improvements", F.col("kpi") == "Delay Rate"),
         _list(everything, "recommendations", F.col("source"), F.col("position")),
+        *([_list(fig.utilization, "asset_utilization", F.col("asset_id"))] if per_asset else []),
     )
 
 

@@ -203,14 +203,14 @@ def descriptive_insights(spark, root):
 @register(
     "report_descriptive",
     "R-11 A-16",
-    f"""SELECT o.*, (SELECT count(*) FROM scored WHERE shipment_status = 'Delayed') AS status_delayed,
+    f"""SELECT o.*, (SELECT count(DISTINCT asset_id) FROM scored) AS assets, (SELECT count(*) FROM scored WHERE shipment_status = 'Delayed') AS status_delayed,
          (SELECT count(*) FROM scored WHERE logistics_delay_reason = 'Traffic') AS reason_traffic, 2 AS kpis, 2 AS insights,
          (SELECT strftime(min(ts), '%Y-%m-%d') FROM scored) AS "start" FROM ({OVERVIEW_SQL}) o""",
 )
 def report_descriptive(spark, root):
-    r = reports.descriptive(figures(spark, root))
+    r = reports.descriptive(figures(spark, root), per_asset=True)
     return r.select(
-        "performance_metrics.*",
+        "performance_metrics.*", F.size("asset_distribution").alias("assets"),
         F.try_element_at("status_distribution", F.lit("Delayed")).alias("status_delayed"),
         F.try_element_at("delay_reasons", F.lit("Traffic")).alias("reason_traffic"),
         F.size("kpi_evaluation").alias("kpis"), F.size("insights").alias("insights"), "data_summary.start",
@@ -259,14 +259,15 @@ def report_predictive(spark, root):
        SELECT (CASE WHEN dr > 10 THEN 1 ELSE 0 END) + (CASE WHEN hr > 10 THEN 1 ELSE 0 END) + (CASE WHEN dr > 10 THEN 1 ELSE 0 END)
            + (CASE WHEN ra > 0 THEN 1 ELSE 0 END) AS issues,
          (CASE WHEN dr > 10 THEN 1 ELSE 0 END) + (CASE WHEN hr > 5 THEN 1 ELSE 0 END) + (CASE WHEN rta > 0 THEN 1 ELSE 0 END) AS opportunities,
-         (SELECT count(*) FROM p) AS plans FROM f""",
+         (SELECT count(*) FROM p) AS plans, (SELECT count(DISTINCT asset_id) FROM scored) AS assets FROM f""",
 )
 def report_prescriptive(spark, root):
-    r = reports.prescriptive(figures(spark, root))
+    r = reports.prescriptive(figures(spark, root), per_asset=True)
     n = lambda c: F.size(c).cast("bigint")
     return r.select(
         n("issues").alias("issues"), n("optimization_opportunities").alias("opportunities"),
         n("kpi_improvements").alias("plans"),
+        n(F.filter("asset_utilization", lambda a: a["asset_id"].isNotNull())).alias("assets"),
     )
 
 

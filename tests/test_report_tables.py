@@ -59,3 +59,20 @@ def test_resource_advice_names_the_first_assets(many):
 def test_export_is_ordered(spark):
     rows = spark.createDataFrame([(2, "c"), (0, "a"), (1, "b")], "position int, title string")
     assert [x["title"] for x in reports.export_rows(rows, "t").first()["insights"]] == ["a", "b", "c"]
+
+
+def test_reports_list_every_asset_when_asked(many):
+    told = reports.descriptive(many, per_asset=True).first()["asset_distribution"]
+    assert len(told) == 300 and told["Truck_000"] == 9 and told["Truck_001"] == 1
+    used = reports.prescriptive(many, per_asset=True).first()["asset_utilization"]
+    assert [r["asset_id"] for r in used] == [f"Truck_{a:03d}" for a in range(300)]
+
+
+def test_queries_name_and_count_all_assets(spark, root):
+    from freightlens import catalog
+    from freightlens.sources import shapes
+
+    ids = sorted(r[0] for r in shapes.readings(spark, root).select("asset_id").distinct().collect())
+    assert catalog.QUERIES["dataset_summary"](spark, root).first()["asset_list"] == ",".join(ids)
+    for name in ("report_descriptive", "report_prescriptive"):
+        assert catalog.QUERIES[name](spark, root).first()["assets"] == len(ids)
