@@ -189,8 +189,9 @@ REGRESSION_WEIGHTS = {"boosted": 0.4, "random_forest": 0.3}
 
 def fit_all(estimators: dict[str, Estimator], vectors: DataFrame) -> dict[str, Model]:
     """All fitted models by name.  They are fitted at the same time: boosting is a chain of short jobs that leave cores idle."""
+    own = inheritable_thread_target(vectors.sparkSession)
     with ThreadPoolExecutor(max(len(estimators), 1)) as pool:
-        fits = {name: pool.submit(inheritable_thread_target(est.fit), vectors) for name, est in estimators.items()}
+        fits = {name: pool.submit(own(est.fit), vectors) for name, est in estimators.items()}
         return {name: fit.result() for name, fit in fits.items()}
 
 

@@ -144,4 +144,5 @@ def test_models_are_fitted_at_the_same_time(spark):
             meeting.wait()  # broken unless the other is being fitted as well
             return vectors
 
-    assert models.fit_all({"a": Waits(), "b": Waits()}, "rows") == {"a": "rows", "b": "rows"}
+    rows = spark.range(1)
+    assert models.fit_all({"a": Waits(), "b": Waits()}, rows) == {"a": rows, "b": rows}
