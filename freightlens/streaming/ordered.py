@@ -1,15 +1,17 @@
 """Keyed streams whose rows must be handled in event-time order, and rows that wait for a time of their own.
 
-State is typed: waiting rows are a list, what a key remembers is a value, both in the
-RocksDB store.  Event-time timers hand over rows once the watermark has passed them and
+State is in the RocksDB store: rows that wait for their turn are packed blocks by hour, so
+no more than an hour of a key is in memory at once; what a key remembers is a typed value.  Event-time timers hand over rows once the watermark has passed them and
 remove what can't matter any more, so a key that falls silent leaves no state behind.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -20,7 +22,8 @@ from pyspark.sql.types import StructType
 # task functions travel by value: executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-DAY_US = 24 * 3600 * 1_000_000
+HOUR_US = 3600 * 1_000_000
+DAY_US = 24 * HOUR_US
 
 
 def _rows(pdf: pd.DataFrame, ts: str, columns: list[str]) -> list[tuple]:
@@ -58,37 +61,57 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        kinds = ", ".join(f"{c} {t}" for c, t in self.columns.items())
-        self.waiting = handle.getListState("waiting", f"at bigint, {kinds}")
+        self.waiting = handle.getMapState("waiting", "hour bigint, part bigint", "packed binary")
+        self.parts = handle.getValueState("parts", "n bigint")
         self.memory = handle.getValueState("memory", self.fold.memory_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for pdf in rows for r in _rows(pdf, self.ts, list(self.columns))]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(_ms(min(r[0] for r in new)))
+        part, first = self.parts.get()[0] if self.parts.exists() else 0, None
+        for pdf in rows:
+            new = sorted(_rows(pdf, self.ts, list(self.columns)), key=lambda r: r[0])
+            for hour, block in groupby(new, lambda r: r[0] // HOUR_US):
+                self.waiting.updateValue((hour, part), (pickle.dumps(list(block)),))
+            if new:
+                part, first = part + 1, new[0][0] if first is None else min(first, new[0][0])
+        if first is not None:
+            self.parts.update((part,))
+            self.handle.registerTimer(_ms(first))
         return iter([])
 
+    def _block(self, places: list[tuple[int, int]]) -> list[tuple]:
+        return [tuple(r) for p in places for r in pickle.loads(bytes(self.waiting.getValue(p)[0]))]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready = sorted((r for r in waiting if r[0] <= now), key=lambda r: (r[0], r[1] is not None, r[1]))
+        places = sorted((int(k[0]), int(k[1])) for k in self.waiting.keys()) if self.waiting.exists() else []
         memory = tuple(self.memory.get()) if self.memory.exists() else None
-        out: list = []
-        if ready:
-            memory, out = self.fold.step(memory, ready)
-            self.memory.update(memory)
-            later = [r for r in waiting if r[0] > now]
+        stepped, next_at = False, None
+        for _, own in groupby(places, lambda p: p[0]):  # parts in the order they came
+            own = list(own)
+            block = self._block(own)
+            ready = sorted((r for r in block if r[0] <= now), key=lambda r: (r[0], r[1] is not None, r[1]))
+            later = [r for r in block if r[0] > now]
+            if ready:
+                memory, out = self.fold.step(memory, ready)
+                stepped = True
+                for p in own:
+                    self.waiting.removeKey(p)
+                if later:
+                    self.waiting.updateValue(own[0], (pickle.dumps(later),))
+                if out:
+                    yield pd.DataFrame([[*key, pd.Timestamp(r[0], unit="us"), *r[1:]] for r in out], columns=self.output)
             if later:
-                self.waiting.put(later)
-                self.handle.registerTimer(_ms(min(r[0] for r in later)))
+                next_at = min(r[0] for r in later)
+                break
+        if stepped:
+            self.memory.update(memory)
+            if next_at is not None:
+                self.handle.registerTimer(_ms(next_at))
             else:
-                self.waiting.clear()
+                self.parts.clear()
                 self.handle.registerTimer(_ms(max(self.fold.matters(memory), now + 1000)))
-        elif not waiting and memory is not None and self.fold.matters(memory) <= now:
+        elif not places and memory is not None and self.fold.matters(memory) <= now:
             self.memory.clear()
-        if out:
-            yield pd.DataFrame([[*key, pd.Timestamp(r[0], unit="us"), *r[1:]] for r in out], columns=self.output)
 
     def close(self) -> None:
         pass
@@ -98,8 +121,9 @@ def in_order(stream: DataFrame, keys: list[str], ts: str, columns: dict[str, str
     """Apply ``fold`` to each key's rows in event-time order; equal times are ordered by the first of ``columns``.
 
     Rows that arrive out of order wait until the watermark passes them, so a key holds no
-    more rows than the watermark's delay; later rows are dropped, as everywhere.  A key's
-    memory is removed once the watermark has passed what it matters for.
+    more rows than the watermark's delay; later rows are dropped, as everywhere.  They wait in
+    blocks by hour and leave an hour at a time, so a catch-up batch of any length takes the
+    memory of one hour of a key.  A key's memory is removed once the watermark has passed what it matters for.
     """
     names = [c.split()[0] for c in output.split(", ")]
     processor = InOrder(keys, ts, columns, names, fold)

@@ -190,3 +190,41 @@ def test_retries_stop_at_the_limit(spark):
 def test_health_severity(spark):
     df = spark.createDataFrame([(6.0, 9, False), (6.0, 0, True), (1.0, 5, None)], "api_response_time double, database_errors_per_hour int, ml_service_available boolean")
     assert [r["severity"] for r in jobs.health_alerts(df).collect()] == ["High", "Medium"]
+
+
+def test_a_catch_up_batch_is_handed_over_by_the_hour():
+    """The processor on plain dictionaries: no call gets more than one hour of a key, in order all the same."""
+    import types
+
+    import pandas as pd
+
+    class Map(dict):
+        exists = lambda self: bool(self)
+        updateValue, getValue, removeKey = dict.__setitem__, dict.__getitem__, dict.pop
+
+    class Value(list):
+        exists = lambda self: bool(self)
+        get = lambda self: self[0]
+        update = lambda self, v: self.__setitem__(slice(None), [v])
+
+    timers, calls = [], []
+    handle = types.SimpleNamespace(getMapState=lambda *a: Map(), getValueState=lambda *a: Value(), registerTimer=timers.append)
+
+    def step(memory, rows):
+        calls.append([r[0] for r in rows])
+        return (rows[-1][0],), [(r[0], r[1]) for r in rows]
+
+    fold = keyed.Fold("at bigint", step, lambda memory: memory[0])
+    p = keyed.InOrder(["k"], "ts", {"id": "bigint"}, ["k", "ts", "id"], fold)
+    p.init(handle)
+    minutes = [(i * 37) % 600 for i in range(600)]  # ten hours, shuffled, in six frames
+    frames = [pd.DataFrame({"ts": pd.to_datetime([m * 60 for m in minutes[a : a + 100]], unit="s"), "id": minutes[a : a + 100]}) for a in range(0, 600, 100)]
+    p.handleInputRows(("a",), iter(frames), None)
+    assert timers == [0]
+    at = lambda minute: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: minute * 60_000)
+    first = [int(i) for f in p.handleExpiredTimer(("a",), at(449), None) for i in f["id"]]
+    assert first == list(range(450)) and timers[-1] == 450 * 60_000
+    rest = [int(i) for f in p.handleExpiredTimer(("a",), at(600), None) for i in f["id"]]
+    assert rest == list(range(450, 600)) and not p.waiting
+    assert max(len(c) for c in calls) == 60
+    assert [*p.handleExpiredTimer(("a",), at(700), None)] == [] and not p.memory
