@@ -146,3 +146,77 @@ def test_models_are_fitted_at_the_same_time(spark):
 
     rows = spark.range(1)
     assert models.fit_all({"a": Waits(), "b": Waits()}, rows) == {"a": rows, "b": rows}
+
+
+def test_rows_are_scored_once_for_all_figures(spark):
+    scorings = spark.sparkContext.accumulator(0)
+
+    def scoring(p):
+        scorings.add(1)
+        return p
+
+    rows = spark.createDataFrame([(i / 10, float(i > 4)) for i in range(10)], "p double, label double")
+    scored = rows.withColumn("delay_probability", F.udf(scoring, "double")("p")).withColumn("will_delay", F.col("delay_probability") > 0.5)
+    found = models.evaluate_scored(scored)
+    assert found["roc_auc"] == pytest.approx(1.0) and found["accuracy"] == pytest.approx(0.9)
+    assert scorings.value == 10
+
+
+def test_models_are_evaluated_at_the_same_time(spark, monkeypatch):
+    import threading
+
+    meeting = threading.Barrier(3, timeout=30)
+    wait = lambda *given: (meeting.wait(), given)[1]
+    monkeypatch.setattr(models, "evaluate", wait)
+    monkeypatch.setattr(models, "evaluate_scored", wait)
+    rows = spark.range(1)
+    assert models.evaluate_all({"a": 1, "b": 2}, rows, {"joint": rows}) == {"a": (1, rows), "b": (2, rows), "joint": (rows,)}
+    assert list(models.at_once(spark, {"x": lambda: 3, "y": lambda: 4}).items()) == [("x", 3), ("y", 4)]
+
+
+def test_a_forest_beside_boosting_leaves_cores_to_it(spark):
+    class Sees:
+        def fit(self, vectors):
+            return vectors.rdd.getNumPartitions(), sorted(r["id"] for r in vectors.collect())
+
+    rows = spark.range(0, 12, 1, 4)
+    assert spark.sparkContext.defaultParallelism >= 4
+    assert models.fit_all({"forest": Sees(), "boosted": Sees()}, rows, beside=["forest"]) == {"forest": (2, [*range(12)]), "boosted": (4, [*range(12)])}
+    assert models.narrowed(one := spark.range(0, 12, 1, 2)) is one
+    many = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism + 1)
+    assert models.narrowed(many) is many  # they run in waves already
+
+
+def test_rows_that_several_steps_read_are_kept(spark):
+    few = spark.range(100)
+    assert models.dealt_once(few, 100) is few
+    out = models.dealt_once(spark.range(0, 60_000, 1, 1), 60_000)
+    assert out.storageLevel.useMemory and out.storageLevel.useDisk
+    assert out.rdd.getNumPartitions() == 2 and out.agg(F.sum("id")).first()[0] == 60_000 * 59_999 // 2
+    out.unpersist()
+
+
+@pytest.mark.parametrize("query", ["classifier_ensemble"])
+def test_training_queries_parse_large_tables_once(spark, query, tmp_path, monkeypatch):
+    """The rows are dealt and kept before the split, the feature plan and the vectors read them."""
+    from freightlens.catalog import QUERIES
+
+    class Stop(Exception):
+        pass
+
+    def stop(df, *_):
+        assert df.storageLevel.useMemory and df.rdd.getNumPartitions() == 2
+        df.unpersist()
+        raise Stop
+
+    i = F.col("id")
+    props = F.concat(F.lit('{"k": '), (i % 100).cast("string"), F.lit("}"))
+    kind = F.when(i % 7 == 0, "error").otherwise("purchase")
+    events = spark.range(0, 60_000, 1, 1).select(
+        i.alias("event_id"), F.lit("2024-05-06 07:08:09").cast("timestamp_ntz").alias("ts"), (i % 50).alias("user_id"),
+        kind.alias("event_type"), (i % 90).cast("double").alias("value"), props.alias("props"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr("freightlens.operators.features.with_split", stop)
+    with pytest.raises(Stop):
+        QUERIES[query](spark, str(tmp_path))
