@@ -169,12 +169,13 @@ def dealt_once(df: DataFrame, rows: int) -> DataFrame:
 def classifiers(rows: int, seed: int = 42, boosting_rounds: int = 100) -> dict[str, Estimator]:
     """Named classifiers.  ``rows`` turns the inverse regularisation C=1 into a per-row weight.
 
-    The forests keep each row's node of every tree, so that a pass doesn't walk the trees from their roots.
+    The forest keeps each row's node of every tree, so that a pass doesn't walk the trees from their roots.
+    These are not written as a checkpoint: ten passes make no long lineage, and they are 400 bytes a row.
     """
     common = {"labelCol": LABEL, "featuresCol": "features"}
     boosted = {**common, "maxIter": boosting_rounds, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": seed}
     return {
-        "RandomForest": RandomForestClassifier(numTrees=100, maxDepth=10, minInstancesPerNode=2, cacheNodeIds=True, seed=seed, **common),
+        "RandomForest": RandomForestClassifier(numTrees=100, maxDepth=10, minInstancesPerNode=2, cacheNodeIds=True, checkpointInterval=-1, seed=seed, **common),
         "LogisticRegression": LogisticRegression(
             maxIter=1000, tol=1e-4, regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False, **common
         ),

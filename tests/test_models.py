@@ -187,6 +187,10 @@ def test_a_forest_beside_boosting_leaves_cores_to_it(spark):
     assert models.narrowed(many) is many  # they run in waves already
 
 
+def test_forests_write_no_checkpoint_of_their_nodes(spark):
+    assert models.classifiers(1)["RandomForest"].getCheckpointInterval() == -1
+
+
 def test_rows_that_several_steps_read_are_kept(spark):
     few = spark.range(100)
     assert models.dealt_once(few, 100) is few
@@ -196,7 +200,7 @@ def test_rows_that_several_steps_read_are_kept(spark):
     out.unpersist()
 
 
-@pytest.mark.parametrize("query", ["classifier_ensemble"])
+@pytest.mark.parametrize("query", ["classifier_ensemble", "cross_validation"])
 def test_training_queries_parse_large_tables_once(spark, query, tmp_path, monkeypatch):
     """The rows are dealt and kept before the split, the feature plan and the vectors read them."""
     from freightlens.catalog import QUERIES
