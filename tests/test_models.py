@@ -200,7 +200,7 @@ def test_rows_that_several_steps_read_are_kept(spark):
     out.unpersist()
 
 
-@pytest.mark.parametrize("query", ["classifier_ensemble", "cross_validation"])
+@pytest.mark.parametrize("query", ["classifier_ensemble", "cross_validation", "full_feature_model"])
 def test_training_queries_parse_large_tables_once(spark, query, tmp_path, monkeypatch):
     """The rows are dealt and kept before the split, the feature plan and the vectors read them."""
     from freightlens.catalog import QUERIES
