@@ -162,15 +162,14 @@ def test_rows_are_scored_once_for_all_figures(spark):
     assert scorings.value == 10
 
 
-def test_models_are_evaluated_at_the_same_time(spark, monkeypatch):
+def test_validation_weights_are_taken_at_the_same_time(spark, monkeypatch):
     import threading
 
-    meeting = threading.Barrier(3, timeout=30)
-    wait = lambda *given: (meeting.wait(), given)[1]
-    monkeypatch.setattr(models, "evaluate", wait)
-    monkeypatch.setattr(models, "evaluate_scored", wait)
-    rows = spark.range(1)
-    assert models.evaluate_all({"a": 1, "b": 2}, rows, {"joint": rows}) == {"a": (1, rows), "b": (2, rows), "joint": (rows,)}
+    meeting = threading.Barrier(2, timeout=30)
+    half = spark.createDataFrame([(0.5,)], "weighted_f1 double")
+    monkeypatch.setattr(models, "score", lambda m, df: (meeting.wait(), df)[1])
+    monkeypatch.setattr(models, "confusion_metrics", lambda scored: half)
+    assert models.ensemble_weights({"a": 1, "b": 2}, half) == {"a": 0.5, "b": 0.5}
     assert list(models.at_once(spark, {"x": lambda: 3, "y": lambda: 4}).items()) == [("x", 3), ("y", 4)]
 
 
@@ -185,6 +184,7 @@ def test_a_forest_beside_boosting_leaves_cores_to_it(spark):
     assert models.narrowed(one := spark.range(0, 12, 1, 2)) is one
     many = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism + 1)
     assert models.narrowed(many) is many  # they run in waves already
+    assert models.beside_boosting(60_000) == ["RandomForest"] and models.beside_boosting(10_000) == []
 
 
 def test_forests_write_no_checkpoint_of_their_nodes(spark):
